@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, packing, pii, repetition, secrets, warc
+from . import bpe, hpylm, langid, media, neardup, packing, pii, repetition, secrets, warc
 from .common import held_out, table
 
 
@@ -29,6 +29,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_pages(table(spark, sf_dir, "pages"), revisit_from=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.scored(table(spark, sf_dir, "documents"), ~held_out("doc_id", 7, 2))
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = media.media_columns(table(spark, sf_dir, "documents"), with_media=False)
     feature = F.concat(F.col("n_pairs").cast("string"), F.lit(":"), F.sha2(F.concat(F.array_join("times", ","), F.lit(";"), F.array_join("hashes", ",")), 256))
@@ -70,8 +74,19 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_lm_score": op2_lm_score,
     "op3_media": op3_media,
     "op4_quality_rules": op4_quality_rules,
     "op5_secrets": op5_secrets,
@@ -79,6 +94,8 @@ QUERIES = {
     "op7_language_id": op7_language_id,
     "op8_pii": op8_pii,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_near_duplicates": op10_near_duplicates,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL = {
@@ -92,4 +109,20 @@ ORACLE_SQL = {
           case when page_id < top then 'revisit' else 'response' end as record_type,
           case when page_id < top then top end as refers_to
         from t""",
+    "op10_near_duplicates": r"""
+        with recursive w as (
+          select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+          from documents),
+        s as (
+          select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+            else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) end as s
+          from w),
+        e as (select doc_id, unnest(s) as g from s),
+        c as (select a.doc_id as a, b.doc_id as b, count(*) as n from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+        l as (select c.a, c.b from c join s x on x.doc_id = c.a join s y on y.doc_id = c.b where 100 * n >= 75 * (len(x.s) + len(y.s) - n)),
+        both_ways as (select a, b from l union all select b, a from l),
+        r(doc_id, other) as (select doc_id, doc_id from s union select r.doc_id, k.b from r join both_ways k on k.a = r.other),
+        m as (select doc_id, min(other) as component_id from r group by 1)
+        select s.doc_id, cast(len(s.s) as bigint) as n_shingles, component_id, s.doc_id = component_id as kept
+        from s join m on m.doc_id = s.doc_id""",
 }
