@@ -1,6 +1,690 @@
-"""Queries over the driver's tables, and the same in SQL."""
+"""Queries over the driver's tables, one or more for each group of operators, and the same in DuckDB's SQL.
+
+The SQL inlines the adapters' formulas (sources/adapters.py) as common table
+expressions; FIXTURES.md states them in words.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from . import config
+from .functions import html, text, urls
+from .operators import graph, history, rules, samples, scoring
+from .plans import dashboard, views
+from .sources import adapters, discovery
+from .streaming import control
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+NOW = "timestamp_ntz'1998-08-02 12:00:00'"
+
+# --- SQL pieces ---------------------------------------------------------------
+
+HOST = "lower(regexp_replace(regexp_extract(url, '^https?://([^/?#]+)', 1), ':[0-9]*$', ''))"
+PATH = "coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), ''), '/')"
+PAIRS = "list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda x: x <> '')"
+TRACKING = ", ".join(f"'{x}'" for x in config.TRACKING_PARAMS)
+SEGMENTS = f"list_filter(string_split({PATH}, '/'), lambda x: x <> '')"
+PAGE_TYPE = f"""case when {PATH} = '/' then 'homepage' when len({SEGMENTS}) = 1 and {SEGMENTS}[1] = 'episodes' then 'episodes_index' when len({SEGMENTS}) >= 2 and {SEGMENTS}[1] = 'episodes' then 'episode'
+    when len({SEGMENTS}) = 1 and {SEGMENTS}[1] = 'booking' then 'booking' when len({SEGMENTS}) >= 2 and {SEGMENTS}[1] = 'booking' then 'service' else 'generic' end"""
+NORMALIZED = f"""lower(regexp_extract(url, '^(https?)://', 1)) || '://' || {HOST} || case when length({PATH}) > 1 and {PATH} like '%/' then left({PATH}, length({PATH}) - 1) else {PATH} end
+    || coalesce('?' || nullif(array_to_string(list_sort(list_transform(list_filter({PAIRS}, lambda x: lower(split_part(x, '=', 1)) not in ({TRACKING})), lambda x: case when x like '%=%' then x else x || '=' end)), '&'), ''), '')"""
+HREF_COUNT = "0"
+
+
+def pixel_sql(c: str) -> str:
+    n = lambda chars: f"(length({c}) - length(regexp_replace({c}, '{chars}', '', 'g')))"
+    return f"""cast(floor(9.0 * length({c}) - 4.5 * {n("[ijlI.,''!|:;’‘]")} - 3.0 * {n('[ftr()\\[\\]"/\\\\-]')} + 5.0 * {n('[MWmw@%]')} - 4.0 * {n('[ ]')}
+        + 1.5 * {n('[A-HJ-LN-VX-Z]')} - 1.0 * {n('[a-eghknopqsu-vx-z]')} + 0.5) as integer)"""
+
+
+FLAT_WORDS = r"""coalesce(len(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(html, '(?is)<head[ >].*?</head>|<script[ >].*?</script>|<style[ >].*?</style>', '', 'g'), '<[^>]*>', '', 'g'), '\s+'), lambda x: x <> '')), 0)"""
+AUDIT = f"""a0 as (select page_id, url, page_id as ord, {HOST} as run,
+      case when page_id % 37 = 0 then 'network_error' when page_id % 29 = 0 or page_id % 13 = 0 then 'http_error' else 'ok' end as outcome,
+      case when page_id % 37 = 0 then null when page_id % 29 = 0 then 500 when page_id % 13 = 0 then 404 else 200 end as status, html as raw,
+      case when page_id % 11 = 0 then 1 else 0 end as redirect_count, page_id % 3 <> 0 as in_sitemap, page_id % 4 = 0 as discovered,
+      case when page_id % 2 = 0 then 'gzip' end as compression, case when page_id % 10 = 0 then 'Server/1' end as x_powered_by,
+      cast(50 + (page_id * 37) % 2000 as integer) as response_time_ms, {PAGE_TYPE} as page_type from pages),
+    a1 as (select *, case when outcome = 'ok' then raw end as html, page_id % 7 = 0 and outcome = 'ok' as noindex from a0),
+    a2 as (select *, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') as title, nullif(regexp_extract(html, '(?is)<html[^>]*\\slang="([^"]*)"', 1), '') as lang,
+      nullif(regexp_extract(html, '(?is)<meta[^>]*\\scharset="([^"]*)"', 1), '') as charset, coalesce(regexp_matches(html, '(?i)^\\s*<!doctype\\s+html\\s*>'), false) as has_doctype,
+      coalesce(len(regexp_extract_all(html, '(?i)<h1[ >]')), 0) as h1_count, {FLAT_WORDS} as word_count, coalesce(strlen(html), 0) as html_size_bytes from a1),
+    ap as (select *, coalesce(length(title), 0) as title_length, {pixel_sql('title')} as title_px, outcome = 'ok' and not noindex as is_indexable from a2)"""
+BAD = "(outcome = 'network_error' or coalesce(status >= 400, false))"
+LEAST = "case page_type " + " ".join(f"when '{k}' then {v}" for k, v in config.LEAST_WORDS.items()) + " end"
+
+
+def rule_sql(kind: str, severity: str, when: str) -> str:
+    sev = severity if severity.startswith("case") else f"'{severity}'"
+    return f"select page_id, '{kind}' as issue_type, {sev} as severity from ap where {when}"
+
+
+ISSUES_SQL = " union all ".join([
+    rule_sql("crawl_failure", "critical", "outcome = 'network_error'"), rule_sql("server_error", "critical", "outcome <> 'network_error' and status >= 500"), rule_sql("client_error", "high", "outcome <> 'network_error' and status between 400 and 499"),
+    *(rule_sql(k, s, f"not {BAD} and {w}") for k, s, w in [
+        ("sitemap_url_redirect", "high", "redirect_count > 0 and in_sitemap"), ("sitemap_url_noindex", "high", "noindex and in_sitemap"), ("missing_title", "high", "title is null"), ("title_pixel_width_high", "low", "title_px > 600"),
+        ("title_too_short", "case when page_type in ('homepage', 'episode', 'episodes_index') then 'medium' else 'low' end", "title is not null and title_length < 20"), ("missing_canonical", "high", "true"), ("missing_meta_description", "medium", "true"),
+        ("missing_h1", "medium", "h1_count = 0"), ("multiple_h1", "medium", "h1_count > 1"), ("missing_open_graph", "low", "true"), ("missing_twitter", "low", "true"), ("missing_lang", "low", "lang is null"), ("missing_favicon", "low", "true"),
+        ("low_word_count", "low", f"word_count < {LEAST}"), ("missing_podcast_episode_schema", "medium", "page_type = 'episode'"), ("missing_charset", "low", "charset is null"), ("missing_doctype", "low", "not has_doctype"),
+        ("html_response_uncompressed", "low", "compression is null and html_size_bytes >= 5120"), ("x_powered_by_exposed", "low", "x_powered_by is not null"),
+    ]),
+])
+WITH_ISSUES = f"with {AUDIT}, pi as ({ISSUES_SQL})"
+
+PARTS = """pp as (select 1 as run, p_partkey as ord, 'https://shop.example.com/' || replace(lower(p_type), ' ', '-') || '/' || p_partkey as url, p_name as title,
+      case when p_size = 48 then null when p_size = 49 then 404 when p_size = 50 then 500 else 200 end as status, p_partkey % 3 <> 0 as in_sitemap, p_partkey % 7 = 0 as noindex,
+      coalesce(p_size < 48, false) as ok, coalesce(p_size < 48, false) and p_partkey % 7 <> 0 as is_indexable from part),
+    ed as (select distinct l_orderkey % (select count(*) from part) as src, l_partkey as dst from lineitem where l_linenumber = 1 and l_partkey % 5 <> 0),
+    tg as (select distinct ed.dst from ed join pp on pp.ord = ed.src where ed.src <> ed.dst)"""
+RUNS = """fr as (select o_orderkey as id, o_custkey as site_id, cast(o_orderdate as timestamp) as started_at, case o_orderstatus when 'F' then 'success' when 'O' then 'running' else 'partial' end as status,
+      cast(o_orderdate as timestamp) + to_minutes(cast(o_orderkey % 120 as integer)) as last_progress_at from orders)"""
+FI = """fi as (select l_orderkey as run_id, o_custkey as site_id, cast(o_orderdate as timestamp) as started_at, 'https://shop.example.com/' || (l_partkey % 40) as url, 't' || l_linenumber as issue_type,
+      'https://shop.example.com/' || (l_partkey % 40) || '::t' || l_linenumber as issue_key,
+      case when l_returnflag = 'R' then 'critical' when l_returnflag = 'A' then 'high' when l_linestatus = 'O' then 'medium' else 'low' end as severity from lineitem join orders on o_orderkey = l_orderkey)"""
+LATEST = "lr as (select * from (select *, row_number() over (partition by site_id order by started_at desc, id desc) as rn from fr) where rn = 1)"
+FC = """f0 as (select event_id as id, user_id as run_id, user_id % 20 as site_id, cast(ts as timestamp) as created_at, '/u' || (event_id % 40) as url, cast(json_extract_string(props, '$.k') as integer) as k,
+      case event_type when 'signup' then 'issue_new' when 'purchase' then 'issue_resolved' when 'view' then 'issue_ongoing' when 'error' then 'http_status_changed' else 'field_changed' end as event_type from events),
+    fc as (select id, run_id, site_id, created_at, url, event_type, case when event_type like 'issue_%' then 'issue' else 'page' end as entity_type,
+      case when event_type like 'issue_%' then case k % 4 when 0 then 'critical' when 1 then 'high' when 2 then 'medium' else 'low' end end as severity from f0)"""
+SUMMARY = """count(*) filter (event_type = 'issue_new') as new_issues, count(*) filter (event_type = 'issue_resolved') as resolved_issues, count(*) filter (event_type = 'issue_ongoing') as ongoing_issues,
+      count(*) filter (event_type = 'page_new') as new_pages, count(*) filter (event_type = 'page_removed') as removed_pages, count(distinct case when entity_type = 'page' and event_type not in ('page_new', 'page_removed') then url end) as changed_pages"""
+RANK = "case severity when 'critical' then 0 when 'high' then 1 when 'medium' then 2 when 'low' then 3 else 4 end"
+
+
+def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.table(spark, sf_dir, "pages")
+
+
+# --- URLs ----------------------------------------------------------------------
+
+
+@query(f"select page_id, {NORMALIZED} as normalized from pages")
+def url_normalize(spark, sf_dir):
+    return pages_of(spark, sf_dir).select("page_id", urls.normalize("url").alias("normalized"))
+
+
+@query(f"select page_id, {HOST} as host, regexp_extract(url, '^(https?)', 1) as scheme, {PATH} as path, {HOST} = {HOST} as same_domain, case when {HOST} like 'www.%' then substr({HOST}, 5) else 'www.' || {HOST} end as alternate from pages")
+def url_host(spark, sf_dir):
+    h = urls.host("url")
+    return pages_of(spark, sf_dir).select("page_id", h.alias("host"), urls.scheme("url").alias("scheme"), urls.pathname("url").alias("path"), urls.is_same_domain("url", h).alias("same_domain"), urls.alternate_host(h).alias("alternate"))
+
+
+@query(f"select page_id, {PAGE_TYPE} as page_type from pages")
+def url_page_type(spark, sf_dir):
+    return pages_of(spark, sf_dir).select("page_id", urls.page_type("url").alias("page_type"))
+
+
+@query(f"select page_id, coalesce(nullif(regexp_extract(list_last(string_split({PATH}, '/')), '\\.([^.]*)$', 1), '') in ({', '.join(repr(x) for x in config.ASSET_EXTENSIONS)}), false) as is_asset from pages")
+def url_asset(spark, sf_dir):
+    return pages_of(spark, sf_dir).select("page_id", urls.is_asset("url").alias("is_asset"))
+
+
+@query(f"select page_id, len({PAIRS}) <= 2 as crawlable from pages")
+def url_crawlable(spark, sf_dir):
+    return pages_of(spark, sf_dir).select("page_id", urls.is_crawlable("url").alias("crawlable"))
+
+
+@query(f"select page_id, coalesce(nullif(substr(url, length('http://' || {HOST}) + case when url like 'https%' then 2 else 1 end), ''), '/') as shown from pages")
+def url_display_path(spark, sf_dir):
+    return pages_of(spark, sf_dir).select("page_id", urls.display_path("url", urls.origin("url")).alias("shown"))
+
+
+@query(f"select page_id, {NORMALIZED} || '::missing_title' as issue_key from pages")
+def issue_keys(spark, sf_dir):
+    return pages_of(spark, sf_dir).select("page_id", urls.issue_key("url", F.lit("missing_title")).alias("issue_key"))
+
+
+# --- HTML ----------------------------------------------------------------------
+
+
+@query(f"with {AUDIT} select page_id, title, lang, charset, has_doctype, h1_count from ap")
+def html_title_lang_charset_doctype(spark, sf_dir):
+    return adapters.audit_pages(spark, sf_dir).select("page_id", "title", "lang", "charset", "has_doctype", F.col("h1_count").cast("bigint").alias("h1_count"))
+
+
+def parsed(spark, sf_dir) -> DataFrame:
+    return html.with_facts(pages_of(spark, sf_dir).select("page_id", "html", F.col("url").alias("final_url")))
+
+
+@query(rf"select page_id, {FLAT_WORDS} as word_count, strlen(html) as html_bytes, len(regexp_extract_all(html, '(?i)<h1[ >]')) as h1_count, nullif(trim(regexp_extract(html, '(?is)<html[^>]*\slang=\"([^\"]*)\"', 1)), '') as lang from pages")
+def html_parsed_facts(spark, sf_dir):
+    """The parser's facts, against regular expressions on the flat markup."""
+    return parsed(spark, sf_dir).select("page_id", F.col("word_count").cast("bigint").alias("word_count"), F.col("html_size_bytes").cast("bigint").alias("html_bytes"), F.col("h1_count").cast("bigint").alias("h1_count"), "lang")
+
+
+LINKS = f"""l0 as (select page_id, {HOST} as host, regexp_extract(url, '^(https?)', 1) as scheme, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) as href, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) as pos from pages),
+    l1 as (select page_id, pos, scheme || '://' || host || href as url from l0 where href like '/%')"""
+
+
+@query(f"with {LINKS} select page_id, count(distinct url) as internal from l1 group by page_id")
+def html_links_internal_external(spark, sf_dir):
+    p = parsed(spark, sf_dir)
+    return p.select("page_id", F.size("internal_links").cast("bigint").alias("internal")).filter("internal > 0")
+
+
+@query(r"""with a as (select page_id, unnest(regexp_extract_all(html, '(?s)<a href="[^"]*">(.*?)</a>', 1)) as t, unnest(regexp_extract_all(html, '(?s)<a href="([^"]*)">.*?</a>', 1)) as h from pages)
+    select page_id, count(*) as internal, count(distinct h) as unique_internal, count(*) filter (length(trim(t)) < 2) as empty_internal,
+      count(*) filter (regexp_replace(lower(t), '[.!?\s]+$', '') in ('click here', 'read more', 'learn more', 'here', 'more', 'this link', 'link', 'click')) as generic from a where h like '/%' group by page_id""")
+def anchor_metrics(spark, sf_dir):
+    d = parsed(spark, sf_dir).select("page_id", samples.anchor_counts("anchors").alias("m")).select("page_id", *(F.col(f"m.{c}").cast("bigint").alias(c) for c in ("internal", "unique_internal", "empty_internal", "generic")))
+    return d.filter("internal > 0")
+
+
+@query(r"""with a as (select page_id, unnest(regexp_extract_all(html, '(?s)<a href="[^"]*">(.*?)</a>', 1)) as t, unnest(regexp_extract_all(html, '(?s)<a href="([^"]*)">.*?</a>', 1)) as h from pages),
+    b as (select page_id, lower(trim(t)) as anchor_text, count(distinct h) as n from a where h like '/%' and length(trim(t)) >= 2 group by all)
+    select page_id, anchor_text, least(n, 5) as destinations from b where n >= 3""")
+def anchor_ambiguous(spark, sf_dir):
+    return samples.ambiguous_anchors(parsed(spark, sf_dir), ["page_id"]).select("page_id", F.col("text").alias("anchor_text"), F.size("destinations").cast("bigint").alias("destinations"))
+
+
+@query(r"select page_id, trim(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '\s+', ' ', 'g')) as h1_raw, 1 as level from pages where regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) not like '%<%' and regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) not like '%&%'")
+def html_headings(spark, sf_dir):
+    raw = F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1)
+    d = parsed(spark, sf_dir).filter(~F.contains(raw, F.lit("<")) & ~F.contains(raw, F.lit("&")))
+    return d.select("page_id", F.explode("headings").alias("h")).select("page_id", F.col("h.text").alias("h1_raw"), "h.level")
+
+
+@query(f"with {AUDIT} select page_id, title_px, title_length, html_size_bytes from ap")
+def pixel_width(spark, sf_dir):
+    return adapters.audit_pages(spark, sf_dir).select("page_id", "title_px", F.col("title_length").cast("bigint").alias("title_length"), F.col("html_size_bytes").cast("bigint").alias("html_size_bytes"))
+
+
+@query("select doc_id, cast(length(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')) as integer) as utf16_length from documents")
+def utf16_length(spark, sf_dir):
+    return adapters.table(spark, sf_dir, "documents").select("doc_id", text.utf16_length("text").alias("utf16_length"))
+
+
+@query(r"""with b as (select doc_id, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents),
+    n as (select doc_id, pos, trim(regexp_replace(lower(raw), '[ \t\r\f\v]+', ' ', 'g')) as block from b),
+    g as (select doc_id, block, count(*) as occurrences, min(pos) as first_pos from n where length(block) >= 45 group by all having count(*) >= 2),
+    r as (select *, row_number() over (partition by doc_id order by occurrences desc, first_pos) as rank from g)
+    select doc_id, case when length(block) > 160 then left(block, 160) || '…' else block end as sample, occurrences, rank from r where rank <= 5""")
+def duplicate_blocks(spark, sf_dir):
+    d = samples.repeated_blocks(adapters.blocks(spark, sf_dir), ["doc_id"])
+    return d.select("doc_id", F.col("text").alias("sample"), "occurrences", F.col("rank").cast("bigint").alias("rank"))
+
+
+# --- rules ---------------------------------------------------------------------
+
+
+def page_issues(spark, sf_dir) -> DataFrame:
+    return rules.apply_page_rules(adapters.audit_pages(spark, sf_dir), ["run", "ord", "page_id", "url"])
+
+
+@query(f"{WITH_ISSUES} select * from pi")
+def rules_page_issues(spark, sf_dir):
+    return page_issues(spark, sf_dir).select("page_id", "issue_type", "severity")
+
+
+@query(f"{WITH_ISSUES} select severity, count(*) as n from pi group by severity")
+def issues_by_severity(spark, sf_dir):
+    return page_issues(spark, sf_dir).groupBy("severity").agg(F.count("*").alias("n"))
+
+
+@query(f"{WITH_ISSUES} select issue_type, severity, count(*) as n from pi group by all")
+def issues_by_type(spark, sf_dir):
+    return page_issues(spark, sf_dir).groupBy("issue_type", "severity").agg(F.count("*").alias("n"))
+
+
+@query(f"{WITH_ISSUES} select run, count(*) filter (severity = 'critical') as critical, count(*) filter (severity = 'high') as high, count(*) filter (severity = 'medium') as medium, count(*) filter (severity = 'low') as low, count(*) as total from pi join ap using (page_id) group by run")
+def severity_tally(spark, sf_dir):
+    return graph.severity_tally(page_issues(spark, sf_dir), "run")
+
+
+@query(f"""{WITH_ISSUES}, r as (select severity, page_id, issue_type, row_number() over (partition by severity order by page_id, issue_type) as rank, greatest(count(*) over (partition by severity) - 5, 0) as more from pi)
+    select * from r where rank <= 5""")
+def console_top_issues(spark, sf_dir):
+    d = graph.top_of(page_issues(spark, sf_dir).select("severity", "page_id", "issue_type"), ["severity"], ["page_id", "issue_type"])
+    return d.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+DUP = "{col} as value from {src} where is_indexable and coalesce({col}, '') <> ''"
+
+
+@query(f"with {PARTS}, d as (select ord, url, lower(trim(title)) as value from pp where is_indexable and coalesce(title, '') <> ''), g as (select value, count(*) as n from d group by value having count(*) >= 2) select ord, value, n, n - 1 as n_others from d join g using (value)")
+def duplicate_titles(spark, sf_dir):
+    d = graph.duplicates(adapters.part_pages(spark, sf_dir), "title")
+    return d.select("ord", "value", "n", F.size("other_urls").cast("bigint").alias("n_others"))
+
+
+@query(f"with {AUDIT}, d as (select page_id, run, lower(trim(title)) as value from ap where is_indexable and title is not null), g as (select run, value, count(*) as n from d group by all having count(*) >= 2) select page_id, value, n from d join g using (run, value)")
+def duplicate_titles_by_site(spark, sf_dir):
+    d = graph.duplicates(adapters.audit_pages(spark, sf_dir), "title", collect_others=False)
+    return d.select(F.col("ord").alias("page_id"), "value", "n")
+
+
+@query("""with p as (select doc_id, lower(trim(string_split(text, chr(10))[1])) as value from documents), g as (select value, count(*) as n from p where value <> '' group by value having count(*) >= 2) select doc_id, value, n from p join g using (value)""")
+def duplicate_descriptions(spark, sf_dir):
+    d = adapters.table(spark, sf_dir, "documents").select(F.lit(1).alias("run"), F.col("doc_id").alias("ord"), F.lit("").alias("url"), F.get(F.split("text", "\n"), F.lit(0)).alias("meta_description"), F.lit(True).alias("is_indexable"))
+    return graph.duplicates(d, "meta_description", collect_others=False).select(F.col("ord").alias("doc_id"), "value", "n")
+
+
+# --- graph ---------------------------------------------------------------------
+
+
+def shop(spark, sf_dir):
+    return adapters.part_pages(spark, sf_dir), adapters.edges(spark, sf_dir)
+
+
+@query(f"with {PARTS} select src, dst, status from ed join pp on pp.ord = ed.dst where status >= 400")
+def broken_links(spark, sf_dir):
+    return graph.broken_links(*shop(spark, sf_dir)).select(F.col("src_ord").alias("src"), F.col("pos").alias("dst"), "status")
+
+
+@query(f"with {PARTS} select pp.ord, count(distinct e.src) as inbound from pp left join (select ed.src, ed.dst from ed join pp s on s.ord = ed.src where ed.src <> ed.dst) e on e.dst = pp.ord group by pp.ord")
+def inbound_counts(spark, sf_dir):
+    return graph.inbound_counts(*shop(spark, sf_dir)).select("ord", "inbound")
+
+
+@query(f"with {PARTS} select ord, in_sitemap, ord in (select dst from tg) as linked from pp")
+def page_sources(spark, sf_dir):
+    return graph.page_sources(*shop(spark, sf_dir)).select("ord", "in_sitemap", "linked")
+
+
+def covered(spark, sf_dir) -> DataFrame:
+    p, e = shop(spark, sf_dir)
+    sitemap = p.filter("in_sitemap").select("run", F.col("final_key").alias("key"))
+    d = graph.page_sources(p, e).withColumnRenamed("linked", "discovered")
+    return graph.coverage(d, e, sitemap)
+
+
+@query(f"with {PARTS} select ord from pp where in_sitemap and is_indexable and ord not in (select dst from tg)")
+def orphans(spark, sf_dir):
+    return covered(spark, sf_dir).filter("orphaned").select("ord")
+
+
+@query(f"with {PARTS} select ord from pp where not in_sitemap and is_indexable and ord in (select dst from tg)")
+def missing_from_sitemap(spark, sf_dir):
+    return covered(spark, sf_dir).filter("missing").select("ord")
+
+
+@query(f"""with {PARTS} select count(*) filter (ok and not in_sitemap and linked) as discovered_not_in_sitemap, count(*) filter (is_indexable and not in_sitemap and linked) as indexable_missing,
+      count(*) filter (ok and not is_indexable and not in_sitemap and linked) as non_indexable_missing, count(*) filter (is_indexable and in_sitemap and not linked) as orphaned from (select *, ord in (select dst from tg) as linked from pp)""")
+def coverage_counts(spark, sf_dir):
+    return graph.coverage_counts(covered(spark, sf_dir)).drop("run")
+
+
+@query(f"""with recursive {PARTS}, b(node, depth) as (select cast(0 as bigint), 0 union select ed.dst, b.depth + 1 from b join ed on ed.src = b.node where b.depth < 3) select node, min(depth) as depth from b group by node""")
+def bfs_depth(spark, sf_dir):
+    e = adapters.edges(spark, sf_dir).select(F.col("src_ord").alias("src"), F.col("pos").alias("dst"))
+    return discovery.bfs(e, spark.range(1).select(F.col("id").alias("node")), 3)
+
+
+ROBOTS = [("a.example", "# rules\nUser-agent: *\nDisallow: /private\nDisallow:\nSitemap: https://a.example/s.xml\nUser-agent: other\nDisallow: /x\n"), ("b.example", "User-Agent: SiteBot\nDisallow: /tmp\nno colon\nUser-agent: zz\nSitemap: https://b.example/m.xml\nDisallow: /zz")]
+
+
+@query("select * from (values ('a.example', 2, 'disallow', '/private'), ('a.example', 4, 'sitemap', 'https://a.example/s.xml'), ('b.example', 1, 'disallow', '/tmp'), ('b.example', 4, 'sitemap', 'https://b.example/m.xml')) t(site, line_no, kind, value)")
+def robots_rules(spark, sf_dir):
+    return discovery.robots_rules(spark.createDataFrame(ROBOTS, "site string, body string"), "SiteBot/1.0")
+
+
+@query(f"select page_id, {PATH} like '/a%' or {PATH} like '/e%' as is_disallowed from pages")
+def robots_predicate(spark, sf_dir):
+    return pages_of(spark, sf_dir).select("page_id", discovery.disallowed(urls.safe_pathname("url"), F.array(F.lit("/a"), F.lit("/e"), F.lit(""))).alias("is_disallowed"))
+
+
+SITEMAPS = [
+    ("https://a.example/sitemap.xml", '<?xml version="1.0"?><sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><sitemap><loc>https://a.example/one.xml</loc></sitemap><sitemap><loc>https://a.example/sitemap.xml</loc></sitemap></sitemapindex>'),
+    ("https://a.example/one.xml", "<urlset><url><loc> https://a.example/p/ </loc></url><url><loc>https://A.example/p</loc></url><url><loc>https://b.example/q</loc></url></urlset>"),
+    ("https://a.example/bad.xml", "<urlset><url>"),
+]
+
+
+@query("select * from (values ('a.example', 'https://a.example/p')) t(site, url)")
+def sitemap_urls(spark, sf_dir):
+    files = spark.createDataFrame(SITEMAPS, "url string, xml string")
+    sites = spark.createDataFrame([("a.example", "https://a.example")], "site string, base_url string")
+    return discovery.sitemap_urls(files, discovery.sitemap_starts(sites, spark.createDataFrame([], "site string, line_no int, kind string, value string")))
+
+
+# --- indexing state --------------------------------------------------------------
+
+STATE = "case when outcome <> 'ok' or not noindex then 'indexable' when in_sitemap then 'noindex_unexpected' when page_type = 'episode' then 'noindex_review' else 'noindex_expected' end"
+
+
+@query(f"with {AUDIT} select page_id, {STATE} as indexing_state from ap")
+def indexing_state(spark, sf_dir):
+    return adapters.audit_pages(spark, sf_dir).select("page_id", rules.indexing_state(F.lit("unknown")).alias("indexing_state"))
+
+
+@query(f"with {AUDIT}, s as (select {STATE} as s from ap) select count(*) filter (s = 'indexable') as indexable, count(*) filter (s = 'noindex_expected') as noindex_expected, count(*) filter (s = 'noindex_review') as noindex_review, count(*) filter (s = 'noindex_unexpected') as noindex_unexpected from s")
+def indexing_tally(spark, sf_dir):
+    return graph.state_tally(adapters.audit_pages(spark, sf_dir).withColumn("indexing_state", rules.indexing_state(F.lit("unknown"))))
+
+
+@query("select * from (values (1, 3), (2, 4), (2, 6)) t(page_id, to_level)")
+def heading_skips(spark, sf_dir):
+    rows = [(1, [(1, "a"), (3, "b"), (2, "c")]), (2, [(2, "a"), (4, "b"), (1, "x"), (2, "y"), (6, "c")]), (3, [(1, "a"), (2, "b")])]
+    d = spark.createDataFrame(rows, "page_id int, headings array<struct<level:int,text:string>>").select("page_id", F.posexplode("headings").alias("pos", "h"))
+    before = F.lag("h.level").over(Window.partitionBy("page_id").orderBy("pos"))
+    return d.withColumn("before", before).filter(F.col("h.level") > F.col("before") + 1).select("page_id", F.col("h.level").alias("to_level"))
+
+
+# --- history ---------------------------------------------------------------------
+
+PAIR_CTE = f"""{AUDIT}, cur as (select *, {STATE.replace("page_type = 'episode'", 'false')} as st from ap where ord % 10 <> 1),
+    prv as (select ord, url, case when ord % 7 = 0 then coalesce(title, '') || ' old' else title end as title, case when ord % 5 = 0 then word_count * 2 else word_count end as word_count,
+      case when ord % 17 = 0 then 503 else status end as status, case when ord % 19 = 0 then null else html_size_bytes end as html_size_bytes from ap where ord % 10 <> 0),
+    ck as (select *, {NORMALIZED} as k from cur), pk as (select *, {NORMALIZED} as k from prv),
+    c as (select * from (select *, row_number() over (partition by k order by ord desc) as rn from ck) where rn = 1), p as (select * from (select *, row_number() over (partition by k order by ord desc) as rn from pk) where rn = 1),
+    j as (select c.*, p.title as p_title, p.word_count as p_words, p.status as p_status, p.html_size_bytes as p_bytes, p.ord as p_ord from c join p using (k)),
+    full_j as (select c.url as url, c.ord as now_ord, p.ord as old_ord, p.url as old_url from c full join p using (k))"""
+WS_SQL = "trim(regexp_replace(coalesce({c}, ''), '\\s+', ' ', 'g'))"
+DIFF = f"""with {PAIR_CTE} select url, 'page_new' as event_type, null as field_name from full_j where old_ord is null union all select old_url, 'page_removed', null from full_j where now_ord is null
+    union all select url, 'http_status_changed', 'status_code' from j where status is distinct from p_status
+    union all select url, 'field_changed', 'title' from j where {WS_SQL.format(c='title')} <> {WS_SQL.format(c='p_title')}
+    union all select url, 'field_changed', 'word_count' from j where abs(word_count - p_words) >= 100 or (p_words > 0 and abs(word_count - p_words) / p_words >= 0.3)
+    union all select url, 'html_size_changed', 'html_size_bytes' from j where p_bytes is not null and (abs(html_size_bytes - p_bytes) >= 102400 or (p_bytes > 0 and abs(html_size_bytes - p_bytes) / p_bytes >= 0.5))"""
+# fields that only differ where two pages share a normalized URL and the rows kept are not of one page
+PAIRED = f"""{DIFF} union all select j.url, 'field_changed', 'h1_count' from j join ap q on q.ord = p_ord where j.h1_count <> q.h1_count
+    union all select j.url, 'field_changed', 'noindex' from j join ap q on q.ord = p_ord where j.noindex <> q.noindex
+    union all select j.url, 'indexability_changed', 'is_indexable' from j join ap q on q.ord = p_ord where j.is_indexable <> q.is_indexable
+    union all select j.url, 'page_added_to_sitemap', 'source_sitemap' from j join ap q on q.ord = p_ord where j.in_sitemap and not q.in_sitemap
+    union all select j.url, 'page_removed_from_sitemap', 'source_sitemap' from j join ap q on q.ord = p_ord where not j.in_sitemap and q.in_sitemap
+    union all select j.url, 'page_became_discovered', 'source_discovered' from j join ap q on q.ord = p_ord where j.discovered and not q.discovered
+    union all select j.url, 'page_no_longer_discovered', 'source_discovered' from j join ap q on q.ord = p_ord where not j.discovered and q.discovered
+    union all select j.url, 'response_time_changed', 'response_time_ms' from j join ap q on q.ord = p_ord where abs(j.response_time_ms - q.response_time_ms) >= 1000 and abs(j.response_time_ms - q.response_time_ms) / q.response_time_ms >= 0.5
+    union all select j.url, 'indexing_state_changed', 'indexing_state' from j join (select ap.ord as o, {STATE.replace("page_type = 'episode'", 'false')} as st2 from ap) q on q.o = p_ord where j.st <> q.st2"""
+
+
+def page_events(spark, sf_dir) -> DataFrame:
+    return history.compare_pages(*adapters.crawl_pair(spark, sf_dir))
+
+
+@query(PAIRED)
+def diff_pages(spark, sf_dir):
+    return page_events(spark, sf_dir).select("url", "event_type", "field_name")
+
+
+def issue_pair(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Issues of the audit pages as two crawls: some pages are in one only, and every thirteenth issue was more severe."""
+    i = page_issues(spark, sf_dir).select(F.lit(1).alias("pair"), urls.issue_key("url", "issue_type").alias("issue_key"), "url", "severity", (F.col("ord") * 100 + F.col("rule_ord")).alias("ord"), F.col("ord").alias("page"))
+    previous = i.filter("page % 10 <> 0").withColumn("severity", F.when(F.col("page") % 13 == 1, "critical").otherwise(F.col("severity")))
+    return i.filter("page % 10 <> 1"), previous
+
+
+ISSUE_PAIR = f"""{WITH_ISSUES}, ii as (select page_id, {NORMALIZED} || '::' || issue_type as k, pi.severity, ap.url from pi join ap using (page_id)),
+    c as (select k, max_by(severity, page_id) as severity, max_by(url, page_id) as url from ii where page_id % 10 <> 1 group by k),
+    p as (select k, max_by(case when page_id % 13 = 1 then 'critical' else severity end, page_id) as severity, max_by(url, page_id) as url from ii where page_id % 10 <> 0 group by k),
+    e as (select k as issue_key, 'issue_new' as event_type, c.severity as severity from c left join p using (k) where p.severity is null union all select k, 'severity_changed', c.severity from c join p using (k) where c.severity <> p.severity
+      union all select k, 'issue_ongoing', c.severity from c join p using (k) union all select k, 'issue_resolved', p.severity from p left join c using (k) where c.severity is null)"""
+
+
+@query(f"{ISSUE_PAIR} select * from e")
+def diff_issues(spark, sf_dir):
+    return history.compare_issues(*issue_pair(spark, sf_dir)).select("issue_key", "event_type", "severity")
+
+
+@query(f"{ISSUE_PAIR} select event_type, count(*) as n, count(distinct issue_key) as keys from e group by event_type")
+def diff_summary(spark, sf_dir):
+    return history.compare_issues(*issue_pair(spark, sf_dir)).groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("issue_key").alias("keys"))
+
+
+@query(f"{ISSUE_PAIR}, r as (select issue_key, event_type, {RANK} as priority, row_number() over (partition by event_type order by {RANK}, issue_key) as rank from e) select * from r where rank <= 5")
+def priority_top5(spark, sf_dir):
+    d = history.compare_issues(*issue_pair(spark, sf_dir)).select("issue_key", "event_type", history.priority().alias("priority"))
+    return graph.top_of(d, ["event_type"], ["priority", "issue_key"]).drop("more").withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query(f"with {RUNS}, s as (select *, row_number() over (partition by site_id order by started_at desc, id desc) as rn from fr where status = 'success') select fr.id as run_id, case when a.id = fr.id then b.id else a.id end as baseline_id from fr left join s a on a.site_id = fr.site_id and a.rn = 1 left join s b on b.site_id = fr.site_id and b.rn = 2")
+def baseline_runs(spark, sf_dir):
+    return history.baseline_runs(adapters.runs(spark, sf_dir))
+
+
+# --- scoring ---------------------------------------------------------------------
+
+CAT = "cat as (select * from (values " + ", ".join(f"('{t}', '{c}', {m:.2f}::double)" for c, ts in config.CATEGORY.items() for t, m in ts.items()) + ") t(issue_type, category, multiplier))"
+MULT = "case when nth <= 1 then 1.0 when nth <= 5 then 0.75 when nth <= 20 then 0.4 else 0.2 end"
+BASE_SQL = "case severity when 'critical' then 20.0 when 'high' then 10.0 when 'medium' then 4.0 else 1.0 end"
+PEN = f"""{CAT}, pr as (select ap.run, pi.issue_type, pi.severity, page_id, row_number() over (partition by ap.run, pi.issue_type order by ap.url, page_id) as nth from pi join ap using (page_id)),
+    pen as (select run, category, issue_type, min_by(severity, nth) as severity, count(*) as occurrences, sum({BASE_SQL} * multiplier * {MULT}) as penalty from pr join cat using (issue_type) group by run, category, issue_type)"""
+
+
+def rated_issues(spark, sf_dir) -> DataFrame:
+    return page_issues(spark, sf_dir).withColumn("ord", F.col("ord") * 100 + F.col("rule_ord"))
+
+
+@query(f"{WITH_ISSUES}, {PEN} select run, category, issue_type, occurrences, round(penalty, 6) as penalty from pen")
+def score_penalties(spark, sf_dir):
+    return scoring.penalties(rated_issues(spark, sf_dir)).select("run", "category", "issue_type", "occurrences", F.round("penalty", 6).alias("penalty"))
+
+
+def rated_pages(spark, sf_dir) -> DataFrame:
+    return adapters.audit_pages(spark, sf_dir).withColumns({"indexing_state": rules.indexing_state(F.lit("unknown")), "images_missing_alt": F.lit(0), "has_viewport": F.lit(False), "n_broken": F.lit(0)})
+
+
+SIG = f"""sg as (select ap.run, count(*) as n, count(*) filter ({STATE} = 'noindex_unexpected') = 0 as no_unexpected_noindex, count(*) filter (lang is null) = 0 as valid_lang_tag, count(*) filter (outcome <> 'ok') / count(*) >= 0.9 as site_uncrawlable,
+      count(*) filter (page_type = 'episode') as n_ep, bool_or(status >= 500 or outcome = 'network_error') as crit from ap group by ap.run),
+    ic as (select ap.run, count(*) filter (issue_type = 'missing_canonical') as n_can, count(*) filter (issue_type = 'missing_podcast_episode_schema') as n_sch, count(*) filter (pi.severity = 'critical') as n_crit from pi join ap using (page_id) group by ap.run),
+    sf as (select sg.run, coalesce(n_can, 0) = 0 as valid_canonicals, no_unexpected_noindex, valid_lang_tag, n_ep > 0 and coalesce(n_sch, 0) = 0 as structured_data_present, coalesce(n_crit, 0) > 0 as any_critical_issue, site_uncrawlable from sg left join ic using (run))"""
+
+
+@query(f"{WITH_ISSUES}, {SIG} select * from sf")
+def score_signals(spark, sf_dir):
+    d = scoring.signals(rated_pages(spark, sf_dir), page_issues(spark, sf_dir))
+    return d.select("run", "valid_canonicals", "no_unexpected_noindex", "valid_lang_tag", "structured_data_present", "any_critical_issue", "site_uncrawlable")
+
+
+def lost(c: str) -> str:
+    return f"coalesce(sum(penalty) filter (category = '{c}'), 0)"
+
+
+SCORE = f"""{SIG}, {PEN}, ls as (select sf.run, {', '.join(f'{lost(c)} as l_{c}' for c in config.WEIGHTS)} from sf left join pen using (run) group by sf.run),
+    ct as (select sf.*, greatest(0, least(100, 100 - l_technical)) as s_technical, greatest(0, least(100, 100 - l_onPage + least(5, 2.0 * valid_canonicals::int + 2 + valid_lang_tag::int))) as s_onPage,
+      greatest(0, least(100, 100 - l_content + 2.0 * structured_data_present::int)) as s_content, greatest(0, least(100, 100 - l_internalLinks + 3)) as s_internalLinks, greatest(0, least(100, 100 - l_indexing + least(5, 3.0 * no_unexpected_noindex::int + 2))) as s_indexing,
+      greatest(0, least(100, 100 - l_performance)) as s_performance from sf join ls using (run)),
+    rw as (select *, s_technical * 0.2 + s_onPage * 0.2 + s_content * 0.15 + s_internalLinks * 0.15 + s_indexing * 0.2 + s_performance * 0.1 as raw from ct),
+    sc as (select *, cast(floor(least(raw, case when any_critical_issue then 69 else 100 end, case when site_uncrawlable then 20 else 100 end) + 0.5) as integer) as overall_score,
+      case when site_uncrawlable and raw > 20 then 'site_uncrawlable' when any_critical_issue and raw > 69 then 'any_critical_issue' end as cap_applied from rw)"""
+
+
+def site_scores(spark, sf_dir) -> DataFrame:
+    return scoring.scores(rated_pages(spark, sf_dir), rated_issues(spark, sf_dir))
+
+
+@query(f"{WITH_ISSUES}, {SCORE} select run, round(raw, 6) as raw, overall_score, round(s_onPage, 6) as on_page, round(s_technical, 6) as technical, round(s_indexing, 6) as indexing from sc")
+def score_overall(spark, sf_dir):
+    r = lambda c, name: F.round(c, 6).alias(name)
+    return site_scores(spark, sf_dir).select("run", r("raw", "raw"), "overall_score", r("score_onPage", "on_page"), r("score_technical", "technical"), r("score_indexing", "indexing"))
+
+
+@query(f"{WITH_ISSUES}, {SCORE} select run, overall_score, cap_applied from sc")
+def score_caps(spark, sf_dir):
+    return site_scores(spark, sf_dir).select("run", "overall_score", "cap_applied")
+
+
+@query(f"{WITH_ISSUES}, {SCORE} select run, case when overall_score >= 90 then 'Excellent' when overall_score >= 80 then 'Healthy' when overall_score >= 70 then 'Needs Attention' when overall_score >= 50 then 'Poor' else 'Critical' end as label from sc")
+def score_labels(spark, sf_dir):
+    return site_scores(spark, sf_dir).select("run", "label")
+
+
+SNAP = "sn as (select id as run_id, site_id, started_at, cast(id % 101 as integer) as overall_score from fr where status = 'success')"
+
+
+def snapshots(spark, sf_dir) -> DataFrame:
+    return adapters.runs(spark, sf_dir).filter("status = 'success'").select(F.col("id").alias("run_id"), "site_id", "started_at", (F.col("id") % 101).cast("int").alias("overall_score"))
+
+
+@query(f"with {RUNS}, {SNAP} select run_id, overall_score, overall_score - lag(overall_score) over (partition by site_id order by started_at, run_id) as score_delta from sn")
+def score_backfill_delta(spark, sf_dir):
+    return scoring.with_delta(snapshots(spark, sf_dir)).select("run_id", "overall_score", "score_delta")
+
+
+@query(f"with {RUNS}, {SNAP} select id from fr where status = 'success' and id not in (select run_id from sn where run_id % 2 = 0)")
+def score_backfill_todo(spark, sf_dir):
+    return scoring.backfill(adapters.runs(spark, sf_dir), snapshots(spark, sf_dir).filter("run_id % 2 = 0")).select("id")
+
+
+@query(f"""with {FI}, m as (select fi.*, case issue_type {' '.join(f"when '{k}' then '{v}'" for k, v in adapters.REAL_TYPES.items())} end as t from fi), {CAT},
+    r as (select run_id, t as issue_type, severity, row_number() over (partition by run_id, t order by url, severity) as nth from m)
+    select run_id, category, round(sum({BASE_SQL} * multiplier * {MULT}), 6) as penalty from r join cat using (issue_type) group by run_id, category""")
+def score_penalties_by_run(spark, sf_dir):
+    """Every run of the large issue table at once: one shuffle by run and type."""
+    names = F.create_map(*(F.lit(x) for kv in adapters.REAL_TYPES.items() for x in kv))
+    i = adapters.issues(spark, sf_dir).withColumn("issue_type", F.try_element_at(names, F.col("issue_type"))).withColumn("ord", F.col("severity"))
+    p = scoring.penalties(i, "run_id", collation=False)
+    return p.groupBy("run_id", "category").agg(F.round(F.sum("penalty"), 6).alias("penalty"))
+
+
+# --- views -----------------------------------------------------------------------
+
+
+@query(f"with {RUNS}, {LATEST} select site_id, id, status from lr")
+def latest_runs(spark, sf_dir):
+    return views.latest_runs(adapters.runs(spark, sf_dir)).select("site_id", "id", "status")
+
+
+@query(f"with {RUNS}, {FI} select fi.site_id, issue_key, run_id, fr.started_at as crawl_started_at from fi join fr on fr.id = fi.run_id")
+def issue_occurrences(spark, sf_dir):
+    return views.issue_occurrences(adapters.issues(spark, sf_dir), adapters.runs(spark, sf_dir)).select("site_id", "issue_key", "run_id", "crawl_started_at")
+
+
+HIST = "h as (select fi.site_id, issue_key, min(fr.started_at) as first_seen_at, max(fr.started_at) as last_seen_at, count(*) as times_seen from fi join fr on fr.id = fi.run_id group by all)"
+
+
+@query(f"with {RUNS}, {FI}, {HIST} select * from h")
+def issue_history(spark, sf_dir):
+    return views.issue_history(views.issue_occurrences(adapters.issues(spark, sf_dir), adapters.runs(spark, sf_dir)))
+
+
+@query(f"with {RUNS}, {LATEST}, {FI}, {HIST} select fi.run_id, fi.site_id, issue_key, severity, first_seen_at, times_seen from fi join lr on lr.id = fi.run_id left join h on h.site_id = fi.site_id and h.issue_key = fi.issue_key".replace("issue_key, severity", "fi.issue_key, fi.severity"))
+def current_issues(spark, sf_dir):
+    return views.current_issues(adapters.issues(spark, sf_dir), adapters.runs(spark, sf_dir)).select("run_id", "site_id", "issue_key", "severity", "first_seen_at", "times_seen")
+
+
+@query(f"with {RUNS}, {LATEST} select l_orderkey as run_id, l_linenumber, l_partkey from lineitem join lr on lr.id = l_orderkey")
+def latest_pages(spark, sf_dir):
+    p = adapters.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), "l_linenumber", "l_partkey")
+    return views.latest_pages(p, adapters.runs(spark, sf_dir))
+
+
+@query(f"with {RUNS}, {SNAP}, s as (select *, row_number() over (partition by site_id order by started_at desc, run_id desc) as rn from sn) select site_id, run_id, overall_score from s where rn = 1")
+def latest_scores(spark, sf_dir):
+    return views.latest_scores(snapshots(spark, sf_dir), adapters.runs(spark, sf_dir)).select("site_id", "run_id", "overall_score")
+
+
+# --- dashboard -------------------------------------------------------------------
+
+
+@query(f"""with {RUNS}, {FC}, t as (select * from (select *, row_number() over (partition by site_id order by started_at desc, id desc) as rn from fr) where rn <= 30), s as (select run_id, {SUMMARY} from fc group by run_id)
+    select id, site_id, coalesce(new_issues, 0) as new_issues, coalesce(resolved_issues, 0) as resolved_issues, coalesce(changed_pages, 0) as changed_pages, coalesce(new_issues + resolved_issues + changed_pages, 0) as total from t left join s on s.run_id = t.id""")
+def crawl_history_changes(spark, sf_dir):
+    d = dashboard.crawl_history(adapters.runs(spark, sf_dir), adapters.changes(spark, sf_dir))
+    return d.select("id", "site_id", "new_issues", "resolved_issues", "changed_pages", "total")
+
+
+@query(f"with {FC} select id, event_type, url, severity from fc where site_id = 7 and event_type <> 'issue_ongoing' order by created_at desc, id desc limit 50")
+def recent_changes(spark, sf_dir):
+    return dashboard.recent_changes(adapters.changes(spark, sf_dir), 7).select("id", "event_type", "url", "severity")
+
+
+@query(f"with {FC}, r as (select id, url, site_id, row_number() over (partition by site_id order by created_at desc, id desc) as rank from fc where event_type = 'issue_resolved') select * from r where rank <= 30")
+def resolved_issues(spark, sf_dir):
+    d = dashboard.newest(adapters.changes(spark, sf_dir).filter("event_type = 'issue_resolved'").select("id", "url", "site_id", "created_at"), ["site_id"])
+    return d.drop("created_at").withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query(f"with {FC}, r as (select id, url, site_id, row_number() over (partition by site_id, url order by created_at desc, id desc) as rank from fc) select * from r where rank <= 30")
+def changes_for_url(spark, sf_dir):
+    d = dashboard.newest(adapters.changes(spark, sf_dir).select("id", "url", "site_id", "created_at"), ["site_id", "url"])
+    return d.drop("created_at").withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query(f"with {FC} select run_id, {SUMMARY} from fc group by run_id")
+def since_last_crawl(spark, sf_dir):
+    return history.summary(adapters.changes(spark, sf_dir), "run_id")
+
+
+@query(f"with {FC}, s as (select run_id, {SUMMARY} from fc group by run_id) select run_id, new_issues, resolved_issues, changed_pages, new_issues + resolved_issues + changed_pages as total from s")
+def changes_by_crawl(spark, sf_dir):
+    return dashboard.changes_by_crawl(adapters.changes(spark, sf_dir))
+
+
+@query(f"""with {RUNS}, {LATEST}, {FI}, i as (select run_id, count(*) filter (severity = 'critical') as c, count(*) filter (severity = 'high') as h from fi group by run_id)
+    select site_id, case when coalesce(c, 0) > 0 then 'critical' when coalesce(h, 0) > 0 then 'needs_attention' else 'healthy' end as overall_status from lr left join i on i.run_id = lr.id""")
+def overall_status(spark, sf_dir):
+    i = adapters.issues(spark, sf_dir).groupBy(F.col("run_id").alias("id")).agg(F.count_if(F.col("severity") == "critical").alias("c"), F.count_if(F.col("severity") == "high").alias("h"))
+    d = views.latest_runs(adapters.runs(spark, sf_dir)).join(i, "id", "left").fillna(0, ["c", "h"])
+    return d.select("site_id", dashboard.overall_status(F.col("c"), F.col("h"), F.lit(0), F.lit(0), F.lit(0)).alias("overall_status"))
+
+
+@query(f"with {RUNS}, {LATEST}, m as (select site_id, greatest(0, cast(floor(epoch(timestamp '1998-08-02 12:00:00' - last_progress_at) / 60 + 0.5) as bigint)) as minutes_ago from lr) select site_id, minutes_ago, minutes_ago > 24 * 60 as is_stale from m")
+def freshness(spark, sf_dir):
+    f = dashboard.freshness(F.col("last_progress_at"), F.expr(NOW), 24)
+    return views.latest_runs(adapters.runs(spark, sf_dir)).select("site_id", f.alias("f")).select("site_id", "f.minutes_ago", "f.is_stale")
+
+
+@query(f"with {AUDIT}, pi as ({ISSUES_SQL}) select ap.page_id, count(pi.page_id) as issue_count from ap left join pi using (page_id) group by ap.page_id")
+def pages_with_issue_counts(spark, sf_dir):
+    d = dashboard.pages_with_issue_counts(adapters.audit_pages(spark, sf_dir).select("page_id"), page_issues(spark, sf_dir), ["page_id"])
+    return d.select("page_id", "issue_count")
+
+
+@query(f"with {RUNS} select id, lag(id) over (partition by site_id order by started_at, id) as previous_id from fr")
+def previous_run(spark, sf_dir):
+    return dashboard.previous_run(adapters.runs(spark, sf_dir)).select("id", "previous_id")
+
+
+@query(f"with {RUNS}, {SNAP}, r as (select *, row_number() over (partition by site_id order by started_at desc, run_id desc) as rank from sn) select site_id, run_id, overall_score, rank from r where rank <= 30")
+def score_history(spark, sf_dir):
+    s = snapshots(spark, sf_dir).withColumn("id", F.col("run_id"))
+    return dashboard.newest(s, ["site_id"], "started_at").select("site_id", "run_id", "overall_score", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(f"with {RUNS}, {SNAP}, w as (select *, count(*) over (partition by site_id) as points, max(overall_score) over (partition by site_id) as top from sn) select site_id, run_id, row_number() over (partition by site_id order by started_at, run_id) as position, round(overall_score / greatest(1, top), 6) as height from w where points >= 2")
+def score_trend(spark, sf_dir):
+    d = dashboard.trend(snapshots(spark, sf_dir).withColumn("id", F.col("run_id")).withColumn("value", F.col("overall_score")))
+    return d.select("site_id", "run_id", F.col("position").cast("bigint").alias("position"), F.round("height", 6).alias("height"))
+
+
+@query("select event_id, case event_type when 'signup' then 'New Issue' when 'purchase' then 'Resolved' when 'view' then 'Ongoing Issue' when 'error' then 'HTTP Status Changed' else 'Metadata Changed' end as label from events")
+def event_labels(spark, sf_dir):
+    return adapters.changes(spark, sf_dir).select(F.col("id").alias("event_id"), dashboard.label(config.EVENT_LABELS, "event_type").alias("label"))
+
+
+@query(f"with {RUNS}, {LATEST}, {FI} select issue_key, severity, {RANK} as severity_rank from fi join lr on lr.id = fi.run_id where lower(url || ' ' || issue_type) like '%/1%' and severity = 'high'".replace("issue_key, severity,", "fi.issue_key, fi.severity,"))
+def issue_search(spark, sf_dir):
+    d = adapters.issues(spark, sf_dir).join(views.latest_runs(adapters.runs(spark, sf_dir)).select(F.col("id").alias("run_id")), "run_id", "left_semi")
+    return dashboard.search_issues(d, "/1", severity="high").select("issue_key", "severity", dashboard.severity_rank().alias("severity_rank"))
+
+
+@query(f"with {FI} select distinct issue_type as value from fi where issue_type <> ''")
+def facets(spark, sf_dir):
+    return dashboard.facet(adapters.issues(spark, sf_dir), "issue_type")
+
+
+@query(f"with {FC}, r as (select * from fc where site_id = 7 and event_type <> 'issue_ongoing' order by created_at desc, id desc limit 50) select id, event_type from r where event_type in ('page_new', 'page_removed', 'field_changed', 'http_status_changed')")
+def category_filter_after_limit(spark, sf_dir):
+    return dashboard.in_category(dashboard.recent_changes(adapters.changes(spark, sf_dir), 7), "page_changes").select("id", "event_type")
+
+
+@query(f"{WITH_ISSUES}, {PEN}, r as (select run, issue_type, round(penalty, 6) as penalty, row_number() over (partition by run order by round(penalty, 6) desc, issue_type) as rank from pen where penalty > 0) select * from r where rank <= 5")
+def top_deductions(spark, sf_dir):
+    p = scoring.penalties(rated_issues(spark, sf_dir)).withColumn("penalty", F.round("penalty", 6))
+    return dashboard.top_deductions(p).select("run", "issue_type", "penalty", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(f"""with {RUNS}, s as (select id, epoch(timestamp '1998-08-02 12:00:00' - last_progress_at) > 900 as quiet, epoch(timestamp '1998-08-02 12:00:00' - started_at) > 2700 as late from fr where status = 'running')
+    select id, case when late then 'Scan marked failed: exceeded the 45-minute timeout.' else 'Scan marked failed: no progress for over 15 minutes.' end as reason from s where quiet or late""")
+def stale_runs(spark, sf_dir):
+    return control.stale_runs(adapters.runs(spark, sf_dir), F.expr(NOW)).select("id", "reason")
+
+
+@query(f"with {FI} select issue_key, split_part(issue_key, '::', 2) as issue_type, count(*) as n from fi group by all")
+def resolved_issue_types(spark, sf_dir):
+    return adapters.issues(spark, sf_dir).select("issue_key", dashboard.type_of_key().alias("issue_type")).groupBy("issue_key", "issue_type").agg(F.count("*").alias("n"))
