@@ -233,23 +233,27 @@ def confirmed(pairs: DataFrame, d: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """v, c: the smallest node reachable, for each node of the links (a, b). Alternating large and small stars."""
+    """v, c: the smallest node reachable, for each node of the links (a, b) that is not that node itself.
+
+    Alternating large and small stars, until a round changes nothing.
+    """
     spark = links.sparkSession
-    now = stored(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("c")).filter("v != c").distinct(), "neardup-stars")
+    now = links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("c")).filter("v != c")
+    before, old = None, None
     while True:
         both = now.union(now.select(F.col("c").alias("v"), F.col("v").alias("c")))
         low = both.groupBy("v").agg(F.least(F.min("c"), F.col("v")).alias("m"))
-        large = both.join(low, "v").filter("c > v").select(F.col("c").alias("v"), F.col("m").alias("c")).distinct()
+        large = both.join(low, "v").filter("c > v").select(F.col("c").alias("v"), F.col("m").alias("c"))
         low = large.groupBy("v").agg(F.min("c").alias("m"))
         small = large.join(low, "v")
         nxt = small.select(F.col("c").alias("v"), F.col("m").alias("c")).union(low.select("v", F.col("m").alias("c"))).filter("v != c").distinct()
-        nxt = stored(nxt, "neardup-stars")
-        # settled when every node has one edge, to a node that has none
-        more = nxt.groupBy("v").count().filter("count > 1").limit(1).count() or nxt.join(nxt.select(F.col("v").alias("x")), F.col("c") == F.col("x"), "left_semi").limit(1).count()
-        dropped(spark, now)
-        now = nxt
-        if not more:
+        now = stored(nxt, "neardup-stars")
+        state = now.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.col("c").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("v", "c"))).first()
+        if old is not None:
+            dropped(spark, old)
+        if state == before or not state[0]:
             return now
+        before, old = state, now
 
 
 def labelled(ids: DataFrame, comp: DataFrame, col: str, name: str) -> DataFrame:
@@ -258,19 +262,27 @@ def labelled(ids: DataFrame, comp: DataFrame, col: str, name: str) -> DataFrame:
     return ids.join(c, ids[col] == c["_v"], "left").withColumn(name, F.coalesce("_c", col)).drop("_v", "_c")
 
 
-def linked(pairs: DataFrame, links: DataFrame | None, d: DataFrame) -> DataFrame:
-    """All confirmed links so far and those among the checked pairs (a, b, like) that matter: one pair a class first, then what still lies between components."""
+def linked(pairs: DataFrame, links: DataFrame | None, d: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Confirmed links, those there were included, and their components, after all checked pairs (a, b, like) that matter.
+
+    Of each class the likeliest pair is confirmed first, then what still lies between components.
+    """
     best = pairs.groupBy("b").agg(F.max(F.struct("like", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
     got = confirmed(best, d)
     links = got if links is None else links.union(got)
     comp = components(links)
     rest = labelled(labelled(pairs, comp, "a", "ca"), comp, "b", "cb").filter("ca != cb").select("a", "b")
     rest = stored(rest.join(best, ["a", "b"], "left_anti"), "neardup-rest")
-    return links.union(confirmed(rest, d))
+    if rest.limit(1).count():
+        got = confirmed(rest, d)
+        if got.limit(1).count():
+            links = links.union(got)
+            comp = components(links)
+    return links, comp
 
 
-def classes_linked(reps: DataFrame, d: DataFrame) -> DataFrame | None:
-    """Links (a, b) that connect all classes which are connected; None if there are none."""
+def classes_linked(reps: DataFrame, d: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that connect all classes which are connected, and their components."""
     first = keyed(reps, (LEAST,))
     agg = first.groupBy("k0").agg(F.count("*").alias("n"), F.min("id").alias("top")).filter("n > 1")
     shared = stored(first.join(agg, "k0"), "neardup-regions")  # most classes share no region: they are gone here
@@ -285,23 +297,22 @@ def classes_linked(reps: DataFrame, d: DataFrame) -> DataFrame | None:
         for part, made in divided(deep):
             pairs = pairs.union(made).union(star(part.filter(F.col("tree") < STAR_TREES)))
     pairs = stored(pairs.distinct(), "neardup-pairs")
-    good = stored(checked(pairs, reps), "neardup-checked")
-    links = linked(good, None, d)
+    links, comp = linked(stored(checked(pairs, reps), "neardup-checked"), None, d)
     while deep is not None:
-        comp = components(links)
-        rows = labelled(deep, comp, "id", "c")
         more = None
-        for part, made in divided(rows, True):
+        for part, made in divided(labelled(deep, comp, "id", "c"), True):
             far = star(part.filter(F.col("c") != F.col("tc"))).union(star(part.filter(F.col("c") != F.col("bc")).withColumn("top", F.col("last"))))
             more = made.union(far) if more is None else more.union(made).union(far)
         more = stored(more.distinct().join(pairs, ["a", "b"], "left_anti"), "neardup-pairs")
-        pairs = pairs.union(more)
         good = stored(checked(more, reps), "neardup-checked")
-        before = links
-        links = linked(good, links, d)
-        if not links.exceptAll(before).limit(1).count():
+        if not good.limit(1).count():
+            break
+        pairs = pairs.union(more)
+        had = links.count()
+        links, comp = linked(good, links, d)
+        if links.count() == had:
             break
-    return links
+    return links, comp
 
 
 def divided(deep: DataFrame, between: bool = False) -> Iterator[tuple[DataFrame, DataFrame]]:
@@ -322,6 +333,8 @@ def divided(deep: DataFrame, between: bool = False) -> Iterator[tuple[DataFrame,
         inside = stored(rows.join(agg, k), f"neardup-depth{i}")
         large = inside.filter(F.col("n") > REGION)
         yield large, within(inside.filter(F.col("n") <= REGION), k, ["c"] if between else None)
+        if not large.limit(1).count():
+            return
         rows = large.select(*rows.columns)
 
 
@@ -343,8 +356,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reps = stored(reps, "neardup-classes")
     dropped(spark, all_rows)
     copies = of_row.filter("doc_id is not null and id is not null and doc_id != id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    links = classes_linked(reps, d)
-    comp = components(links)
+    links, comp = classes_linked(reps, d)
     # an id with several texts has several classes; where that happens the components of copies are joined, too
     shared = of_row.filter("doc_id is not null and id is not null").groupBy("doc_id").agg(F.count_distinct("id").alias("n")).filter("n > 1")
     if shared.limit(1).count():
