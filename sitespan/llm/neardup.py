@@ -9,17 +9,18 @@ rest runs over classes.
   classes with a common prefix of LEAST or more values in some tree are
   neighbours there.
 * Depth adapts. Classes that share a prefix form a region. A region of up to
-  REGION classes gives all its pairs. In a larger one each class pairs with
-  the smallest id only, and the next depths divide it until its parts are
-  small. So no large group is expanded.
+  REGION classes gives all its pairs. A larger one is divided by the next
+  depths until its parts are small; of the deepest large region it is in, a
+  class pairs with the smallest id only. So no large group is expanded.
 * Pairs pass a check on whole signatures (an estimate far below the limit
   drops out); those that stay are confirmed on full shingle sets. Of a class's
   pairs the likeliest is confirmed first; pairs within one component then need
   no further look.
 * Large regions that still hold several components go through another round,
   between components only, until a round connects nothing new.
-* Components come from alternating large and small stars: a logarithmic number
-  of rounds of joins, each written to the shared folder.
+* Components: links counted to be few enough are united in one task; beyond
+  that, alternating large and small stars take a logarithmic number of rounds
+  of joins, each written to the shared folder.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from .common import dropped, stored
 
 WORDS = 5
 VALUES, TREES, LEAST = 160, 64, 6
-STAR_TREES = 8  # trees whose large regions give pairs in the first round
+STAR_TREES = 6  # trees whose large regions give pairs in the first round
 DEPTHS = (LEAST, 8, 10, 13, 16)
 REGION = 24
 LIMIT = 0.75
@@ -165,6 +166,15 @@ def star(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("id") != F.col("top")).select(F.least("id", "top").alias("a"), F.greatest("id", "top").alias("b"))
 
 
+def deepest(parts: list[DataFrame], *cols: str) -> DataFrame:
+    """id and cols of each class's deepest large region in each tree; parts by depth."""
+    rows = None
+    for depth, p in enumerate(parts):
+        x = p.select("id", "tree", F.struct(F.lit(depth).alias("depth"), *cols).alias("x"))
+        rows = x if rows is None else rows.union(x)
+    return rows.groupBy("id", "tree").agg(F.max("x").alias("x")).select("id", "x.*")
+
+
 def ids_of(rows: DataFrame, *cols: str) -> DataFrame:
     out = rows.select(F.col(cols[0]).alias("id"))
     for c in cols[1:]:
@@ -232,11 +242,40 @@ def confirmed(pairs: DataFrame, d: DataFrame) -> DataFrame:
     return out
 
 
-def components(links: DataFrame) -> DataFrame:
+def united(links: DataFrame) -> DataFrame:
+    """v, c as components() gives them, of links that fit in one task: union by the smaller node."""
+    shape = pa.schema([("v", pa.int64()), ("c", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            top = x
+            while (y := up.get(top, top)) != top:
+                top = y
+            while x != top:
+                up[x], x = top, up.get(x, x)
+            return top
+
+        for batch in batches:
+            for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a, b = root(a), root(b)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+        v = list(up)
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array([root(x) for x in v], pa.int64())], schema=shape)
+
+    return links.select("a", "b").coalesce(1).mapInArrow(run, "v long, c long").filter("v != c")
+
+
+def components(links: DataFrame, at_once: int = 1 << 19) -> DataFrame:
     """v, c: the smallest node reachable, for each node of the links (a, b) that is not that node itself.
 
-    Alternating large and small stars, until a round changes nothing.
+    Links counted to be at most `at_once` are united in one task; more go
+    through alternating large and small stars, until a round changes nothing.
     """
+    if links.count() <= at_once:
+        return stored(united(links), "neardup-components")
     spark = links.sparkSession
     now = links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("c")).filter("v != c")
     before, old = None, None
@@ -294,15 +333,18 @@ def classes_linked(reps: DataFrame, d: DataFrame) -> tuple[DataFrame, DataFrame]
     if large.limit(1).count():
         keys = large.select("k0").distinct()
         deep = stored(keyed(reps.join(crowded, "id", "left_semi"), DEPTHS).join(keys, "k0", "left_semi"), "neardup-deep")
-        for part, made in divided(deep):
-            pairs = pairs.union(made).union(star(part.filter(F.col("tree") < STAR_TREES)))
+        parts, made = zip(*divided(deep), strict=True)
+        few = [p.filter(F.col("tree") < STAR_TREES) for p in parts]
+        for m in [*made, star(deepest(few, "top"))]:
+            pairs = pairs.union(m)
     pairs = stored(pairs.distinct(), "neardup-pairs")
     links, comp = linked(stored(checked(pairs, reps), "neardup-checked"), None, d)
     while deep is not None:
-        more = None
-        for part, made in divided(labelled(deep, comp, "id", "c"), True):
-            far = star(part.filter(F.col("c") != F.col("tc"))).union(star(part.filter(F.col("c") != F.col("bc")).withColumn("top", F.col("last"))))
-            more = made.union(far) if more is None else more.union(made).union(far)
+        parts, made = zip(*divided(labelled(deep, comp, "id", "c"), True), strict=True)
+        far = deepest(parts, "top", "tc", "last", "bc", "c")
+        more = star(far.filter(F.col("c") != F.col("tc"))).union(star(far.filter(F.col("c") != F.col("bc")).withColumn("top", F.col("last"))))
+        for m in made:
+            more = more.union(m)
         more = stored(more.distinct().join(pairs, ["a", "b"], "left_anti"), "neardup-pairs")
         good = stored(checked(more, reps), "neardup-checked")
         if not good.limit(1).count():
