@@ -236,7 +236,8 @@ def raw_facts(html: str | None, url: str) -> dict:
             name = next((x for x in shown if len(x) >= config.ANCHOR_LEAST), name)
         anchors.append({"href": u, "text": name, "is_internal": host_of(u) == site})
     shell = lambda n: n.tag in HIDDEN or n.tag in LANDMARKS or n.attrs.get("role") in ROLES
-    blocks = [squeezed(n.text(HIDDEN | LANDMARKS)).lower() for n in b.body.walk() if n.tag in BLOCKS and not shell(n) and not n.inside(shell)]
+    visible = (n for n in b.body.walk() if n.tag in BLOCKS and not shell(n) and not n.inside(shell))
+    blocks = [t for n in visible if (t := squeezed(n.text(HIDDEN | LANDMARKS)).lower())]
     mixed: dict[str, None] = {}
     if url.lower().startswith("https:"):
         sources = [[n.attrs.get("src", "") for n in nodes if n.tag == tag] for tag in MIXED_SRC]
@@ -345,7 +346,8 @@ def has_html5_doctype(html) -> Column:
 def publication_state(episodes, now) -> Column:
     """From the first episode with a date: published if it is not after `now` (an explicit time), else scheduled; unknown without a readable one."""
     first = F.get(F.filter(episodes, lambda e: e["date_published"].isNotNull()), F.lit(0))["date_published"]
-    at = F.coalesce(F.try_to_timestamp(first), F.try_to_timestamp(first, F.lit("EEE, dd MMM yyyy HH:mm:ss Z")))
+    mail = F.regexp_replace(F.regexp_replace(first, r"^[A-Za-z]{3},\s*", ""), "(GMT|UTC|Z)$", "+0000")
+    at = F.coalesce(F.try_to_timestamp(first), F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm:ss Z")))
     return F.when(at.isNull(), "unknown").when(at <= now, "published").otherwise("scheduled")
 
 
