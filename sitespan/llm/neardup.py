@@ -16,7 +16,8 @@ rest runs over classes.
   drops out); those that stay are confirmed on full shingle sets. Of a class's
   pairs the likeliest is confirmed first; pairs within one component then need
   no further look.
-* Large regions that still hold several components go through another round,
+* Of large regions a few trees are looked at first. Those of all trees that
+  hold a class outside the largest component then go through further rounds,
   between components only, until a round connects nothing new.
 * Components: links counted to be few enough are united in one task; beyond
   that, alternating large and small stars take a logarithmic number of rounds
@@ -325,22 +326,29 @@ def classes_linked(reps: DataFrame, d: DataFrame) -> tuple[DataFrame, DataFrame]
     first = keyed(reps, (LEAST,))
     agg = first.groupBy("k0").agg(F.count("*").alias("n"), F.min("id").alias("top")).filter("n > 1")
     shared = stored(first.join(agg, "k0"), "neardup-regions")  # most classes share no region: they are gone here
-    small = shared.filter(F.col("n") <= REGION)
+    pairs = within(shared.filter(F.col("n") <= REGION), "k0")
     large = shared.filter(F.col("n") > REGION)
-    pairs = within(small, "k0")
+    keys = large.select("k0").distinct()
     crowded = large.select("id").distinct()
-    deep = None
-    if large.limit(1).count():
-        keys = large.select("k0").distinct()
-        deep = stored(keyed(reps.join(crowded, "id", "left_semi"), DEPTHS).join(keys, "k0", "left_semi"), "neardup-deep")
+    some = bool(large.limit(1).count())
+    if some:  # the large regions of a few trees connect most of what belongs together
+        crowd = stored(reps.join(crowded, "id", "left_semi"), "neardup-crowd")
+        deep = stored(keyed(crowd, DEPTHS).filter(F.col("tree") < STAR_TREES).join(keys, "k0", "left_semi"), "neardup-deep")
         parts, made = zip(*divided(deep), strict=True)
-        few = [p.filter(F.col("tree") < STAR_TREES) for p in parts]
-        for m in [*made, star(deepest(few, "top"))]:
+        for m in [*made, star(deepest(parts, "top"))]:
             pairs = pairs.union(m)
     pairs = stored(pairs.distinct(), "neardup-pairs")
     links, comp = linked(stored(checked(pairs, reps), "neardup-checked"), None, d)
-    while deep is not None:
-        parts, made = zip(*divided(labelled(deep, comp, "id", "c"), True), strict=True)
+    while some:
+        # a region without a class outside the largest component lies within it and needs no look
+        of = stored(labelled(crowd.select("id"), comp, "id", "c"), "neardup-labels")
+        most = of.groupBy("c").count().orderBy(F.desc("count"), "c").first()["c"]
+        other = crowd.join(of.filter(F.col("c") != most), "id", "left_semi")
+        mixed = keyed(other, (LEAST,)).select("k0").distinct().join(keys, "k0", "left_semi")
+        deep = stored(keyed(crowd, DEPTHS).join(mixed, "k0", "left_semi").join(of, "id"), "neardup-deep")
+        if not deep.limit(1).count():
+            break
+        parts, made = zip(*divided(deep, True), strict=True)
         far = deepest(parts, "top", "tc", "last", "bc", "c")
         more = star(far.filter(F.col("c") != F.col("tc"))).union(star(far.filter(F.col("c") != F.col("bc")).withColumn("top", F.col("last"))))
         for m in made:
