@@ -153,6 +153,26 @@ def keyed(sigs: DataFrame, depths: tuple[int, ...]) -> DataFrame:
     return sigs.select("id", "sig").mapInArrow(run, "id long, tree int, " + ", ".join(f"{n} long" for n in names))
 
 
+def deepened(rows: DataFrame, sigs: DataFrame) -> DataFrame:
+    """id, tree, k0, k1, ...: the keys of all depths for rows (id, tree) of a few trees and classes."""
+    names = [f"k{i}" for i in range(len(DEPTHS))]
+    shape = pa.schema([("id", pa.int64()), ("tree", pa.int32()), *((n, pa.int64()) for n in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, VALUES)
+            keys = np.empty((batch.num_rows, len(DEPTHS)), np.int64)
+            trees = batch.column(1).to_numpy(zero_copy_only=False)
+            for at in range(0, len(sig), 512):
+                part = slice(at, at + 512)
+                keys[part] = prefixes(sig[part], DEPTHS)[np.arange(len(sig[part])), trees[part]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(keys[:, i])) for i in range(len(DEPTHS)))], schema=shape)
+
+    return rows.select("id", "tree").join(sigs.select("id", "sig"), "id").select("id", "tree", "sig").mapInArrow(run, "id long, tree int, " + ", ".join(f"{n} long" for n in names))
+
+
 def within(rows: DataFrame, key: str, more: list | None = None) -> DataFrame:
     """All pairs (a < b) of the rows of one key; for regions of bounded size only."""
     x = rows.select(F.col(key).alias("xk"), F.col("id").alias("a"), *(F.col(c).alias(f"x{c}") for c in more or []))
@@ -333,7 +353,7 @@ def classes_linked(reps: DataFrame, d: DataFrame) -> tuple[DataFrame, DataFrame]
     some = bool(large.limit(1).count())
     if some:  # the large regions of a few trees connect most of what belongs together
         crowd = stored(reps.join(crowded, "id", "left_semi"), "neardup-crowd")
-        deep = stored(keyed(crowd, DEPTHS).filter(F.col("tree") < STAR_TREES).join(keys, "k0", "left_semi"), "neardup-deep")
+        deep = stored(deepened(large.filter(F.col("tree") < STAR_TREES), crowd), "neardup-deep")
         parts, made = zip(*divided(deep), strict=True)
         for m in [*made, star(deepest(parts, "top"))]:
             pairs = pairs.union(m)
@@ -345,7 +365,7 @@ def classes_linked(reps: DataFrame, d: DataFrame) -> tuple[DataFrame, DataFrame]
         most = of.groupBy("c").count().orderBy(F.desc("count"), "c").first()["c"]
         other = crowd.join(of.filter(F.col("c") != most), "id", "left_semi")
         mixed = keyed(other, (LEAST,)).select("k0").distinct().join(keys, "k0", "left_semi")
-        deep = stored(keyed(crowd, DEPTHS).join(mixed, "k0", "left_semi").join(of, "id"), "neardup-deep")
+        deep = stored(deepened(large.join(mixed, "k0", "left_semi"), crowd).join(of, "id"), "neardup-deep")
         if not deep.limit(1).count():
             break
         parts, made = zip(*divided(deep, True), strict=True)
