@@ -30,7 +30,7 @@ def test_pipeline(spark, tmp_path):
     rows = [(i, f"{t} {rng.randrange(10**6)}x", lang) for i, t, lang in sentences(5, 120) if len(t.split()) >= 22]
     base = rows[3][1] + " " + rows[4][1] + " " + rows[5][1]
     rows += [(1000, base, "en"), (1001, base + " end", "en"), (1002, base, None), (1003, "same words again " * 30, "en"), (1004, None, "en"), (1005, "1 2 3 4 5 " * 6, "en")]
-    rows += [(1006, rows[7][1] + " mail a.b@c.de now +1 (555) 555-1234", rows[7][2])]
+    rows += [(1006, " ".join(reversed(rows[7][1].split())) + " mail a.b@c.de now +1 (555) 555-1234", rows[7][2])]
     docs = [(i, t, lang, "s", len(t or "")) for i, t, lang in rows]
     d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
     d.write.parquet(str(tmp_path / "documents.parquet"))
