@@ -5,8 +5,10 @@ A recording is a WAV of 8-bit mono samples. Its short-time Fourier transform
 strongest local maxima over a floor are peaks; each peak pairs with the next
 few peaks in a target zone. A pair's hash packs both frequencies and the time
 between them, and the fingerprint is the array of (time, hash) in time order.
-Frames are processed in blocks of a fixed number counted from the start of the
-recording, so equal samples always give equal results.
+Half a frame of silence stands before and after the recording and the last
+frame is filled with it, so that every sample weighs in full over the frames it
+is in. Frames are processed in blocks of a fixed number counted from the start
+of the recording, so equal samples always give equal results.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from .common import row_mapper
 
 RATE = 8000
-FRAME, HOP = 256, 192
+FRAME, HOP = 256, 128
 BLOCK = 2048  # frames transformed at once
 PEAKS = 3  # most peaks kept in a frame
 FAN, ZONE = 3, 16  # pairs a peak begins, and frames they may span
@@ -54,12 +56,17 @@ def padded(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw.ljust(max(1, -(-len(raw) // 192)) * 192, b" ")
 
 
+def framed(samples: bytes) -> np.ndarray:
+    """All frames of a recording, before the window; a view of its samples."""
+    x = np.frombuffer(samples, np.uint8).astype(np.float32) - 128.0
+    n = -(-len(x) // HOP) + 1
+    x = np.pad(x, (FRAME // 2, (n - 1) * HOP + FRAME // 2 - len(x)))
+    return np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+
+
 def peaks(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Frame and frequency bin of each spectral peak, by frame, then bin."""
-    x = np.frombuffer(samples, np.uint8).astype(np.float32) - 128.0
-    if len(x) < FRAME:
-        x = np.pad(x, (0, FRAME - len(x)))
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+    frames = framed(samples)
     when, bins = [], []
     for at in range(0, len(frames), BLOCK):
         mag = np.abs(np.fft.rfft(frames[at : at + BLOCK] * _window, axis=1))[:, 1:-1]

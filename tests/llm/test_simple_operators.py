@@ -116,6 +116,21 @@ def test_fingerprint_finds_a_shifted_recording():
     assert len(set(b) & set(a)) > 0.8 * len(set(b))
 
 
+def test_fingerprint_reads_the_whole_recording():
+    rng = np.random.default_rng(1)
+    for k in (1, 2, 3, 5):
+        quiet = bytes([128]) * 192 * k
+        noise = rng.integers(0, 256, 128).astype(np.uint8).tobytes()
+        assert len(media.peaks(quiet[:-128] + noise)[0]) > 0, k  # the end alone gives peaks
+    for k in (1, 2, 3, 5):
+        quiet = bytes([128]) * 192 * k
+        for at in (0, 1, 100, len(quiet) - 2, len(quiet) - 1):
+            changed = bytearray(quiet)
+            changed[at] = 228
+            weighed = np.abs(media.framed(bytes(changed)) * media._window).sum() / 100
+            assert 0.98 < weighed < 1.02, (k, at)
+
+
 def test_bpe_equals_library_and_round_trips(odd, none):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     enc = bpe.encoding(path, public_tokenizers.PATTERN)
