@@ -1,24 +1,28 @@
 """Language-model scores from a hierarchical Pitman-Yor model.
 
-Tokens are words and one end mark a text. A context restaurant is chosen by the
-token before: the OWN most frequent words have one each, other words share one
-of CLASSES by their last two bytes, and a text's first token has its own. All
-context restaurants have one parent, the root restaurant over all words, whose
-base gives each of the V known words and one unknown word the same chance. A
-customer who opens a table in a context is a customer of the root.
+Tokens are words and one end mark a text. Every word that comes before a token
+has a context restaurant of its own, whatever its count, and a text's first
+token has one, too. All context restaurants have one parent, the root
+restaurant over all words, whose base gives each of the V known words and one
+unknown word the same chance. A customer who opens a table in a context is a
+customer of the root. So the model grows with the corpus: one restaurant a
+known word, one dish a pair of words.
 
 Seating is sampled by Gibbs sweeps: a dish's customers in a restaurant leave
 and sit down again by the Chinese-restaurant rule, given all else. After
 BURN sweeps, SAMPLES seatings are kept; a token's probability is the mean of
 what they predict. Discounts come from the numbers of dishes seen once and
-twice. Seating is sampled in parallel over dishes: a restaurant's total
-of tables, which a task cannot see, is estimated from its block of dishes;
-predictions use the exact totals of what was sampled.
-
-All training texts count, with all their words. The HEAD most frequent words
-travel as numbers, and their probabilities reach tasks as one dense array of
-HEAD x contexts, whose size is thus fixed. The other words, of any number, are
-joined by shuffling.
+twice. Seating is sampled in parallel over dishes. A pair seen once has one
+table in any seating and is only counted. A context's customers and pairs seen
+once are exact while sampling; what tables its other pairs have, which a task
+cannot see, is estimated from its block of dishes (drawn by a hash) by contexts
+of about the same size. Predictions use the exact totals of what was sampled.
+
+All training texts count, with all their words. Words have numbers: the HEAD
+most frequent their rank, others a 63-bit hash, which is checked to differ for
+all words of the table. Facts of the head's words and the PAIRS most frequent
+pairs reach tasks as arrays, whose size is thus fixed. All other words and pairs, of any
+number, are joined by shuffling.
 """
 
 from __future__ import annotations
@@ -32,18 +36,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import dropped, stored
 
 HEAD = 1 << 16
-OWN, CLASSES = 16, 16
-CONTEXTS = OWN + CLASSES + 1
-START = CONTEXTS - 1
+PAIRS = 1 << 21
+CONTEXTS = 33  # classes of contexts by size, over which a block estimates tables: powers of two of their customers
+START = 1 << 62  # number of the context of a text's first token
 BURN, SAMPLES = 3, 3
+_T, _R = ([f"{c}{i}" for i in range(SAMPLES)] for c in "tr")  # columns of the kept seatings
+_K, _C, _D = ([f"{c}{i}" for i in range(SAMPLES)] for c in ("tables", "root", "dishes"))  # facts of contexts and words
+_SEAT = ["u", "w", "n", "c", "customers", *_T, *_K, *_C, *_D]
 STRENGTH = {"context": 1.0, "root": 10.0}
 END = b""  # the end mark; no word is empty
-_MARK = b"\x20"  # begins the code of a head word; no word holds it
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -51,8 +56,8 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
 
 
-def counted(train: DataFrame) -> DataFrame:
-    """token, c over texts (a single column of them)."""
+def counted(d: DataFrame) -> DataFrame:
+    """token, c over (text, train): how often each word stands in training texts; 0 for words of the others alone."""
     shape = pa.schema([("token", pa.binary()), ("c", pa.int64())])
 
     def made(seen: Counter) -> pa.RecordBatch:
@@ -61,81 +66,100 @@ def counted(train: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0):
-                seen.update(tokens(text.as_py()))
+            for text, train in zip(batch.column(0), batch.column(1), strict=True):
+                if train.as_py():
+                    seen.update(tokens(text.as_py()))
+                else:
+                    for w in tokens(text.as_py()):
+                        seen[w] += 0
                 if len(seen) > 400_000:
                     yield made(seen)
                     seen.clear()
         if seen:
             yield made(seen)
 
-    return train.mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    return d.select("text", "train").mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
 class Head:
-    """The most frequent words by number, and every word's context."""
-
-    def __init__(self, words: list[bytes]) -> None:
-        self.number = {w: k for k, w in enumerate(words)}
-        own = [k for k, w in enumerate(words) if w != END][:OWN]
-        self.context = np.fromiter((self.shared(w) for w in words), np.int16, len(words))
-        self.context[own] = np.arange(len(own))
-
-    @staticmethod
-    def shared(word: bytes) -> int:
-        return OWN + zlib.crc32(word[-2:]) % CLASSES
-
-    def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers (-1: not in the head) of one text's tokens and their contexts."""
-        get = self.number.get
-        ids = np.fromiter([get(w, -1) for w in words], np.int64, len(words))
-        ctx = np.empty(len(ids), np.int16)
-        ctx[0] = START
-        ctx[1:] = self.context[ids[:-1]] if len(self.context) else 0
-        for i in np.flatnonzero(ids[:-1] < 0):
-            ctx[i + 1] = self.shared(words[i])
-        return ids, ctx
+    """The most frequent words by number, and every word's number."""
+
+    def __init__(self, words: list[bytes], seed: int) -> None:
+        self.words, self.seed = words, seed
+
+    def numbers(self) -> Numbers:
+        n = Numbers(zip(self.words, range(len(self.words)), strict=True))
+        n.size, n.seed, n.far = len(self.words), self.seed, []
+        return n
+
+
+class Numbers(dict):
+    """Numbers of words: the head's for good, others (below 0) remembered up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self.far) > 500_000:
+            for w in self.far:
+                del self[w]
+            self.far.clear()
+        k = self[word] = xxhash.xxh3_64_intdigest(word, self.seed) % (1 << 63) - (1 << 63)
+        self.far.append(word)
+        return k
+
+    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of a text's tokens and of their contexts."""
+        w = tokens(text)
+        ids = np.fromiter(map(self.__getitem__, w), np.int64, len(w))
+        return np.append(START, ids[:-1]), ids
+
+
+def numbered(counts: DataFrame, head) -> DataFrame:
+    """id, c of each word."""
+    shape = pa.schema([("id", pa.int64()), ("c", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = head.value.numbers()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([known[w] for w in batch.column(0).to_pylist()], pa.int64()), batch.column(1)], schema=shape)
+
+    return counts.mapInArrow(run, "id long, c long")
 
 
 def fingerprint(text: str | None) -> int:
     return xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def read_rows(d: DataFrame, head) -> DataFrame:
-    """From (doc_id, text, train): for words outside the head a row for each token (doc_id, fp, token, ctx, n=1, train); for training tokens of the head a row for each word and context of a task (token: its code, doc_id null)."""
-    shape = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("token", pa.binary()), ("ctx", pa.int32()), ("n", pa.int64()), ("train", pa.bool_())])
+def read_pairs(d: DataFrame, head) -> DataFrame:
+    """u, w, n: for each pair of a context and a token of (text, train) how often it stands in training texts (0: in others alone)."""
+    shape = pa.schema([("u", pa.int64()), ("w", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h: Head = head.value
-        seen = np.zeros(max(1, len(h.context)) * CONTEXTS, np.int32)
+        known = head.value.numbers()
+        wide = known.size + 1
+
+        def made(parts: list) -> Iterator[pa.RecordBatch]:
+            u, w, t = (np.concatenate(x) for x in zip(*parts, strict=True))
+            near = (w >= 0) & (u >= 0)
+            key, n = np.unique((np.where(u == START, known.size, u)[near] * wide + w[near]) * 2 + t[near], return_counts=True)
+            t2, key = key % 2, key // 2
+            u2 = key // wide
+            u = np.concatenate([np.where(u2 == known.size, START, u2), u[~near]])
+            w, n = np.concatenate([key % wide, w[~near]]), np.concatenate([n * t2, t[~near]])
+            for at in range(0, len(u), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000].astype(np.int64)) for x in (u, w, n)], schema=shape)
+
+        parts, size = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                docs, fps, words, ctxs, trains, keys = [], [], [], [], [], []
-                for doc, text, train in zip(*(c.to_pylist() for c in batch.slice(at, 128).columns), strict=True):
-                    w = tokens(text)
-                    ids, ctx = h.read(w)
-                    far = np.flatnonzero(ids < 0)
-                    if len(far):
-                        docs += [doc] * len(far)
-                        fps += [fingerprint(text)] * len(far)
-                        trains += [train] * len(far)
-                        words += [w[i] for i in far]
-                        ctxs.append(ctx[far])
-                    if train:
-                        keys.append((ids * CONTEXTS + ctx)[ids >= 0])
-                if keys:
-                    k, n = np.unique(np.concatenate(keys), return_counts=True)
-                    seen[k] += n.astype(np.int32)
-                if words:
-                    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(fps, pa.int64()), pa.array(words, pa.binary()), pa.array(np.concatenate(ctxs).astype(np.int32)), pa.array(np.ones(len(words), np.int64)), pa.array(trains, pa.bool_())], schema=shape)
-        k = np.flatnonzero(seen)
-        for at in range(0, len(k), 50_000):
-            part = k[at : at + 50_000]
-            n = len(part)
-            codes = [_MARK + int(x).to_bytes(4, "big") for x in part // CONTEXTS]
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(codes, pa.binary()), pa.array((part % CONTEXTS).astype(np.int32)), pa.array(seen[part].astype(np.int64)), pa.array(np.ones(n, bool))], schema=shape)
-
-    return d.mapInArrow(run, "doc_id long, fp long, token binary, ctx int, n long, train boolean")
+            for text, train in zip(batch.column(0), batch.column(1), strict=True):
+                u, w = known.read(text.as_py())
+                parts.append((u, w, np.full(len(w), int(train.as_py()))))
+                size += len(w)
+                if size > 2_000_000:
+                    yield from made(parts)
+                    parts, size = [], 0
+        if parts:
+            yield from made(parts)
+
+    return d.select("text", "train").mapInArrow(run, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n"))
 
 
 # --- seating -----------------------------------------------------------------
@@ -161,74 +185,89 @@ def seated(n: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Ge
     return t
 
 
-def gibbs(word: np.ndarray, ctx: np.ndarray, n: np.ndarray, share: float, base: float, discounts: tuple[float, float], rng: np.random.Generator):
-    """Seatings of a block of dishes. word: their numbers, 0 up, sorted. share: the block's part of all dishes.
+def gibbs(word: np.ndarray, ctx: np.ndarray, n: np.ndarray, share: float, base: float, discounts: tuple[float, float], rng: np.random.Generator, single: np.ndarray | None = None, rooms: tuple[np.ndarray, np.ndarray] | None = None, pair_share: float | None = None):
+    """Seatings of a block of dishes. word: their numbers, 0 up, sorted. share: the block's part of all dishes, pair_share of all pairs.
 
+    single: pairs seen once by word, which are not among the rows. rooms: of
+    each row's context the pairs seen once and the other customers; ctx is then
+    the context's class, and else the context.
     Returns for each kept sweep: tables by pair, root customers by word, root tables by word.
     """
     d1, d0 = discounts
     s1, s0 = STRENGTH["context"], STRENGTH["root"]
-    size = int(word[-1]) + 1
+    size = int(word[-1]) + 1 if single is None else len(single)
+    single = np.zeros(size) if single is None else single
+    pair_share = share if pair_share is None else pair_share
     t = np.ones(len(n))
+    t0 = np.ones(size)
     kept = []
     for sweep in range(BURN + SAMPLES):
-        c0 = np.bincount(word, t, size)
-        all0 = c0.sum() / share
-        t0 = np.ones(size) if not sweep else t0
+        c0 = np.bincount(word, t, size) + single
+        all0 = c0.sum() / pair_share
         t0 = seated(c0, np.full(size, (s0 + d0 * t0.sum() / share) * base), d0, rng)
         p0 = (c0 - d0 * t0 + (s0 + d0 * t0.sum() / share) * base) / (s0 + all0)
         if sweep >= BURN:
             kept.append((t, c0, t0))
-        tables = np.bincount(ctx, t, CONTEXTS) / share
-        t = seated(n, (s1 + d1 * tables[ctx]) * p0[word], d1, rng)
+        tables = np.bincount(ctx, t, CONTEXTS)
+        if rooms is None:
+            tables = (tables / share)[ctx]
+        else:
+            tables = rooms[0] + rooms[1] * (tables / np.maximum(np.bincount(ctx, n, CONTEXTS), 1))[ctx]
+        t = seated(n, (s1 + d1 * tables) * p0[word], d1, rng)
     return kept
 
 
-def sampled(pairs: DataFrame, n_words: int, discounts: tuple[float, float]) -> DataFrame:
-    """From (token, ctx, n), a token's rows in one partition and together: a row for each token with its customers and tables.
+def sampled(rows: DataFrame, n_words: int, n_pairs: int, discounts: tuple[float, float], near) -> DataFrame:
+    """From (w, u, n, single, other), a word's rows in one partition and together: u, w, n and tables (t0, t1, ...) of pairs; with u null t0, ... are root customers and r0, ... root tables of words.
 
-    Columns: token, ctx and n (arrays), t (SAMPLES arrays behind one another),
-    c0 and t0 (arrays over samples). token null: a block's totals, with n and
-    t over all contexts.
+    u null: n is the word's number of pairs seen once. Otherwise single and
+    other are the context's (pairs seen once, other customers), null for the
+    head's contexts, which take them from `near`.
     """
-    lists = [("ctx", pa.int32()), ("n", pa.int64()), ("t", pa.int32()), ("c0", pa.int64()), ("t0", pa.int64())]
-    shape = pa.schema([("token", pa.binary()), *((c, pa.list_(k)) for c, k in lists)])
-
-    def block(token: list, ctx: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        first = np.array([True, *(a != b for a, b in zip(token[1:], token, strict=False))])
-        word = np.cumsum(first) - 1
-        starts = np.append(np.flatnonzero(first), len(token)).astype(np.int32)
-        words = int(word[-1]) + 1
-        rng = np.random.default_rng(zlib.crc32(token[0]))
-        kept = gibbs(word, ctx, n, words / n_words, 1 / (n_words + 1), discounts, rng)
-        t = np.stack([k[0] for k in kept], axis=1).astype(np.int32).ravel()  # by pair, then sample
-        c0, t0 = (np.stack([k[i] for k in kept], axis=1).astype(np.int64).ravel() for i in (1, 2))
-        cut = lambda v, o: pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(v))
-        each = np.arange(words + 1, dtype=np.int32) * SAMPLES
-        yield pa.RecordBatch.from_arrays([pa.array([token[i] for i in starts[:-1]], pa.binary()), cut(ctx.astype(np.int32), starts), cut(n, starts), cut(t, starts * SAMPLES), cut(c0, each), cut(t0, each)], schema=shape)
-        all_n = np.bincount(ctx, n, CONTEXTS).astype(np.int64)
-        all_t = np.stack([np.bincount(ctx, k[0], CONTEXTS) for k in kept], axis=1).astype(np.int32).ravel()
-        total = [[None], [list(range(CONTEXTS))], [all_n.tolist()], [all_t.tolist()], [[int(k[1].sum()) for k in kept]], [[int(k[2].sum()) for k in kept]]]
-        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(total, shape, strict=True)], schema=shape)
+    shape = pa.schema([("u", pa.int64()), ("w", pa.int64()), ("n", pa.int64()), *((c, pa.int64()) for c in _T + _R)])
+
+    def block(w: np.ndarray, u: np.ndarray, n: np.ndarray, single: np.ndarray, other: np.ndarray, lone: np.ndarray) -> Iterator[pa.RecordBatch]:
+        word = np.cumsum(np.append(True, w[1:] != w[:-1])) - 1
+        ids = w[np.append(True, w[1:] != w[:-1])]
+        size = len(ids)
+        ones = np.bincount(word[lone], n[lone], size)
+        pair = ~lone
+        facts = near.value
+        at = np.where(u == START, len(facts[0]) - 1, u)
+        close = pair & (u >= 0)
+        single[close], other[close] = facts[0][at[close]], facts[1][at[close]]
+        word, u, n, single, other = word[pair], u[pair], n[pair], single[pair], other[pair]
+        kind = np.minimum(np.log2(np.maximum(other, 1)).astype(np.int64), CONTEXTS - 1)
+        rng = np.random.default_rng(int(ids[0]) & 0xFFFFFFFF)
+        kept = gibbs(word, kind, n, size / n_words, 1 / (n_words + 1), discounts, rng, ones, (single, other), (ones.sum() + len(n)) / n_pairs)
+        t, c0, t0 = (np.stack([k[i] for k in kept], axis=1).astype(np.int64) for i in range(3))
+        for k in range(0, len(n), 50_000):
+            p = slice(k, k + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(u[p]), pa.array(w[pair][p]), pa.array(n[p]), *(pa.array(x[p]) for x in t.T), *[pa.nulls(len(n[p]), pa.int64())] * SAMPLES], schema=shape)
+        for k in range(0, size, 50_000):
+            p = slice(k, k + 50_000)
+            lacks = pa.nulls(len(ids[p]), pa.int64())
+            yield pa.RecordBatch.from_arrays([lacks, pa.array(ids[p]), lacks, *(pa.array(x[p]) for x in [*c0.T, *t0.T])], schema=shape)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, ctx, n = [], [], []
+        held, size = [], 0
         for batch in batches:
-            token += batch.column(0).to_pylist()
-            ctx.append(batch.column(1).to_numpy())
-            n.append(batch.column(2).to_numpy())
-            if len(token) > 250_000:
-                cx, nn = np.concatenate(ctx), np.concatenate(n)
-                cut = len(token)
-                while cut and token[cut - 1] == token[-1]:  # the last word may go on
-                    cut -= 1
+            if not batch.num_rows:
+                continue
+            held.append([*(batch.column(i).fill_null(0).to_numpy() for i in range(5)), batch.column(1).is_null().to_numpy(zero_copy_only=False)])
+            size += batch.num_rows
+            if size > 250_000:
+                cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+                last = np.flatnonzero(cols[0] != cols[0][-1])  # the last word may go on
+                cut = last[-1] + 1 if len(last) else 0
                 if cut:
-                    yield from block(token[:cut], cx[:cut], nn[:cut])
-                token, ctx, n = token[cut:], [cx[cut:]], [nn[cut:]]
-        if token:
-            yield from block(token, np.concatenate(ctx), np.concatenate(n))
+                    yield from block(*(c[:cut].copy() for c in cols))
+                held = [[c[cut:] for c in cols]]
+                size = size - cut
+        if size:
+            yield from block(*(np.concatenate(x).copy() for x in zip(*held, strict=True)))
 
-    return pairs.mapInArrow(run, "token binary, ctx array<int>, n array<long>, t array<int>, c0 array<long>, t0 array<long>")
+    return rows.select("w", "u", "n", "single", "other").mapInArrow(run, "u long, w long, n long, " + ", ".join(f"{c} long" for c in _T + _R))
 
 
 class Predictions:
@@ -248,28 +287,32 @@ class Predictions:
         return self.base / self.rooms
 
 
-def predicted(model: DataFrame, p) -> DataFrame:
-    """token, p0 (root's prediction by sample), ctx and lp (log10 of the mean prediction in contexts where the word was seen)."""
-    shape = pa.schema([("token", pa.binary()), ("p0", pa.list_(pa.float64())), ("ctx", pa.list_(pa.int32())), ("lp", pa.list_(pa.float64()))])
+def predicted(rows: DataFrame, p, near) -> DataFrame:
+    """u, w, c, lp (log10 of the mean prediction) from _SEAT: seats and the facts of far contexts and words; null: none, or in `near`."""
+    shape = pa.schema([("u", pa.int64()), ("w", pa.int64()), ("c", pa.int64()), ("lp", pa.float64())])
+
+    def some(batch: pa.RecordBatch, at: int) -> np.ndarray:
+        return np.stack([batch.column(at + i).fill_null(0).to_numpy() for i in range(SAMPLES)], axis=1).astype(np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q: Predictions = p.value
+        customers, tables, words0, words_t = near.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            flat = [batch.column(i).flatten().to_numpy() for i in range(1, 6)]
-            ctx, n = flat[0], flat[1]
-            t = flat[2].reshape(-1, SAMPLES)
-            root = q.root(flat[3].reshape(-1, SAMPLES), flat[4].reshape(-1, SAMPLES))
-            sizes = batch.column(1).value_lengths().to_numpy()
-            word = np.repeat(np.arange(len(sizes)), sizes)
-            prob = np.maximum(n[:, None] - q.d1 * t, 0) / q.places[ctx][:, None] + q.down[ctx] * root[word]
-            off = np.append(0, np.cumsum(sizes)).astype(np.int32)
-            each = np.arange(len(sizes) + 1, dtype=np.int32) * SAMPLES
-            lists = [pa.ListArray.from_arrays(pa.array(o), pa.array(v)) for o, v in ((each, root.ravel()), (off, ctx), (off, np.log10(prob.mean(axis=1))))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], schema=shape)
-
-    return model.filter("token is not null").select("token", "ctx", "n", "t", "c0", "t0").mapInArrow(run, "token binary, p0 array<double>, ctx array<int>, lp array<double>")
+            u, w, n = (batch.column(i).to_numpy() for i in range(3))
+            t = np.where(n[:, None] > 1, some(batch, 5), n[:, None])
+            room, tabs = batch.column(4).fill_null(0).to_numpy().astype(np.float64), some(batch, 5 + SAMPLES)
+            c0, t0 = some(batch, 5 + 2 * SAMPLES), some(batch, 5 + 3 * SAMPLES)
+            k = u >= 0
+            at = np.where(u == START, len(customers) - 1, u)[k]
+            room[k], tabs[k] = customers[at], tables[at]
+            k = w >= 0
+            c0[k], t0[k] = words0[w[k]], words_t[w[k]]
+            q = Predictions(p[0], p[1], room, tabs, p[2], p[3])
+            prob = np.maximum(n[:, None] - q.d1 * t, 0) / q.places[:, None] + q.down * q.root(c0, t0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], batch.column(3), pa.array(np.log10(prob.mean(axis=1)))], schema=shape)
+
+    return rows.select(*_SEAT).mapInArrow(run, "u long, w long, c long, lp double")
 
 
 def scored(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", head_size: int = HEAD) -> DataFrame:
@@ -284,79 +327,128 @@ def scored(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     spark = df.sparkSession
     sc = spark.sparkContext
     d = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    counts = stored(counted(d.filter("train").select("text")), "lm-counts")
-    facts = counts.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    n_all, n_words = facts[0] or 0, facts[1]
-    top = counts.orderBy(F.desc("c"), "token").limit(head_size).toArrow()
-    words, freq = top.column(0).to_pylist(), top.column(1).to_numpy()
-    head = sc.broadcast(Head(words))  # HEAD words at most
-    rows = stored(read_rows(d, head), "lm-rows")
-    pairs = rows.filter("train").select("token", "ctx", "n").repartition("token").groupBy("token", "ctx").agg(F.sum("n").alias("n"))
+    counts = stored(counted(d), "lm-counts")
+    known = counts.filter("c > 0")
+    facts = known.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2), F.max(F.when(F.col("token") == F.lit(END), F.col("c")))).first()
+    n_all, n_words, n_texts = facts[0] or 0, facts[1], facts[4] or 0
+    top = known.orderBy(F.desc("c"), "token").limit(head_size).toArrow()
+    freq = top.column(1).to_numpy()
+    size = len(freq)
+    for seed in range(9):
+        head = sc.broadcast(Head(top.column(0).to_pylist(), seed))  # HEAD words at most
+        words = stored(numbered(counts, head), "lm-words")
+        if not words.filter("id < 0").groupBy("id").count().filter("count > 1").limit(1).count():
+            break
+        dropped(spark, words)
+    else:
+        raise ValueError("two words have one number under every seed")
+    pairs = stored(read_pairs(d, head), "lm-pairs")
+    # pairs seen once by context; customers of a context are the times its word stands in training texts
+    ones = stored(pairs.filter("n = 1").groupBy("u").agg(F.count("*").alias("single")), "lm-single")
+
+    def dense(rows: DataFrame, key: str, *values: str) -> np.ndarray:
+        """Values of the head's words (and the start) by number, a column each."""
+        out = np.zeros((size + 1, len(values)))
+        got = rows.filter(F.col(key) >= 0).select(key, *values).toArrow()
+        at = got.column(0).to_numpy()
+        out[np.where(at == START, size, at)] = np.stack([c.to_numpy() for c in got.columns[1:]], axis=1)
+        return out
+
+    customers = np.append(freq, n_texts).astype(np.float64)
+    single = dense(ones, "u", "single")[:, 0]
+    far_rooms = words.filter("id < 0 and c > 0").select(F.col("id").alias("u"), F.col("c").alias("customers")).join(ones, "u", "left").withColumn("single", F.coalesce("single", F.lit(0)))
+    many = pairs.filter("n > 1")
+    none = F.lit(None).cast("long")
+    rows = many.filter("u < 0").join(far_rooms, "u").select("w", "u", "n", "single", (F.col("customers") - F.col("single")).alias("other"))
+    rows = rows.union(many.filter("u >= 0").select("w", "u", "n", none, none))
+    # each known word has a row of its own, with none of its pairs seen once if need be
+    lone = pairs.filter("n > 0").groupBy("w").agg(F.count_if(F.col("n") == 1).alias("n"))
+    rows = rows.union(lone.select("w", none, "n", none, none)).repartition("w").sortWithinPartitions(F.xxhash64("w"), "w")
 
     def discount(once: int, twice: int) -> float:
         return min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
 
     root_d = discount(facts[2], facts[3])
     discounts = (min(0.95, root_d + 0.1), root_d)
-    model = stored(sampled(pairs.sortWithinPartitions("token", "ctx"), max(1, n_words), discounts), "lm-model")
-    one = lambda c: model.filter("token is null").select(F.posexplode(c).alias("k", "v")).groupBy("k").agg(F.sum(F.col("v").cast("double")).alias("v")).collect()
-
-    def totals(c: str, size: int) -> np.ndarray:
-        out = np.zeros(size)
-        for r in one(c):
-            out[r["k"]] = r["v"]
-        return out
-
-    p = Predictions(n_words, discounts, totals("n", CONTEXTS), totals("t", CONTEXTS * SAMPLES).reshape(CONTEXTS, SAMPLES), totals("c0", SAMPLES), totals("t0", SAMPLES))
-    probs = stored(predicted(model, sc.broadcast(p)), "lm-probabilities")
-    dropped(spark, model)
-    code = F.col("token").substr(1, 1) == F.lit(_MARK)
-    # the head's predictions: one dense array of a fixed size
-    dense = np.full((max(1, len(words)), CONTEXTS), np.log10((p.down @ p.unknown()) / SAMPLES), np.float32)
-    part = probs.filter(code).toArrow()
-    if part.num_rows:
-        part = part.combine_chunks()
-        k = np.frombuffer(b"".join(x[1:] for x in part.column("token").to_pylist()), ">u4").astype(np.int64)
-        root = part.column("p0").combine_chunks().flatten().to_numpy().reshape(-1, SAMPLES)
-        dense[k] = np.log10(root @ p.down.T / SAMPLES)
-        ctx = part.column("ctx").combine_chunks()
-        dense[np.repeat(k, ctx.value_lengths().to_numpy()), ctx.flatten().to_numpy()] = part.column("lp").combine_chunks().flatten().to_numpy()
+    n_pairs = pairs.filter("n > 0").count()
+    model = stored(sampled(rows, max(1, n_words), max(1, n_pairs), discounts, sc.broadcast((single, customers - single))), "lm-model")
+    named = lambda old, new: [F.col(a).alias(b) for a, b in zip(old, new, strict=True)]
+    of_words = model.filter("u is null").select("w", *named(_T, _C), *named(_R, _D))
+    all0 = of_words.agg(*(F.sum(F.col(c).cast("double")) for c in _C + _D)).first()
+    all0 = np.array([x or 0 for x in all0], np.float64).reshape(2, SAMPLES)
+    tables = ones.select("u", *(F.col("single").alias(c) for c in _K)).union(model.filter("u is not null").groupBy("u").agg(*(F.sum(c) for c in _T)))
+    tables = stored(tables.groupBy("u").agg(*(F.sum(c).alias(c) for c in _K)), "lm-tables")
+    near = sc.broadcast((customers, dense(tables, "u", *_K), dense(of_words, "w", *_C), dense(of_words, "w", *_D)))
+    p = n_words, discounts, all0[0], all0[1]
+    seats = pairs.filter("n <= 1").select("u", "w", "n", *(none.alias(c) for c in _T)).union(model.filter("u is not null").select("u", "w", "n", *_T))
+    rooms = words.filter("id < 0 and c > 0").select(F.col("id").alias("u"), F.col("c").alias("customers")).join(tables.filter("u < 0"), "u", "left")
+    far_facts = words.filter("id < 0").select(F.col("id").alias("w"), "c").join(of_words.filter("w < 0"), "w", "left")
+    no_room, no_word = dict.fromkeys(["customers", *_K], none), dict.fromkeys(["c", *_C, *_D], none)
+
+    def with_facts(rows: DataFrame, far_u: bool, far_w: bool) -> DataFrame:
+        rows = rows.filter("u < 0" if far_u else "u >= 0").filter("w < 0" if far_w else "w >= 0")
+        rows = rows.join(rooms, "u", "left") if far_u else rows.withColumns(no_room)
+        return (rows.join(far_facts, "w", "left") if far_w else rows.withColumns(no_word)).select(*_SEAT)
+
+    # the most frequent pairs of the head, at most PAIRS: their least count from the numbers of pairs by count
+    often, least = 0, 1 << 20
+    close = pairs.filter("n > 1 and u >= 0 and w >= 0")
+    for r in sorted(close.groupBy(F.least("n", F.lit(least)).alias("n")).count().collect(), key=lambda r: -r["n"]):
+        often += r["count"]
+        if often > PAIRS:
+            break
+        least = r["n"]
+    if often > PAIRS and least == 1 << 20:
+        least = 1 << 62
+    got = predicted(with_facts(seats.filter(F.col("n") >= least), False, False), p, near).toArrow()
+    u, w, lp = (got.column(c).to_numpy() for c in ("u", "w", "lp"))
+    key = np.where(u == START, size, u) * (size + 1) + w
+    order = np.argsort(key)
     common = np.log10((freq + 1.0) / (n_all + n_words + 1.0))
-    sent = sc.broadcast((dense, common))
-    shape = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_near", pa.int64()), ("base_near", pa.float64()), ("near", pa.float64())])
+    sent = sc.broadcast((key[order], lp[order], common))
+    # only pairs with a word outside the head are joined with facts
+    whole = with_facts(seats.filter(F.col("n") < least), False, False)
+    for far in ((False, True), (True, False), (True, True)):
+        whole = whole.union(with_facts(seats, *far))
+    far_pairs = stored(predicted(whole, p, near), "lm-far")
+    dropped(spark, pairs, model, tables, ones, words, counts)
+    shape = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("train", pa.bool_()), ("u", pa.int64()), ("w", pa.int64()), ("n_tokens", pa.int64()), ("n_near", pa.int64()), ("base_near", pa.float64()), ("near", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h: Head = head.value
-        lp, base = sent.value
+        numbers = head.value.numbers()
+        keys, lps, base = sent.value
         for batch in batches:
-            out = [[] for _ in shape]
-            for doc, text, is_train in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, ctx = h.read(tokens(text))
-                near = ids >= 0
-                k = ids[near]
-                row = doc, fingerprint(text), is_train, len(ids), len(k), float(base[k].sum()), float(lp[k, ctx[near]].sum(dtype=np.float64))
-                for c, v in zip(out, row, strict=True):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, shape, strict=True)], schema=shape)
-
-    near = d.mapInArrow(run, "doc_id long, fp long, train boolean, n_tokens long, n_near long, base_near double, near double")
-    # words outside the head: joined with their counts and predictions, then summed by text
-    rare = counts.join(probs.filter(~code), "token").select("token", "c", "p0", F.col("ctx").alias("seen"), "lp")
-    far = rows.filter("doc_id is not null or fp is not null").select("doc_id", "fp", "token", "ctx").join(rare, "token", "left")
-    down = F.array(*(F.array(*(F.lit(float(x) / SAMPLES) for x in p.down[u])) for u in range(CONTEXTS)))
-    unknown = F.array(*(F.lit(float(x)) for x in p.unknown()))
-    p0 = F.coalesce("p0", unknown)
-    back = F.log10(F.aggregate(F.zip_with(p0, F.get(down, F.col("ctx")), lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y))
-    at = F.array_position("seen", F.col("ctx"))
-    far = far.select(
-        "doc_id", "fp",
-        F.when(at > 0, F.get("lp", (at - 1).cast("int"))).otherwise(back).alias("lp"),
-        F.log10((F.coalesce("c", F.lit(0)) + 1.0) / F.lit(n_all + n_words + 1.0)).alias("base"),
-        (F.coalesce("c", F.lit(0)) > 0).cast("int").alias("known"),
-    ).groupBy(F.col("doc_id").alias("far_id"), F.col("fp").alias("far_fp")).agg(F.sum("lp").alias("far"), F.sum("base").alias("base_far"), F.sum("known").alias("known_far"))
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                lens, sums, us, ws, fps = [], [], [], [], []
+                for text in part.column(1).to_pylist():
+                    u, w = numbers.read(text)
+                    k = np.where((u >= 0) & (w >= 0), np.where(u == START, size, u) * (size + 1) + w, -1)
+                    i = np.minimum(np.searchsorted(keys, k), max(0, len(keys) - 1))
+                    hit = keys[i] == k if len(keys) else np.zeros(len(k), bool)
+                    close = w[w >= 0]
+                    sums.append((len(w), len(close), base[close].sum(), lps[i[hit]].sum()))
+                    fps.append(fingerprint(text))
+                    # the text's own row comes first; no token is the start, so it finds no pair
+                    us += [fps[-1:], u[~hit]]
+                    ws += [[START], w[~hit]]
+                    lens.append(1 + len(u[~hit]))
+                each = np.repeat(np.arange(len(lens)), lens)
+                first = np.append(0, np.cumsum(lens)[:-1])
+                own = np.full(len(each), -1, np.int64)
+                own[first] = np.arange(len(lens))
+                own = pa.array(own, mask=own < 0)
+                ids = pa.array(each)
+                cols = [pa.array(c, t).take(own) for c, t in zip(zip(*sums, strict=True), [f.type for f in shape][5:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(ids), pa.array(fps, pa.int64()).take(ids), part.column(2).take(ids), pa.array(np.concatenate(us).astype(np.int64)), pa.array(np.concatenate(ws).astype(np.int64)), *cols], schema=shape)
+
+    # a row for each text with its sums over pairs that were sent, and one for each other pair, joined with its prediction (and the count of a word outside the head)
+    rows = d.mapInArrow(run, "doc_id long, fp long, train boolean, u long, w long, n_tokens long, n_near long, base_near double, near double").join(far_pairs, ["u", "w"], "left")
+    base_far = F.sum(F.log10((F.col("c") + 1.0) / F.lit(n_all + n_words + 1.0)))  # c is null for words of the head
+    one = [F.max(c).alias(c) for c in ("n_tokens", "n_near", "base_near", "near")]
     # rows of one id and text have added up to one sum: it is shared out again
-    near = near.withColumn("copies", F.count("*").over(Window.partitionBy("doc_id", "fp")))
-    both = near.join(far, near["doc_id"].eqNullSafe(far["far_id"]) & (near["fp"] == far["far_fp"]), "left")
+    both = rows.groupBy("doc_id", "fp", "train").agg(*one, F.count("n_tokens").alias("copies"), F.sum("lp").alias("far"), base_far.alias("base_far"), F.count_if(F.col("c") > 0).alias("known_far"))
+    both = both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return both.select(
         "doc_id", (~F.col("train")).alias("held_out"), "n_tokens",
         (F.col("n_near") + F.coalesce((F.col("known_far") / F.col("copies")).cast("long"), F.lit(0))).alias("n_known"),

@@ -131,6 +131,19 @@ def test_language_model(spark, odd, none):
     assert hpylm.scored(none, F.lit(True)).count() == 0
 
 
+def test_language_model_learns_what_follows_each_word(spark):
+    """400 words with equal ends, each with a successor of its own, in any order."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"a{k}zz b{k}zz" for k in rng.choices(range(400), k=40))) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (hpylm.HEAD, 50, 0):
+        got = hpylm.scored(d, ~held_out("doc_id", 7, 2), head_size=size).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+        assert got[0] > 0.6 * got[1], size
+    rows = sentences(2, 300) + sentences(2, 10)
+    got = hpylm.scored(spark.createDataFrame(rows, "doc_id long, text string, lang string"), ~held_out("doc_id", 7, 2), head_size=0).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > got[1]
+
+
 def test_model_is_a_distribution():
     """Predictions of all words and the unknown one add up to one in every context."""
     rng = np.random.default_rng(4)
