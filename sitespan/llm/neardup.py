@@ -18,7 +18,8 @@ rest runs over classes.
   no further look.
 * Of large regions a few trees are looked at first. Those of all trees that
   hold a class outside the largest component then go through further rounds,
-  between components only, until a round connects nothing new.
+  between components only, until a round connects nothing new. What then still
+  lies between components in large regions is compared exactly, in blocks.
 * Components: links counted to be few enough are united in one task; beyond
   that, alternating large and small stars take a logarithmic number of rounds
   of joins, each written to the shared folder.
@@ -43,6 +44,7 @@ STAR_TREES = 6  # trees whose large regions give pairs in the first round
 DEPTHS = (LEAST, 8, 10, 13, 16)
 REGION = 24
 LIMIT = 0.75
+BLOCK = 512  # classes of a block that are compared with those of another in one task
 # A signature shows a true similarity of LIMIT with a standard deviation of sqrt(.75 * .25 / 160) = 0.034; six of them lie between.
 CHECK = 0.54
 _ODD = (np.random.default_rng(20).integers(0, 2**31, VALUES, dtype=np.uint32) * np.uint32(2)) | np.uint32(1)
@@ -341,6 +343,83 @@ def linked(pairs: DataFrame, links: DataFrame | None, d: DataFrame) -> tuple[Dat
     return links, comp
 
 
+def compared(rows: DataFrame) -> DataFrame:
+    """From (task, side, id, c, set): links (a, b) that join what is linked between components c; of all pairs of a task's two sides, or within the one side it has."""
+    shape = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(part: pa.Table) -> pa.Table:
+        side, ids, c = (part.column(k).to_numpy() for k in ("side", "id", "c"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("set")]
+        sizes = np.array([len(x) for x in sets])
+        _, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets)), sizes)
+        often = times > 1  # others are in no two sets
+        new = np.cumsum(often) - 1
+        row, col = row[often[col]], new[col[often[col]]]
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        x = np.flatnonzero(side == 0)
+        y = np.flatnonzero(side == 1) if (side == 1).any() else x
+        common = np.zeros((len(x), len(y)), np.float32)
+        for at in range(0, int(often.sum()), 8192):
+            k = slice(*np.searchsorted(col, (at, at + 8192)))
+            has = np.zeros((len(sets), 8192), np.float32)
+            has[row[k], col[k] - at] = 1
+            common += has[x] @ has[y].T
+        n = common.astype(np.int64)
+        good = (n > 0) & (100 * n >= 75 * (sizes[x][:, None] + sizes[y][None, :] - n)) & (c[x][:, None] != c[y][None, :])
+        up: dict[int, int] = {}
+
+        def root(v: int) -> int:
+            while (t := up.get(v, v)) != v:
+                up[v] = up.get(t, t)
+                v = t
+            return v
+
+        a, b = [], []
+        for i, j in zip(*(v.tolist() for v in np.nonzero(good)), strict=True):
+            i, j = x[i], y[j]
+            u, v = root(int(c[i])), root(int(c[j]))
+            if u != v:
+                up[max(u, v)] = min(u, v)
+                a.append(int(min(ids[i], ids[j])))
+                b.append(int(max(ids[i], ids[j])))
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=shape)
+
+    return rows.groupBy("task").applyInArrow(run, "a long, b long")
+
+
+def between_components(large: DataFrame, comp: DataFrame, d: DataFrame) -> DataFrame | None:
+    """Links between components among the classes of large regions that hold several, on full sets; None: no such region.
+
+    Regions that share a class are one crowd. Its classes are dealt to blocks by
+    a hash, those of a component that fills blocks to its own, and each two
+    blocks are compared in a task, but for two of one component.
+    """
+    rows = labelled(large.select("id", "k0"), comp, "id", "c")
+    mixed = rows.groupBy("k0").agg(F.min("id").alias("hub"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("k0", "hub")
+    rows = stored(rows.join(mixed, "k0").select("id", "c", "hub").distinct(), "neardup-mixed")
+    if not rows.limit(1).count():
+        return None
+    crowds = components(rows.filter("hub != id").select(F.col("hub").alias("a"), F.col("id").alias("b")))
+    rows = labelled(rows.select("id", "c").distinct(), crowds, "id", "crowd")
+    of = rows.groupBy("crowd", "c").agg(F.count("*").alias("n")).withColumn("own", F.when(F.col("n") >= BLOCK // 2, F.col("c")))
+    many = of.groupBy("crowd", "own").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+    rows = rows.join(of.drop("n"), ["crowd", "c"])
+    rows = rows.join(many.withColumnsRenamed({"crowd": "_crowd", "own": "_own"}), (F.col("crowd") == F.col("_crowd")) & F.col("own").eqNullSafe(F.col("_own")))
+    block = F.concat_ws(":", F.col("crowd").cast("string"), F.coalesce(F.col("own").cast("string"), F.lit("-")), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("string"))
+    rows = stored(rows.select("id", "c", "crowd", "own", block.alias("block")), "neardup-blocks")
+    blocks = rows.select("crowd", "own", "block").distinct()
+    x, y = (blocks.select("crowd", F.col("own").alias(f"own_{k}"), F.col("block").alias(k)) for k in "xy")
+    tasks = x.join(y, "crowd").filter("x <= y and (own_x is null or own_y is null or own_x != own_y)").select(F.concat_ws("|", "x", "y").alias("task"), "x", "y")
+    sides = tasks.select("task", F.lit(0).alias("side"), F.col("x").alias("block")).union(tasks.filter("x != y").select("task", F.lit(1), "y"))
+    full = stored(sets(d, bounded(rows.select("id").distinct())), "neardup-sets")
+    # an id that stands for several texts has several sets; each is compared
+    got = stored(compared(sides.join(rows.join(full, "id").select("block", "id", "c", "set"), "block").select("task", "side", "id", "c", "set")), "neardup-links")
+    dropped(d.sparkSession, full)
+    return got
+
+
 def classes_linked(reps: DataFrame, d: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) that connect all classes which are connected, and their components."""
     first = keyed(reps, (LEAST,))
@@ -382,6 +461,11 @@ def classes_linked(reps: DataFrame, d: DataFrame) -> tuple[DataFrame, DataFrame]
         links, comp = linked(good, links, d)
         if links.count() == had:
             break
+    if some:
+        more = between_components(large, comp, d)
+        if more is not None:
+            links = links.union(more)
+            comp = components(links)
     return links, comp
 
 

@@ -231,6 +231,19 @@ def test_near_duplicates_against_all_pairs(spark, odd, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_in_a_family_of_thousands(spark):
+    """2500 texts of one boilerplate: most link with the few of little own text alone, some with none."""
+    shared = " ".join(f"b{i}" for i in range(104))  # 100 shingles
+    own = [8 if i in (701, 1300, 1999) else 70 if i % 250 == 7 else 22 + i % 4 for i in range(2500)]
+    d = spark.createDataFrame([(i, shared + "".join(f" o{i}x{k}" for k in range(n))) for i, n in enumerate(own)], "doc_id long, text string")
+    # own words are in no other text: the similarity of two follows from their numbers
+    few = [i for i, n in enumerate(own) if n == 8]
+    want = [0 if i in few or 10000 >= 75 * (100 + n + 8) else i for i, n in enumerate(own)]
+    assert want.count(0) == 2490
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(d).collect()}
+    assert [got[i] for i in range(2500)] == want
+
+
 def test_components_of_long_chains(spark):
     rows = [(i, i + 1) for i in range(0, 60)] + [(100, 300), (200, 300), (7, 7)]
     links = spark.createDataFrame(rows, "a long, b long")
