@@ -21,20 +21,18 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
-from .common import row_mapper
+from .common import claim, row_mapper
 
 SAFE = re.compile(r"(?<=\S) (?=\S)")
-_cache: dict = {}
-
 
 def encoding(rank_file: str, pattern: str) -> tiktoken.Encoding:
     """The encoding of a rank file; kept for the life of the worker."""
-    key = rank_file, pattern
-    if key not in _cache:
+    held, key = claim(__name__), (rank_file, pattern)
+    if key not in held:
         with open(rank_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _cache[key] = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _cache[key]
+        held[key] = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return held[key]
 
 
 def pieces(text: str, size: int) -> Iterator[str]:

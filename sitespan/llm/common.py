@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -47,9 +50,33 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
+    if _scratch:
+        _scratch[-1].append(path)
     return out
 
 
+_scratch: list[list[str]] = []  # paths stored within each open scratch()
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end what was stored within, but for results passed to the function it gives."""
+    _scratch.append([])
+
+    def keep(df: DataFrame) -> DataFrame:
+        if df.stored_path in _scratch[-1]:
+            _scratch[-1].remove(df.stored_path)
+            if len(_scratch) > 1:
+                _scratch[-2].append(df.stored_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        for path in _scratch.pop():
+            remove(spark, path)
+
+
 def dropped(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete stored results that no later plan reads."""
     for df in frames:
@@ -61,6 +88,21 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_held: dict[str, dict] = {}
+
+
+def claim(owner: str) -> dict:
+    """What a worker process remembers for an operator. Workers are used again by others: what those held is let go first."""
+    if owner not in _held:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only the C library of Linux has it
+            ctypes.CDLL(None).malloc_trim(0)
+        _held[owner] = {}
+    return _held[owner]
+
+
 def row_mapper(
     df: DataFrame, schema: str, fields: list[pa.Field], make: Callable[[], Callable[[list[list]], list[list]]], rows: int = 256
 ) -> DataFrame:
@@ -70,6 +112,7 @@ def row_mapper(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(make.__module__)
         work = make()
         out = pa.schema(fields)
         for batch in batches:

@@ -16,10 +16,9 @@ rest runs over classes.
   drops out); those that stay are confirmed on full shingle sets. Of a class's
   pairs the likeliest is confirmed first; pairs within one component then need
   no further look.
-* Of large regions a few trees are looked at first. Those of all trees that
-  hold a class outside the largest component then go through further rounds,
-  between components only, until a round connects nothing new. What then still
-  lies between components in large regions is compared exactly, in blocks.
+* Of large regions a few trees give pairs that way. What then still lies
+  between components in the large regions of any tree is compared exactly, on
+  full sets and in blocks of bounded size.
 * Components: links counted to be few enough are united in one task; beyond
   that, alternating large and small stars take a logarithmic number of rounds
   of joins, each written to the shared folder.
@@ -32,11 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, stored
+from .common import claim, dropped, scratch, stored
+from .hashing import mixed, word_hashes
 
 WORDS = 5
 VALUES, TREES, LEAST = 160, 64, 6
@@ -44,7 +43,8 @@ STAR_TREES = 6  # trees whose large regions give pairs in the first round
 DEPTHS = (LEAST, 8, 10, 13, 16)
 REGION = 24
 LIMIT = 0.75
-BLOCK = 512  # classes of a block that are compared with those of another in one task
+BLOCK, BLOCK_SHINGLES = 512, 1 << 18  # a block of classes that is compared with another in one task: about so many, and so many shingles
+SALTS = 16  # parts over which the copies of a text are dealt while they find their class
 # A signature shows a true similarity of LIMIT with a standard deviation of sqrt(.75 * .25 / 160) = 0.034; six of them lie between.
 CHECK = 0.54
 _ODD = (np.random.default_rng(20).integers(0, 2**31, VALUES, dtype=np.uint32) * np.uint32(2)) | np.uint32(1)
@@ -53,42 +53,35 @@ _ORDER = np.stack([np.random.default_rng(100 + t).permutation(VALUES)[: DEPTHS[-
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Hashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        return x ^ (x >> np.uint64(32))
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """Words of a text with A-Z in lower case; bytes split at U+0020 and U+0009 to U+000D alone."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
-def shingles(words: list[bytes], known: Hashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the five-word shingles; fewer words: of the whole sequence."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+def shingles(words: np.ndarray) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the five-word shingles of word hashes; fewer words: of the whole sequence."""
+    if not len(words):
+        return words
     n = min(WORDS, len(words))
-    k = len(h) - n + 1
+    k = len(words) - n + 1
     out = np.full(k, n, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(n):
-            out = out * _P + h[i : i + k]
+            out = out * _P + words[i : i + k]
     return np.unique(mixed(out))
 
 
+def word_sequence(text: str | None) -> bytes:
+    """A text's words with A-Z in lower case, joined by one space."""
+    return b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
+
+
+def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list, list[np.ndarray]]]:
+    """Batches of (id, text) in small slices, with the texts and their shingle sets."""
+    claim("neardup")
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            texts = part.column(1).to_pylist()
+            h, counts = word_hashes(texts)
+            yield part, texts, [shingles(w) for w in np.split(h, np.cumsum(counts)[:-1])]
+
+
 def signature(s: np.ndarray) -> np.ndarray:
     """16 bits of each of VALUES minima; of a bounded block of shingles at a time."""
     low = (s & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -121,18 +114,11 @@ def signed(d: DataFrame) -> DataFrame:
     shape = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("words", pa.binary()), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Hashes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                n, digests, sigs = [], [], []
-                for text in part.column(1).to_pylist():
-                    w = words_of(text)
-                    s = shingles(w, known)
-                    n.append(len(s))
-                    digests.append(hashlib.blake2b(b" ".join(w), digest_size=16).digest() if w else None)
-                    sigs.append(signature(s).tobytes() if w else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], schema=shape)
+        for part, texts, sets in shingled(batches):
+            digests = [hashlib.blake2b(word_sequence(t), digest_size=16).digest() if len(x) else None for t, x in zip(texts, sets, strict=True)]
+            sigs = [signature(x).tobytes() if len(x) else None for x in sets]
+            n = [len(x) for x in sets]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], schema=shape)
 
     return d.mapInArrow(run, "doc_id long, n_shingles long, words binary, sig binary")
 
@@ -175,27 +161,24 @@ def deepened(rows: DataFrame, sigs: DataFrame) -> DataFrame:
     return rows.select("id", "tree").join(sigs.select("id", "sig"), "id").select("id", "tree", "sig").mapInArrow(run, "id long, tree int, " + ", ".join(f"{n} long" for n in names))
 
 
-def within(rows: DataFrame, key: str, more: list | None = None) -> DataFrame:
+def within(rows: DataFrame, key: str) -> DataFrame:
     """All pairs (a < b) of the rows of one key; for regions of bounded size only."""
-    x = rows.select(F.col(key).alias("xk"), F.col("id").alias("a"), *(F.col(c).alias(f"x{c}") for c in more or []))
-    y = rows.select(F.col(key).alias("yk"), F.col("id").alias("b"), *(F.col(c).alias(f"y{c}") for c in more or []))
-    on = (F.col("xk") == F.col("yk")) & (F.col("a") < F.col("b"))
-    for c in more or []:
-        on = on & (F.col(f"x{c}") != F.col(f"y{c}"))
-    return x.join(y, on).select("a", "b")
+    x = rows.select(F.col(key).alias("xk"), F.col("id").alias("a"))
+    y = rows.select(F.col(key).alias("yk"), F.col("id").alias("b"))
+    return x.join(y, (F.col("xk") == F.col("yk")) & (F.col("a") < F.col("b"))).select("a", "b")
 
 
 def star(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("id") != F.col("top")).select(F.least("id", "top").alias("a"), F.greatest("id", "top").alias("b"))
 
 
-def deepest(parts: list[DataFrame], *cols: str) -> DataFrame:
-    """id and cols of each class's deepest large region in each tree; parts by depth."""
+def deepest(parts: list[DataFrame]) -> DataFrame:
+    """id and top of each class's deepest large region in each tree; parts by depth."""
     rows = None
     for depth, p in enumerate(parts):
-        x = p.select("id", "tree", F.struct(F.lit(depth).alias("depth"), *cols).alias("x"))
+        x = p.select("id", "tree", F.struct(F.lit(depth).alias("depth"), "top").alias("x"))
         rows = x if rows is None else rows.union(x)
-    return rows.groupBy("id", "tree").agg(F.max("x").alias("x")).select("id", "x.*")
+    return rows.groupBy("id", "tree").agg(F.max("x").alias("x")).select("id", "x.top")
 
 
 def ids_of(rows: DataFrame, *cols: str) -> DataFrame:
@@ -229,38 +212,24 @@ def checked(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def sets(d: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and set (sorted 64-bit shingle hashes) of the documents named."""
-    shape = pa.schema([("id", pa.int64()), ("set", pa.binary())])
+    """id and set (64-bit shingle hashes) of the documents named."""
+    shape = pa.schema([("id", pa.int64()), ("set", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Hashes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                made = [shingles(words_of(t), known).tobytes() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], schema=shape)
+        for part, _, made in shingled(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.view(np.int64) for x in made], shape[1].type)], schema=shape)
 
-    return d.join(ids, d["doc_id"] == ids["id"], "left_semi").select("doc_id", "text").mapInArrow(run, "id long, set binary")
+    return d.join(ids, d["doc_id"] == ids["id"], "left_semi").select("doc_id", "text").mapInArrow(run, "id long, set array<long>")
 
 
 def confirmed(pairs: DataFrame, d: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are as similar as LIMIT."""
+    """The pairs (a, b) whose full sets are as similar as LIMIT; rows of long sets stay in the JVM, where they can spill."""
     full = stored(sets(d, bounded(ids_of(pairs, "a", "b"))), "neardup-sets")
     left = pairs.select("a", "b").join(full.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    both = left.join(full.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").select("a", "b", "sa", "sb")
-    shape = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for sa, sb in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(sa.as_buffer(), np.uint64), np.frombuffer(sb.as_buffer(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= 75 * (len(x) + len(y) - common))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], schema=shape)
-
-    out = stored(both.mapInArrow(run, "a long, b long"), "neardup-links")
+    both = left.join(full.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
+    # 100 n >= 75 (x + y - n)
+    good = both.filter(7 * F.size(F.array_intersect("sa", "sb")) >= 3 * (F.size("sa") + F.size("sb")))
+    out = stored(good.select("a", "b"), "neardup-links")
     dropped(d.sparkSession, full)
     return out
 
@@ -349,7 +318,7 @@ def compared(rows: DataFrame) -> DataFrame:
 
     def run(part: pa.Table) -> pa.Table:
         side, ids, c = (part.column(k).to_numpy() for k in ("side", "id", "c"))
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("set")]
+        sets = [x.values.to_numpy() for x in part.column("set")]
         sizes = np.array([len(x) for x in sets])
         _, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         row = np.repeat(np.arange(len(sets)), sizes)
@@ -397,15 +366,18 @@ def between_components(large: DataFrame, comp: DataFrame, d: DataFrame) -> DataF
     blocks are compared in a task, but for two of one component.
     """
     rows = labelled(large.select("id", "k0"), comp, "id", "c")
-    mixed = rows.groupBy("k0").agg(F.min("id").alias("hub"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("k0", "hub")
-    rows = stored(rows.join(mixed, "k0").select("id", "c", "hub").distinct(), "neardup-mixed")
+    several = rows.groupBy("k0").agg(F.min("id").alias("hub"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("k0", "hub")
+    rows = stored(rows.join(several, "k0").select("id", "c", "hub").distinct(), "neardup-mixed")
     if not rows.limit(1).count():
         return None
     crowds = components(rows.filter("hub != id").select(F.col("hub").alias("a"), F.col("id").alias("b")))
     rows = labelled(rows.select("id", "c").distinct(), crowds, "id", "crowd")
-    of = rows.groupBy("crowd", "c").agg(F.count("*").alias("n")).withColumn("own", F.when(F.col("n") >= BLOCK // 2, F.col("c")))
-    many = of.groupBy("crowd", "own").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
-    rows = rows.join(of.drop("n"), ["crowd", "c"])
+    # an id that stands for several texts has several sets; each is compared
+    rows = stored(rows.join(sets(d, bounded(rows.select("id").distinct())), "id"), "neardup-sets")
+    of = rows.groupBy("crowd", "c").agg(F.sum(F.lit(1.0) / BLOCK + F.size("set") / BLOCK_SHINGLES).alias("n")).withColumn("own", F.when(F.col("n") >= 0.5, F.col("c")))
+    many = of.groupBy("crowd", "own").agg(F.ceil(F.sum("n")).alias("blocks"))
+    full = rows
+    rows = rows.select("id", "c", "crowd").distinct().join(of.drop("n"), ["crowd", "c"])
     rows = rows.join(many.withColumnsRenamed({"crowd": "_crowd", "own": "_own"}), (F.col("crowd") == F.col("_crowd")) & F.col("own").eqNullSafe(F.col("_own")))
     block = F.concat_ws(":", F.col("crowd").cast("string"), F.coalesce(F.col("own").cast("string"), F.lit("-")), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("string"))
     rows = stored(rows.select("id", "c", "crowd", "own", block.alias("block")), "neardup-blocks")
@@ -413,9 +385,7 @@ def between_components(large: DataFrame, comp: DataFrame, d: DataFrame) -> DataF
     x, y = (blocks.select("crowd", F.col("own").alias(f"own_{k}"), F.col("block").alias(k)) for k in "xy")
     tasks = x.join(y, "crowd").filter("x <= y and (own_x is null or own_y is null or own_x != own_y)").select(F.concat_ws("|", "x", "y").alias("task"), "x", "y")
     sides = tasks.select("task", F.lit(0).alias("side"), F.col("x").alias("block")).union(tasks.filter("x != y").select("task", F.lit(1), "y"))
-    full = stored(sets(d, bounded(rows.select("id").distinct())), "neardup-sets")
-    # an id that stands for several texts has several sets; each is compared
-    got = stored(compared(sides.join(rows.join(full, "id").select("block", "id", "c", "set"), "block").select("task", "side", "id", "c", "set")), "neardup-links")
+    got = stored(compared(sides.join(rows.join(full.select("id", "set"), "id").select("block", "id", "c", "set"), "block").select("task", "side", "id", "c", "set")), "neardup-links")
     dropped(d.sparkSession, full)
     return got
 
@@ -427,40 +397,16 @@ def classes_linked(reps: DataFrame, d: DataFrame) -> tuple[DataFrame, DataFrame]
     shared = stored(first.join(agg, "k0"), "neardup-regions")  # most classes share no region: they are gone here
     pairs = within(shared.filter(F.col("n") <= REGION), "k0")
     large = shared.filter(F.col("n") > REGION)
-    keys = large.select("k0").distinct()
     crowded = large.select("id").distinct()
     some = bool(large.limit(1).count())
     if some:  # the large regions of a few trees connect most of what belongs together
         crowd = stored(reps.join(crowded, "id", "left_semi"), "neardup-crowd")
         deep = stored(deepened(large.filter(F.col("tree") < STAR_TREES), crowd), "neardup-deep")
         parts, made = zip(*divided(deep), strict=True)
-        for m in [*made, star(deepest(parts, "top"))]:
+        for m in [*made, star(deepest(parts))]:
             pairs = pairs.union(m)
     pairs = stored(pairs.distinct(), "neardup-pairs")
     links, comp = linked(stored(checked(pairs, reps), "neardup-checked"), None, d)
-    while some:
-        # a region without a class outside the largest component lies within it and needs no look
-        of = stored(labelled(crowd.select("id"), comp, "id", "c"), "neardup-labels")
-        most = of.groupBy("c").count().orderBy(F.desc("count"), "c").first()["c"]
-        other = crowd.join(of.filter(F.col("c") != most), "id", "left_semi")
-        mixed = keyed(other, (LEAST,)).select("k0").distinct().join(keys, "k0", "left_semi")
-        deep = stored(deepened(large.join(mixed, "k0", "left_semi"), crowd).join(of, "id"), "neardup-deep")
-        if not deep.limit(1).count():
-            break
-        parts, made = zip(*divided(deep, True), strict=True)
-        far = deepest(parts, "top", "tc", "last", "bc", "c")
-        more = star(far.filter(F.col("c") != F.col("tc"))).union(star(far.filter(F.col("c") != F.col("bc")).withColumn("top", F.col("last"))))
-        for m in made:
-            more = more.union(m)
-        more = stored(more.distinct().join(pairs, ["a", "b"], "left_anti"), "neardup-pairs")
-        good = stored(checked(more, reps), "neardup-checked")
-        if not good.limit(1).count():
-            break
-        pairs = pairs.union(more)
-        had = links.count()
-        links, comp = linked(good, links, d)
-        if links.count() == had:
-            break
     if some:
         more = between_components(large, comp, d)
         if more is not None:
@@ -469,24 +415,15 @@ def classes_linked(reps: DataFrame, d: DataFrame) -> tuple[DataFrame, DataFrame]
     return links, comp
 
 
-def divided(deep: DataFrame, between: bool = False) -> Iterator[tuple[DataFrame, DataFrame]]:
-    """For each depth: the rows of its large regions (with top, the smallest id), and the pairs of its small ones.
-
-    With `between`, rows have a component c; regions within one are done, and
-    pairs join different ones. Then top (component tc) and last (component bc)
-    are of the region's first and last component.
-    """
+def divided(deep: DataFrame) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """For each depth: the rows of its large regions (with top, the smallest id), and the pairs of its small ones."""
     rows = deep
     for i in range(len(DEPTHS)):
         k = f"k{i}"
-        if between:
-            agg = rows.groupBy(k).agg(F.count("*").alias("n"), F.min(F.struct("c", "id")).alias("low"), F.max(F.struct("c", "id")).alias("high")).filter("low.c < high.c")
-            agg = agg.selectExpr(k, "n", "low.id as top", "low.c as tc", "high.id as last", "high.c as bc")
-        else:
-            agg = rows.groupBy(k).agg(F.count("*").alias("n"), F.min("id").alias("top")).filter("n > 1")
+        agg = rows.groupBy(k).agg(F.count("*").alias("n"), F.min("id").alias("top")).filter("n > 1")
         inside = stored(rows.join(agg, k), f"neardup-depth{i}")
         large = inside.filter(F.col("n") > REGION)
-        yield large, within(inside.filter(F.col("n") <= REGION), k, ["c"] if between else None)
+        yield large, within(inside.filter(F.col("n") <= REGION), k)
         if not large.limit(1).count():
             return
         rows = large.select(*rows.columns)
@@ -502,18 +439,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = df.sparkSession
     d = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
-    all_rows = stored(signed(d), "neardup-signed")
-    named = all_rows.filter("words is not null and doc_id is not null")
-    classes = named.groupBy("words").agg(F.min("doc_id").alias("id"))
-    of_row = stored(all_rows.select("doc_id", "n_shingles", "words").join(classes, "words", "left"), "neardup-rows")
-    reps = named.select("doc_id", "words", "sig").join(classes, "words").filter("doc_id = id").groupBy("id").agg(F.min("sig").alias("sig"))
-    reps = stored(reps, "neardup-classes")
-    dropped(spark, all_rows)
-    copies = of_row.filter("doc_id is not null and id is not null and doc_id != id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    links, comp = classes_linked(reps, d)
-    # an id with several texts has several classes; where that happens the components of copies are joined, too
-    shared = of_row.filter("doc_id is not null and id is not null").groupBy("doc_id").agg(F.count_distinct("id").alias("n")).filter("n > 1")
-    if shared.limit(1).count():
-        comp = components(links.union(copies))
+    with scratch(spark) as keep:
+        all_rows = stored(signed(d), "neardup-signed")
+        named = all_rows.filter("words is not null and doc_id is not null")
+        # copies of a text may be a third of all rows: they are counted before they move, and their class is dealt out over SALTS parts
+        classes = named.groupBy("words").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")).filter("n > 1").select("words", "id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        salted = all_rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        own = F.when(F.col("words").isNotNull(), F.col("doc_id"))
+        of_row = keep(stored(salted.join(classes, ["words", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("id", own).alias("id"), "sig"), "neardup-rows"))
+        reps = stored(of_row.filter("doc_id = id").groupBy("id").agg(F.min("sig").alias("sig")), "neardup-classes")
+        dropped(spark, all_rows)
+        copies = of_row.filter("doc_id is not null and id is not null and doc_id != id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+        links, comp = classes_linked(reps, d)
+        # an id with several texts has several classes; where that happens the components of copies are joined, too
+        shared = of_row.filter("doc_id is not null and id is not null").groupBy("doc_id").agg(F.count_distinct("id").alias("n")).filter("n > 1")
+        if shared.limit(1).count():
+            comp = components(links.union(copies))
+        keep(comp)
     out = labelled(of_row.withColumn("node", F.coalesce("id", "doc_id")), comp, "node", "component_id")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import stored
+from .common import claim, stored
 
 OPEN = 128
 GROUP = 256  # tasks whose open bins are packed again together
@@ -33,8 +33,6 @@ SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]
 # Characters on which normalisation is lower-casing alone; other words go through the whole tokenizer.
 PLAIN = regex.compile(r"[!-~À-įı-ɏ]+")
 
-_cache: dict = {}
-
 
 class Memory(dict):
     """A dictionary of bounded size: when full, what was not asked for since the last time is forgotten."""
@@ -86,9 +84,10 @@ class Words:
 
 
 def words(path: str) -> Words:
-    if path not in _cache:
-        _cache[path] = Words(path)
-    return _cache[path]
+    held = claim("packing")
+    if path not in held:
+        held[path] = Words(path)
+    return held[path]
 
 
 class Bins:
