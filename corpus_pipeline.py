@@ -1,67 +1,8 @@
-"""A corpus pipeline: documents in, packed training sequences out.
+"""The corpus pipeline: documents in, packed training sequences out. Its stages are in sitespan.llm.pipeline."""
 
-Every stage takes (spark, docs, sf_dir) and returns a table; all but the last
-return the columns of documents, each over all that the stage before it kept.
-"""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from sitespan.llm import langid, neardup, packing, pii, repetition
-from sitespan.llm.common import held_out, stored, table
-from sitespan.llm.queries import tokenizer_file
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose texts pass the repetition rules."""
-    return repetition.filtered(docs, "text")
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model knows and is at least half sure of."""
-    return langid.kept(docs, langid.train(docs, ~held_out("doc_id", 5, 0)), "text", 0.5)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest id; of rows that repeat an id, one."""
-    found = stored(neardup.near_duplicates(docs), "pipeline-neardup")
-    go = found.filter(~F.col("kept")).select("doc_id").distinct()
-    out = docs.join(neardup.bounded(go), "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    if repeated:
-        out = out.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.filter("doc_id is null"))
-    return out
-
-
-def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data in their texts replaced by its kind."""
-    out = pii.masked(docs, "text")
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
-
-
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, placed in sequences of 4096 tokens."""
-    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), size=4096, end_id=1)
-
-
-STAGES = [
-    ("quality rules", quality),
-    ("language id", language),
-    ("near duplicates", near_duplicates),
-    ("personal data", personal_data),
-    ("packing", packed),
-]
+from sitespan.llm.pipeline import STAGES, run
 
 #: Hashed features, learned models and packing have no SQL; tests/llm holds the stages against plain versions.
 ORACLE_SQL = None
 
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, f"pipeline-{k}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
