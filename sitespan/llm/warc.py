@@ -35,6 +35,7 @@ from .common import new_path, stored
 
 MAGIC = b"\x1f\x8b\x08"
 STEP = 1 << 20
+MOST_TASKS = 1 << 16  # reading tasks; of more ranges a task takes several
 URN = "urn:sitespan:page:"
 DATE = datetime(2024, 1, 1, tzinfo=timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
@@ -119,21 +120,39 @@ def write_warc(
 
 
 class Window:
-    """A file's bytes from an offset on, fetched in steps; what lies behind is let go."""
+    """A file's bytes from an offset on, fetched in steps; what lies behind is let go a step at a time."""
 
     def __init__(self, f: pa.NativeFile, start: int, size: int) -> None:
-        self.f, self.at, self.size, self.data = f, start, size, b""
+        self.f, self.base, self.size, self.data, self.pos = f, start, size, bytearray(), 0
+
+    @property
+    def at(self) -> int:
+        """The offset in the file."""
+        return self.base + self.pos
+
+    def left(self) -> int:
+        return len(self.data) - self.pos
 
     def more(self) -> bool:
-        end = self.at + len(self.data)
+        """Fetches a step; what counts from `pos` stays as it is."""
+        end = self.base + len(self.data)
         if end >= self.size:
             return False
+        if self.pos >= STEP:
+            del self.data[: self.pos]
+            self.base += self.pos
+            self.pos = 0
         self.data += self.f.read_at(min(STEP, self.size - end), end)
         return True
 
-    def skip(self, n: int) -> None:
-        self.data = self.data[n:]
-        self.at += n
+    def bytes(self, k: int, n: int) -> bytes:
+        return bytes(memoryview(self.data)[self.pos + k : self.pos + k + n])
+
+    def seek(self, mark: bytes) -> bool:
+        """Goes to the next mark; false, at the end of what was fetched, if there is none there."""
+        k = self.data.find(mark, self.pos)
+        self.pos = k if k >= 0 else max(self.pos, len(self.data) - len(mark) + 1)
+        return k >= 0
 
 
 def parsed_head(data: bytes) -> tuple[dict[str, str], int] | None:
@@ -152,55 +171,56 @@ def parsed_head(data: bytes) -> tuple[dict[str, str], int] | None:
     return fields, end + 4
 
 
-def inflated(w: Window, at: int) -> tuple[bytes, int] | None:
-    """The member at offset `at` of the window and where it ends there; None if it is not a whole record's member."""
+def inflated(w: Window) -> tuple[bytes, int] | None:
+    """The member at the window's place and its length; None if it is not a whole record's member."""
     z = zlib.decompressobj(31)
-    out, pos, checked = bytearray(), at, False
+    out, n, step, checked = bytearray(), 0, 1 << 12, False
     try:
         while not z.eof:
-            if pos >= len(w.data) and not w.more():
+            if n >= w.left() and not w.more():
                 return None
-            out += z.decompress(w.data[pos : pos + STEP])
-            pos = min(pos + STEP, len(w.data)) - len(z.unused_data)
+            part = w.bytes(n, step)
+            out += z.decompress(part)
+            n += len(part) - len(z.unused_data)
+            step = min(4 * step, STEP)
             if not checked:
                 if out[:7] != b"WARC/1."[: len(out)]:
                     return None
-                if out.find(b"\r\n\r\n") >= 0:
-                    if parsed_head(bytes(out[: out.find(b"\r\n\r\n") + 4])) is None:
+                if (end := out.find(b"\r\n\r\n")) >= 0:
+                    if parsed_head(bytes(out[: end + 4])) is None:
                         return None
                     checked = True
     except zlib.error:
         return None
-    return (bytes(out), pos) if checked else None
+    return (bytes(out), n) if checked else None
 
 
 def members(w: Window, end: int, first: bool) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, header fields, block) of each record that begins before `end`. `first`: the window begins the file."""
+    """(offset, header fields, block) of each record that begins before `end`. `first`: the window begins the file.
+
+    A record cut off by the file's end is none.
+    """
     sure = first
     while w.at < end:
-        k = w.data.find(MAGIC)
-        while k < 0:
-            w.skip(max(0, len(w.data) - 2))
+        while not w.seek(MAGIC):
             if w.at >= end or not w.more():
                 return
-            k = w.data.find(MAGIC)
-        w.skip(k)
         if w.at >= end:
             return
-        found = inflated(w, 0)
+        found = inflated(w)
         if found and not sure:  # in the midst of a file: the neighbour has to be one, too
-            while len(w.data) < found[1] + 3 and w.more():
+            while w.left() < found[1] + 3 and w.more():
                 pass
-            if len(w.data) > found[1] and w.data[found[1] : found[1] + 3] != MAGIC:
+            if w.left() > found[1] and w.bytes(found[1], 3) != MAGIC:
                 found = None
         head = found and parsed_head(found[0])
         if not head:
-            w.skip(1)
+            w.pos += 1
             continue
         sure = True
         fields, begin = head
         yield w.at, fields, found[0][begin : begin + int(fields["content-length"])]
-        w.skip(found[1])
+        w.pos += found[1]
 
 
 def read_warc(files: DataFrame, split_bytes: int = 8 << 20, with_payload: bool = True) -> DataFrame:
@@ -211,7 +231,8 @@ def read_warc(files: DataFrame, split_bytes: int = 8 << 20, with_payload: bool =
     record_id, target_uri, refers_to, payload_digest, payload_length,
     http_header, payload. A revisit's digest and length are those that it
     states of the full payload; a response's are taken from what was read.
-    `with_payload` false leaves the payload out. No files: no rows.
+    `with_payload` false leaves the payload out. No files: no rows; a record
+    that the file's end cuts off: none.
     """
     ranges = files.select("folder", "path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"))
     fields = [
@@ -245,8 +266,9 @@ def read_warc(files: DataFrame, split_bytes: int = 8 << 20, with_payload: bool =
             yield made(rows)
 
     schema = "path string, offset long, warc_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_length long, http_header binary, payload binary"
-    dealt = ranges.repartition(F.col("path"), F.col("start"))
-    return dealt.mapInArrow(run, schema)
+    # dealt out by number: adaptive execution does not merge the ranges, whose rows are tiny, into one task
+    n = ranges.count()
+    return ranges.repartition(max(1, min(n, MOST_TASKS))).mapInArrow(run, schema)
 
 
 def warc_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_from: int = 0) -> DataFrame:
