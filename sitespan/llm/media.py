@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import row_mapper
+from .common import row_mapper, stored
 
 RATE = 8000
 FRAME, HOP = 256, 128
@@ -102,13 +102,26 @@ def fingerprint(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     return t[order], h[order]
 
 
-def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_media: bool = True) -> DataFrame:
-    """Each text as a recording, with facts and fingerprint of what is read back from it.
+def recordings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each text as a recording: doc_id, n_bytes, media (a WAV file). Null and empty texts are one block of spaces."""
+    fields = [pa.field("doc_id", pa.int64()), pa.field("n_bytes", pa.int64()), pa.field("media", pa.binary())]
+
+    def make():
+        def work(cols):
+            made = [padded(t) for t in cols[1]]
+            return [cols[0], [n for n, _ in made], [to_wav(p) for _, p in made]]
+
+        return work
+
+    d = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
+    return row_mapper(d, "doc_id long, n_bytes long, media binary", fields, make, rows=64)
+
+
+def features(media: DataFrame) -> DataFrame:
+    """Facts and fingerprint of each recording of (doc_id, n_bytes, media).
 
     Columns: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
-    media_bytes, media_sha256, n_pairs, times and hashes (time-coded arrays),
-    and with `with_media` the recording. Null and empty texts are one block of
-    spaces. Rows with equal texts get equal values.
+    media_bytes, media_sha256, n_pairs, times and hashes (time-coded arrays).
     """
     fields = [
         pa.field("doc_id", pa.int64()), pa.field("n_bytes", pa.int64()), pa.field("payload_bytes", pa.int64()), pa.field("payload_sha256", pa.string()),
@@ -116,26 +129,29 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         pa.field("times", pa.list_(pa.int32())), pa.field("hashes", pa.list_(pa.int64())),
     ]
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_pairs long, times array<int>, hashes array<long>"
-    if with_media:
-        fields.append(pa.field("media", pa.binary()))
-        schema += ", media binary"
 
     def make():
         sha = hashlib.sha256
 
         def work(cols):
             out = [[] for _ in fields]
-            for key, text in zip(*cols, strict=True):
-                n, payload = padded(text)
-                media = to_wav(payload)
-                back = read_wav(media)
+            for key, n, wav in zip(*cols, strict=True):
+                back = read_wav(wav)
                 t, h = fingerprint(back)
-                row = [key, n, len(back), sha(back).hexdigest(), zlib.crc32(back[-16:]), len(media), sha(media).hexdigest(), len(t), t.astype(np.int32), h]
-                for c, v in zip(out, [*row, media], strict=False):
+                row = key, n, len(back), sha(back).hexdigest(), zlib.crc32(back[-16:]), len(wav), sha(wav).hexdigest(), len(t), t.astype(np.int32), h
+                for c, v in zip(out, row, strict=True):
                     c.append(v)
             return out
 
         return work
 
-    d = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
-    return row_mapper(d, schema, fields, make, rows=64)
+    return row_mapper(media.select("doc_id", "n_bytes", "media"), schema, fields, make, rows=64)
+
+
+def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each text stored as a recording in a media column of the shared folder, read back from there, with facts and fingerprint.
+
+    Rows with equal texts get equal values; rows that repeat all stay. An empty
+    table gives none; other columns of df, whatever their names, are not looked at.
+    """
+    return features(stored(recordings(df, id_col, text_col), "media"))

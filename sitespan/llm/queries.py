@@ -34,9 +34,9 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = media.media_columns(table(spark, sf_dir, "documents"), with_media=False)
+    m = media.media_columns(table(spark, sf_dir, "documents"))
     feature = F.concat(F.col("n_pairs").cast("string"), F.lit(":"), F.sha2(F.concat(F.array_join("times", ","), F.lit(";"), F.array_join("hashes", ",")), 256))
-    return m.withColumn("feature", feature).drop("times", "hashes")
+    return m.withColumn("feature", feature)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
