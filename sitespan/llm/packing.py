@@ -10,6 +10,7 @@ in groups of a bounded number of tasks.
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -28,8 +29,8 @@ from .common import claim, stored
 OPEN = 128
 GROUP = 256  # tasks whose open bins are packed again together
 
-# The tokenizer file's own pre-splitting rule (fixed value).
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+# What a tokenizer file has to say for its words to be encoded one by one: white space is dropped and never joined across.
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 # Characters on which normalisation is lower-casing alone; other words go through the whole tokenizer.
 PLAIN = regex.compile(r"[!-~À-įı-ɏ]+")
 
@@ -54,11 +55,21 @@ class Memory(dict):
 class Words:
     """Token ids of white-space-separated words, as packed 32-bit integers.
 
-    The tokenizer drops white space and never joins across it, so a text's ids
-    are its words' ids one after the other.
+    A text's ids are its words' ids one after the other if the tokenizer drops
+    white space and never joins across it. Whether it does, and how it splits
+    words, comes from its file; a file that says otherwise raises ValueError.
     """
 
     def __init__(self, path: str, most: int = 300_000) -> None:
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        first, *rest = said["pre_tokenizer"].get("pretokenizers", [said["pre_tokenizer"]])
+        rule = first.get("pattern", {}).get("Regex", "")
+        whole = said["normalizer"] == {"type": "Sequence", "normalizers": NORMAL} and said["model"]["type"] == "BPE" and not said["model"].get("byte_fallback") and not said["post_processor"]
+        split = first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"] and len(rest) == 1 and rest[0]["type"] == "ByteLevel" and not (rest[0]["add_prefix_space"] or rest[0]["use_regex"])
+        if not (whole and split) or regex.search(rf"(?:{rule})", " \t\n"):
+            raise ValueError(f"{path}: words of this tokenizer cannot be encoded one by one")
+        self.split = regex.compile(rule)
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
         self.model = self.whole.model
@@ -76,7 +87,7 @@ class Words:
         w = data.decode()
         if not PLAIN.fullmatch(w):
             return array("I", self.whole.encode(w, add_special_tokens=False).ids).tobytes()
-        return b"".join([self.parts[x] for x in SPLIT.findall(w.lower())])
+        return b"".join([self.parts[x] for x in self.split.findall(w.lower())])
 
     def ids(self, text: str | None) -> np.ndarray:
         known = self.known
