@@ -4,9 +4,10 @@ Features are character n-grams (n = 1, 2, 3 of the lower-cased text) hashed
 into a fixed number of places, weighted by TF-IDF: a feature's share of the
 text's n-grams times its inverse document frequency. Training is
 follow-the-regularised-leader (proximal) with elastic-net penalties, one
-document at a time; afterwards a temperature is fitted on documents kept apart
-for that. The fit uses a bounded sample of labelled rows (`per_language`
-expected rows of each language); everything else reads all rows.
+document at a time, the start value of a language being a feature like the
+others; afterwards a temperature is fitted on documents kept apart for that.
+The fit uses a bounded sample of labelled rows (`per_language` expected rows of
+each language); document frequencies and predictions are over all rows.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_mapper
+from .common import claim, row_mapper
 
 BITS = 18
 NGRAMS = (1, 2, 3)
-MOST_LANGUAGES = 200
+L1, L2 = 0.1, 1e-4
 _PRIMES = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 _MIX = np.uint32(0x27D4EB2F)
 
@@ -47,13 +48,15 @@ def places(text: str) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    weights: np.ndarray  # places x languages, already times the inverse document frequency
+    row: np.ndarray  # of each place its row among the weights; row 0 is that of places without any
+    weights: np.ndarray  # rows x languages, already times the inverse document frequency
     bias: np.ndarray
     temperature: float
+    zero: float = 0.0  # share of the weights of places seen in training that are zero
 
     def scores(self, text: str) -> np.ndarray:
         """Calibrated probabilities."""
-        z = (self.weights[places(text)].mean(axis=0) * SCALE + self.bias) / self.temperature
+        z = (self.weights[self.row[places(text)]].mean(axis=0) * SCALE + self.bias) / self.temperature
         p = np.exp(z - z.max())
         return p / p.sum()
 
@@ -72,30 +75,37 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text[:64])) or any(map(str.isalpha, text))
 
 
-def fit(rows: list[tuple[str, str]], epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-4, seed: int = 7) -> Model:
-    """FTRL-proximal over (text, language) rows; every fifth is kept apart for the temperature."""
+def fit(rows: list[tuple[str, str]], frequency: np.ndarray | None = None, n_docs: int = 0, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = L1, l2: float = L2, seed: int = 7) -> Model:
+    """FTRL-proximal over (text, language) rows; every fifth is kept apart for the temperature.
+
+    frequency: in how many of n_docs documents each place occurs (None: in the rows themselves).
+    """
     rng = np.random.default_rng(seed)
     languages = sorted({lang for _, lang in rows})
     number = {x: k for k, x in enumerate(languages)}
     n_lang, size = len(languages), 1 << BITS
     feats = []
-    df = np.zeros(size)
     for text, lang in rows:
         p, n = np.unique(places(text), return_counts=True)
-        df[p] += 1
         feats.append((p, n / n.sum(), number[lang]))
-    idf = (np.log((1 + len(rows)) / (1 + df)) + 1).astype(np.float64)
-    z, sq, w = np.zeros((size, n_lang)), np.zeros((size, n_lang)), np.zeros((size, n_lang))
-    bias = np.zeros(n_lang)
+    if frequency is None:
+        frequency, n_docs = np.bincount(np.concatenate([p for p, _, _ in feats]), minlength=size), len(rows)
+    idf = np.log((1 + n_docs) / (1 + frequency)) + 1
+    # the last place is the start value's, which is in every document
+    z, sq = np.zeros((size + 1, n_lang)), np.zeros((size + 1, n_lang))
+
+    def weights(z: np.ndarray, sq: np.ndarray) -> np.ndarray:
+        return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(sq)) / alpha + l2))
+
     kept_apart = [f for k, f in enumerate(feats) if k % 5 == 4]
     train = [f for k, f in enumerate(feats) if k % 5 != 4] or feats
     for _ in range(epochs if n_lang > 1 else 0):
         for k in rng.permutation(len(train)):
             p, tf, y = train[k]
-            x = tf * idf[p] * SCALE
+            p, x = np.append(p, size), np.append(tf * idf[p] * SCALE, 1.0)
             zp, sp = z[p], sq[p]
-            wp = np.where(np.abs(zp) <= l1, 0.0, -(zp - np.sign(zp) * l1) / ((beta + np.sqrt(sp)) / alpha + l2))
-            s = x @ wp + bias
+            wp = weights(zp, sp)
+            s = x @ wp
             e = np.exp(s - s.max())
             e /= e.sum()
             e[y] -= 1.0
@@ -103,17 +113,25 @@ def fit(rows: list[tuple[str, str]], epochs: int = 4, alpha: float = 0.5, beta:
             g2 = sp + g * g
             z[p] = zp + g - (np.sqrt(g2) - np.sqrt(sp)) / alpha * wp
             sq[p] = g2
-            bias -= 0.01 * e
-    w = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(sq)) / alpha + l2))
-    model = Model(languages, (w * idf[:, None]).astype(np.float32), bias.astype(np.float32), 1.0)
+    w = weights(z, sq)
+    bias, w = w[size], w[:size] * idf[:, None]
+    seen = sq[:size].any(axis=1)
+    used = np.flatnonzero(w.any(axis=1))
+    row = np.zeros(size, np.int32)
+    row[used] = np.arange(1, len(used) + 1)
+    kept = np.concatenate([np.zeros((1, n_lang)), w[used]]).astype(np.float32)
+    model = Model(languages, row, kept, bias.astype(np.float32), 1.0, float((w[seen] == 0).mean()) if seen.any() else 0.0)
     if n_lang > 1 and kept_apart:
-        logits = np.array([tf @ model.weights[p] * SCALE + bias for p, tf, _ in kept_apart])
-        truth = np.array([y for _, _, y in kept_apart])
+        logits = np.array([tf @ model.weights[row[p]] * SCALE + bias for p, tf, _ in kept_apart])
+        # where all are told right, the count of documents bounds how sure one may be
+        doubt = 1 / (len(kept_apart) + 2)
+        truth = np.full(logits.shape, doubt / (n_lang - 1))
+        truth[np.arange(len(truth)), [y for _, _, y in kept_apart]] = 1 - doubt
 
         def loss(log_t: float) -> float:
             s = logits / np.exp(log_t)
             s -= s.max(axis=1, keepdims=True)
-            return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(s)), truth]).mean())
+            return float((np.log(np.exp(s).sum(axis=1)) - (s * truth).sum(axis=1)).mean())
 
         low, high = np.log(0.2), np.log(20.0)
         for _ in range(40):  # golden section: the loss is unimodal in the temperature
@@ -123,30 +141,60 @@ def fit(rows: list[tuple[str, str]], epochs: int = 4, alpha: float = 0.5, beta:
     return model
 
 
-def train(df: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 800) -> Model:
+def frequencies(texts: DataFrame) -> np.ndarray:
+    """In how many of the texts (one column) each place occurs; 2**BITS numbers at most come to the driver."""
+    shape = pa.schema([("place", pa.int32()), ("n", pa.int64())])
+
+    def run(batches):
+        claim("langid")
+        n = np.zeros(1 << BITS, np.int64)
+        for batch in batches:
+            for t in batch.column(0):
+                n[np.unique(places(t.as_py()))] += 1
+        seen = np.flatnonzero(n)
+        for at in range(0, len(seen), 10_000):
+            part = seen[at : at + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(n[part])], schema=shape)
+
+    got = texts.mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << BITS, np.int64)
+    out[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    return out
+
+
+def train(df: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang", per_language: int = 800, most_bytes: int = 128 << 20) -> Model:
     """Fit on rows where `usable` holds and text and language are there.
 
-    Rows are chosen by a hash of the id against their language's share, so that
-    about `per_language` of each come to the driver, whatever the table's size;
-    of very many distinct labels, the MOST_LANGUAGES most frequent are learned.
-    Without usable rows the model knows no language and answers `und`.
+    Rows are chosen by a hash of the text against their language's share, so
+    that about `per_language` of each come to the driver, whatever the table's
+    size, ids and partitions, and at most about `most_bytes` of texts in all
+    (fewer rows a language, if theirs are longer). All labels are learned.
+    Document frequencies are of all usable rows. Without usable rows the model
+    knows no language and answers `und`.
     """
-    rows = df.filter(usable).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    rows = df.filter(usable).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()  # a row for each label
     if not counts:
-        return Model([], np.zeros((0, 0), np.float32), np.zeros(0, np.float32), 1.0)
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"]))))
-    spread = F.pmod(F.xxhash64(F.coalesce("id", F.lit(""))), F.lit(1 << 20)) / F.lit(float(1 << 20))
+        return Model([], np.zeros(1 << BITS, np.int32), np.zeros((1, 0), np.float32), np.zeros(0, np.float32), 1.0)
+    each = most_bytes / len(counts)
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["n"], each / max(1, r["size"])))))
+    spread = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     picked = rows.filter(spread < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
-    sample = sorted((r["lang"], r["id"] or "", r["text"]) for r in picked.collect())
     # copies of a text teach nothing new; one row of each text and language is enough
-    return fit(list({(text, lang): None for lang, _, text in sample}))
+    sample = sorted(tuple(r) for r in picked.distinct().select("lang", "text").collect())
+    order = np.random.default_rng(3).permutation(len(sample))
+    return fit([(sample[k][1], sample[k][0]) for k in order], frequencies(rows.select("text")), sum(r["n"] for r in counts))
 
 
 def predicted(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, lang_pred, score (0 to 1). Null texts and such without a letter: `und`, 0."""
+    """One row per input row: doc_id, lang_pred, score (0 to 1).
+
+    Null texts and such without a letter: `und`, 0. Of equal scores the first
+    language by name wins. Rows that repeat all stay and get equal results; an
+    empty table gives none, and other columns, whatever their names, are not looked at.
+    """
     fields = [pa.field("doc_id", pa.int64()), pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())]
-    sent = df.sparkSession.sparkContext.broadcast(model)  # 2**BITS places x the bounded number of languages
+    sent = df.sparkSession.sparkContext.broadcast(model)  # weights of the places that the sample holds, by language
 
     def make():
         m = sent.value
@@ -157,7 +205,7 @@ def predicted(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def kept(df: DataFrame, model: Model, text_col: str = "text", least_score: float = 0.5) -> DataFrame:
-    """The rows with a language predicted with a score of `least_score` or more, with all their columns as they were."""
+    """The rows with a language predicted with a score of `least_score` or more, with all their columns as they were; not those with null texts or such without a letter."""
     sent = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text_col)
 
