@@ -67,7 +67,8 @@ class Words:
         rule = first.get("pattern", {}).get("Regex", "")
         whole = said["normalizer"] == {"type": "Sequence", "normalizers": NORMAL} and said["model"]["type"] == "BPE" and not said["model"].get("byte_fallback") and not said["post_processor"]
         split = first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"] and len(rest) == 1 and rest[0]["type"] == "ByteLevel" and not (rest[0]["add_prefix_space"] or rest[0]["use_regex"])
-        if not (whole and split) or regex.search(rf"(?:{rule})", " \t\n"):
+        probes = (" a", "a b", "a ", " 1", "! !", "\n\t", "a\nb", " '", "1 1")
+        if not (whole and split) or any(regex.search(r"\s", m[0]) for x in probes for m in regex.finditer(rule, x)):
             raise ValueError(f"{path}: words of this tokenizer cannot be encoded one by one")
         self.split = regex.compile(rule)
         self.whole = Tokenizer.from_file(path)

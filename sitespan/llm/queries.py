@@ -78,6 +78,28 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op2_lm_score SQL can state: counts and the base score, to three places."""
+    d = op2_lm_score(spark, sf_dir)
+    return d.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
+def media_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "media_bytes")
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def personal_data_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pipeline import run
 
@@ -96,8 +118,20 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_near_duplicates": op10_near_duplicates,
     "pipeline": pipeline,
+    "lm_base": lm_base,
+    "media_base": media_base,
+    "quality_base": quality_base,
+    "secret_counts": secret_counts,
+    "personal_data_counts": personal_data_counts,
 }
 
+# Words of a text, and crc32 of an id's digits, in SQL.
+SQL_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SQL_WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+SQL_CRC32 = """xor(list_reduce(list_transform(string_split(cast(doc_id as varchar), ''), lambda x: cast(ascii(x) as bigint)),
+    lambda c, b: list_reduce(range(8), lambda h, i: xor(h >> 1, (h & 1) * 3988292384), xor(c, b)), cast(4294967295 as bigint)), 4294967295)"""
+SQL_DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
+
 ORACLE_SQL = {
     # base32 by hand: 5 hex digits of the digest are 4 letters
     "op1_warc": """
@@ -109,6 +143,42 @@ ORACLE_SQL = {
           case when page_id < top then 'revisit' else 'response' end as record_type,
           case when page_id < top then top end as refers_to
         from t""",
+    "lm_base": f"""
+        with w as (select doc_id, {SQL_CRC32} % 7 = 2 as held_out, list_append({SQL_WORDS.format(SQL_LOWER)}, '') as w from documents),
+        t as (select doc_id, held_out, unnest(w) as w from w),
+        c as (select w, count(*) as c from t where not held_out group by w),
+        n as (select coalesce(sum(c), 0) as n, count(*) as v from c)
+        select doc_id, any_value(held_out) as held_out, count(*) as n_tokens, count(c) as n_known, cast(any_value(n) as bigint) as train_tokens,
+          round(sum(log10((coalesce(c, 0) + 1.0) / (n + v + 1.0))), 3) as base_score
+        from t left join c using (w), n group by doc_id""",
+    "media_base": """
+        with d as (select doc_id, coalesce(text, '') as t, cast(greatest(192, (strlen(coalesce(text, '')) + 191) // 192 * 192) as bigint) as p from documents)
+        select doc_id, cast(strlen(t) as bigint) as n_bytes, p as payload_bytes, sha256(t || repeat(' ', p - strlen(t))) as payload_sha256, p + 44 as media_bytes from d""",
+    "quality_base": rf"""
+        with d as (select doc_id, coalesce(text, '') as t, {SQL_WORDS.format("coalesce(text, '')")} as w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from documents),
+        g as (select doc_id, i, array_to_string(w[i:i+7], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 6)) as i from d)),
+        r as (select doc_id, i, count(*) over (partition by doc_id, g) as n from g),
+        c as (select doc_id, count(distinct i + k) as n from r, range(8) as ks(k) where n > 1 group by doc_id),
+        f as (select doc_id, len(w) as n_words, cast(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) as bigint) as word_chars,
+            cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols, len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(n, 0) as n_repeat_words
+          from d left join c using (doc_id))
+        select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from f""",
+    "secret_counts": r"""
+        with d as (select doc_id, coalesce(text, '') as t from documents)
+        select doc_id,
+          len(list_filter(regexp_extract_all(t, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6)) as n_assign,
+          len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) as n_access,
+          len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24)) as n_hex
+        from d""",
+    "personal_data_counts": rf"""
+        with d as (select doc_id, coalesce(text, '') as t from documents)
+        select doc_id,
+          len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) as n_email,
+          len(list_filter(regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), lambda x: len(list_filter(string_split(x, '.'), lambda p: cast(p as hugeint) > 255)) = 0)) as n_ip,
+          len(list_filter(list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda x: reverse({SQL_DIGITS})), lambda x: length(x) between 16 and 19
+            and list_sum(list_transform(range(1, length(x) + 1), lambda i: case when i % 2 = 1 then cast(x[i] as bigint) when cast(x[i] as bigint) > 4 then 2 * cast(x[i] as bigint) - 9 else 2 * cast(x[i] as bigint) end)) % 10 = 0)) as n_card,
+          len(list_filter(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: length({SQL_DIGITS}) between 8 and 15)) as n_phone
+        from d""",
     "op10_near_duplicates": r"""
         with recursive w as (
           select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
