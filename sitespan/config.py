@@ -119,3 +119,51 @@ DEFAULTS = {
     "concurrency": 5, "request_timeout_ms": 10_000, "delay_ms": 250, "max_pages": 0, "discover_links": True, "max_discovered_pages": 100, "max_crawl_depth": 3,
     "stale_minutes": 15, "timeout_minutes": 45, "cooldown_seconds": 300, "redirect_limit": 10, "freshness_hours": 24,
 }
+
+# --- fixed values: recommendations by issue type
+RECOMMENDATIONS = {
+    "crawl_failure": "Investigate connectivity, DNS, TLS, or server-side errors preventing this page from loading.",
+    "server_error": "Fix the server-side error causing this page to fail.",
+    "client_error": "Fix the broken link/route, or remove this URL from the sitemap if it no longer exists.",
+    "sitemap_url_redirect": "Update the sitemap to reference the final destination URL directly.",
+    "sitemap_url_noindex": "Remove this URL from the sitemap, or remove the noindex directive if it should be indexed.",
+    "missing_title": "Add a unique, descriptive title tag between 20 and 60 characters.",
+    "title_pixel_width_high": "Shorten the title or use narrower wording so it's less likely to be truncated in search results.",
+    "title_too_short": "Consider expanding the title to better describe the page's content (around 20+ characters).",
+    "missing_canonical": "Add a self-referencing (or otherwise correct) canonical tag.",
+    "canonical_external_domain": "Verify this is intentional; otherwise point the canonical back to this domain.",
+    "missing_meta_description": "Add a unique meta description under 160 characters summarizing the page.",
+    "meta_description_pixel_width_high": "Shorten the meta description so it's less likely to be truncated in search results.",
+    "missing_h1": "Add a single, descriptive H1 heading to the page.",
+    "multiple_h1": "Use a single H1 heading per page for clear topical structure.",
+    "broken_internal_links": "Update or remove links pointing to pages that return errors.",
+    "images_missing_alt": "Add descriptive alt text to all meaningful images for accessibility and image SEO.",
+    "missing_open_graph": "Add og:title, og:description, and og:image tags for better social sharing previews.",
+    "missing_twitter": "Add twitter:card and related meta tags for better previews on X/Twitter.",
+    "missing_lang": 'Add a lang attribute to the <html> element (e.g. lang="en").',
+    "missing_favicon": 'Add a <link rel="icon"> tag pointing to a favicon.',
+    "low_word_count": "Consider whether this page has enough unique content to be useful and indexable.",
+    "missing_podcast_episode_schema": "Add PodcastEpisode structured data describing the episode.",
+    "duplicate_heading_text": "Use distinct, descriptive heading text for each section of the page.",
+    "heading_hierarchy_skip": "Use consecutive heading levels for a clear document outline (e.g. H1 then H2, not H1 then H3).",
+    "excessive_headings": "Confirm this heading density is intentional (e.g. a listing/grid page) rather than over-structured content.",
+    "empty_internal_anchor": "Give every internal link meaningful visible text or an aria-label describing its destination.",
+    "generic_anchor_text": "Replace generic anchor text with text that describes the linked page.",
+    "ambiguous_repeated_anchor_text": "Use distinct anchor text for links that lead to different pages.",
+    "duplicate_visible_content": "Check whether repeated content blocks are intentional (e.g. a shared component) or accidental duplication.",
+    "missing_charset": 'Add a <meta charset="UTF-8"> tag (or equivalent) near the top of <head>.',
+    "missing_doctype": "Add <!DOCTYPE html> as the first line of the document.",
+    "mixed_content": "Update these resource URLs to HTTPS (or protocol-relative/relative URLs) to avoid mixed-content warnings and blocked resources.",
+    "html_response_uncompressed": "Enable gzip or brotli compression on the server for HTML responses.",
+    "x_powered_by_exposed": "Consider removing the X-Powered-By header as routine operational/security hygiene (this does not directly affect rankings).",
+    "hreflang_missing_href": 'Every rel="alternate" hreflang link needs a valid href pointing to the translated/regional page.',
+    "invalid_hreflang": 'Use valid ISO 639-1 language codes, optionally with an ISO 3166-1 region (e.g. "en", "en-US"), or "x-default".',
+    "hreflang_duplicate_language": "Declare each hreflang language/region exactly once, pointing to a single canonical URL for that variant.",
+    "duplicate_title": "Write a unique title for each page.",
+    "duplicate_meta_description": "Write a unique meta description for each page.",
+    "indexable_page_missing_from_sitemap": "Add this canonical URL to the sitemap if the page is intended to appear in search results.",
+    "orphaned_sitemap_page": "Add relevant internal links to this page if it should be discoverable through normal site navigation.",
+    "unexpected_noindex": "Remove the noindex directive if this episode is intended to appear in organic search.",
+    "noindex_requires_review": "Confirm whether this page should be indexed once its release/publication status is known.",
+}
+CANONICAL_INVALID = "Use a valid absolute URL for the canonical tag."

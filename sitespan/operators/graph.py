@@ -71,6 +71,13 @@ def duplicates(pages: DataFrame, column: str, collect_others: bool = True) -> Da
     return out.withColumn("other_urls", others).drop("all_urls")
 
 
+def duplicate_classes(pages: DataFrame, column: str) -> DataFrame:
+    """run, value, n, urls: one row for each value that several indexable pages share, with all of them in crawl order; linear in the pages."""
+    d = pages.filter(F.col("is_indexable") & (F.coalesce(column, F.lit("")) != "")).withColumn("value", F.lower(F.trim(column)))
+    groups = d.groupBy("run", "value").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("ord", "url"))).alias("u")).filter("n >= 2")
+    return groups.select("run", "value", "n", F.transform("u", lambda x: x["url"]).alias("urls"))
+
+
 def coverage(pages: DataFrame, links: DataFrame, sitemap: DataFrame) -> DataFrame:
     """pages with the flags of sitemap coverage.
 
@@ -110,6 +117,8 @@ def state_tally(pages: DataFrame, *key: str) -> DataFrame:
 
 def top_of(rows: DataFrame, key: list[str], order: list, n: int = 5) -> DataFrame:
     """The first n rows of each key with their rank and how many more there are."""
+    # counts combine before they move, and the rank alone lets the plan cut each task's rows to the first n
+    counts = rows.groupBy(*key).agg(F.greatest(F.count("*") - n, F.lit(0)).alias("more"))
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    more = F.count("*").over(Window.partitionBy(*key)) - n
-    return rows.withColumns({"rank": rank, "more": F.greatest(more, F.lit(0))}).filter(F.col("rank") <= n)
+    first = rows.withColumn("rank", rank).filter(F.col("rank") <= n)
+    return first.join(counts, key)

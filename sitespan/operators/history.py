@@ -152,3 +152,17 @@ def priority() -> Column:
     """Rank of an event for reports: its severity's, else 1 for the weighty kinds and 3 for others."""
     rank = F.coalesce(*(F.when(F.col("severity") == s, r) for s, r in config.SEVERITIES.items()), F.lit(4))
     return F.when(F.coalesce("severity", F.lit("")) != "", rank).when(F.col("event_type").isin(*config.HIGH_PRIORITY_EVENTS), 1).otherwise(3)
+
+
+def compare_crawls(pairs: DataFrame, issues: tuple[DataFrame, DataFrame], pages: tuple[DataFrame, DataFrame], key: str = "pair") -> tuple[DataFrame, DataFrame]:
+    """(comparison, events) of crawls with the crawl before them. pairs: key, previous_id; issues and pages: (current, previous).
+
+    Without a previous crawl a crawl is a baseline: no events, and zeros. A
+    previous crawl without any row is none the less one, to which all is new.
+    """
+    compared = pairs.filter("previous_id is not null").select(key)
+    both = [compare_issues(*(x.join(compared, key, "left_semi") for x in issues), key), compare_pages(*(x.join(compared, key, "left_semi") for x in pages), key)]
+    events = both[0].unionByName(both[1])
+    counts = ["new_issues", "resolved_issues", "ongoing_issues", "new_pages", "removed_pages", "changed_pages"]
+    comparison = pairs.select(key, "previous_id", F.col("previous_id").isNull().alias("baseline")).join(summary(events, key), key, "left").fillna(0, counts)
+    return comparison.select(key, "baseline", "previous_id", *counts), events

@@ -22,7 +22,8 @@ PAGE = {
     "open_graph": "cast(null as struct<title:string,description:string,image:string>)", "twitter": "cast(null as struct<card:string,title:string,description:string,image:string>)",
     "lang": "cast(null as string)", "has_favicon": "false", "word_count": "0", "page_type": "'generic'", "structured_types": "cast(array() as array<string>)",
     "headings": "cast(array() as array<struct<level:int,text:string>>)", "anchor_empty": "0", "anchor_generic": "0",
-    "ambiguous": "cast(array() as array<struct<text:string,n:int>>)", "repeated_blocks": "0", "charset": "cast(null as string)", "has_doctype": "false",
+    "ambiguous": "cast(array() as array<struct<text:string,n:int,destinations:array<string>>>)", "anchor_empty_samples": "cast(array() as array<string>)", "anchor_generic_samples": "cast(array() as array<string>)",
+    "repeated_samples": "cast(array() as array<struct<text:string,occurrences:bigint>>)", "mixed_content_samples": "cast(array() as array<string>)", "repeated_blocks": "0", "charset": "cast(null as string)", "has_doctype": "false",
     "mixed_content_count": "0", "compression": "cast(null as string)", "html_size_bytes": "0", "x_powered_by": "cast(null as string)",
     "alternate_links": "cast(array() as array<struct<hreflang:string,href:string>>)", "final_url": "url",
 }
@@ -41,8 +42,15 @@ def text(*parts) -> Column:
     return F.concat(*(p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts))
 
 
-def issue(when: Column, kind: str, severity, message) -> Column:
-    made = F.struct(F.lit(kind).alias("issue_type"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"), (F.lit(message) if isinstance(message, str) else message).alias("message"))
+def json(**fields) -> Column:
+    """An object as JSON text, with its empty fields."""
+    return F.to_json(F.struct(*(F.col(c).alias(k) if isinstance(c, str) else c.alias(k) for k, c in fields.items())), {"ignoreNullFields": "false"})
+
+
+def issue(when: Column, kind: str, severity, message, value: Column | None = None) -> Column:
+    """An issue where the condition holds. value: as text what the message is about, where it is not a value of the page (VALUES)."""
+    value = F.lit(None).cast("string") if value is None else value
+    made = F.struct(F.lit(kind).alias("issue_type"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"), (F.lit(message) if isinstance(message, str) else message).alias("message"), value.alias("value"))
     return F.when(F.coalesce(when, F.lit(False)), made)
 
 
@@ -56,12 +64,14 @@ def heading_issues() -> Column:
     norm = F.transform(h, lambda x: F.lower(F.trim(F.regexp_replace(x["text"], r"\s+", " "))))
     first = F.filter(F.transform(F.array_distinct(norm), lambda t: F.struct(t.alias("text"), F.size(F.filter(norm, lambda o: o == t)).alias("n"))), lambda g: (g["text"] != "") & g["n"].between(2, config.HEADING_REPEATS))
     shown = lambda g: F.get(F.filter(h, lambda x: F.lower(F.trim(F.regexp_replace(x["text"], r"\s+", " "))) == g["text"]), F.lit(0))["text"]
-    repeated = F.transform(first, lambda g: issue(F.lit(True), "duplicate_heading_text", F.when(g["n"] >= 3, "medium").otherwise("low"), text('Heading text "', shown(g), '" is repeated ', g["n"], " times on the page.")))
+    levels = lambda g: F.transform(F.filter(h, lambda x: F.lower(F.trim(F.regexp_replace(x["text"], r"\s+", " "))) == g["text"]), lambda x: x["level"])
+    about = lambda g: json(text=g["text"], occurrences=g["n"], levels=levels(g))
+    repeated = F.transform(first, lambda g: issue(F.lit(True), "duplicate_heading_text", F.when(g["n"] >= 3, "medium").otherwise("low"), text('Heading text "', shown(g), '" is repeated ', g["n"], " times on the page."), about(g)))
     before = lambda i: F.get(h, i - 1)["level"]
-    skips = some(F.transform(h, lambda x, i: issue((i > 0) & (x["level"] > before(i) + 1), "heading_hierarchy_skip", "low", text("Heading level skips from H", before(i), " to H", x["level"], ' ("', x["text"], '") without an intervening level.'))))
+    skips = some(F.transform(h, lambda x, i: issue((i > 0) & (x["level"] > before(i) + 1), "heading_hierarchy_skip", "low", text("Heading level skips from H", before(i), " to H", x["level"], ' ("', x["text"], '") without an intervening level.'), json(**{"from": before(i), "to": x["level"], "text": x["text"]}))))
     n, words = F.size(h), F.col("word_count")
     dense = (n >= config.HEADING_LEAST) & (words >= config.HEADING_WORDS) & (n / F.greatest(words, F.lit(1)) >= config.HEADING_RATIO)
-    many = some(F.array(issue(dense, "excessive_headings", "low", text("Page has ", n, " headings for ", words, " words of content, a notably high heading-to-content ratio."))))
+    many = some(F.array(issue(dense, "excessive_headings", "low", text("Page has ", n, " headings for ", words, " words of content, a notably high heading-to-content ratio."), json(headingCount=n, wordCount=words, ratio=F.round(n / F.greatest(words, F.lit(1)), 3)))))
     return F.concat(repeated, skips, many)
 
 
@@ -75,9 +85,9 @@ def hreflang_issues() -> Column:
     several = F.filter(langs, lambda lang: F.size(hrefs(lang)) > 1)
     shown = F.array_join(F.transform(invalid, lambda x: F.concat(F.lit('"'), x["hreflang"], F.lit('"'))), ", ")
     return some(F.array(
-        issue(missing > 0, "hreflang_missing_href", "medium", text(missing, " hreflang alternate link(s) are missing an href attribute.")),
-        issue(F.size(invalid) > 0, "invalid_hreflang", "low", text(F.size(invalid), " hreflang value(s) don't look like valid language[-region] codes: ", shown, ".")),
-        issue(F.size(several) > 0, "hreflang_duplicate_language", "medium", text("The same hreflang value is declared more than once with different URLs: ", F.array_join(several, ", "), ".")),
+        issue(missing > 0, "hreflang_missing_href", "medium", text(missing, " hreflang alternate link(s) are missing an href attribute."), json(hreflangs=F.transform(F.filter(links, lambda x: empty(x["href"])), lambda x: x["hreflang"]))),
+        issue(F.size(invalid) > 0, "invalid_hreflang", "low", text(F.size(invalid), " hreflang value(s) don't look like valid language[-region] codes: ", shown, "."), json(invalidValues=F.transform(invalid, lambda x: x["hreflang"]))),
+        issue(F.size(several) > 0, "hreflang_duplicate_language", "medium", text("The same hreflang value is declared more than once with different URLs: ", F.array_join(several, ", "), "."), F.to_json(F.map_from_entries(F.transform(several, lambda lang: F.struct(lang, hrefs(lang)))))),
     ))
 
 
@@ -121,7 +131,7 @@ def page_issues() -> Column:
             issue(c("anchor_empty") > 0, "empty_internal_anchor", "medium", text(c("anchor_empty"), " internal link(s) have no accessible text (no visible text, aria-label, title, or alt'd image).")),
             issue(c("anchor_generic") > 0, "generic_anchor_text", "low", text(c("anchor_generic"), ' link(s) use generic anchor text (e.g. "click here", "read more") instead of descriptive text.')),
         ),
-        F.transform("ambiguous", lambda a: issue(F.lit(True), "ambiguous_repeated_anchor_text", "low", text('Anchor text "', a["text"], '" is reused for ', a["n"], " different internal destinations, which may confuse users and search engines about what each link leads to."))),
+        F.transform("ambiguous", lambda a: issue(F.lit(True), "ambiguous_repeated_anchor_text", "low", text('Anchor text "', a["text"], '" is reused for ', a["n"], " different internal destinations, which may confuse users and search engines about what each link leads to."), json(text=a["text"], destinations=a["destinations"]))),
     )
     rest = F.array(
         issue(c("repeated_blocks") > 0, "duplicate_visible_content", F.when(c("repeated_blocks") >= config.BLOCKS_MEDIUM, "medium").otherwise("low"), text("Page repeats ", c("repeated_blocks"), " visible text block(s) (e.g. paragraph, CTA, or description copy) more than once.")),
@@ -135,10 +145,32 @@ def page_issues() -> Column:
     return F.when(bad, some(failed)).otherwise(F.concat(some(basics), heading_issues(), some(anchors), some(rest), hreflang_issues()))
 
 
+#: What an issue is about, as text: a value of its page, or some as JSON.
+VALUES = {
+    "crawl_failure": "error_message", "server_error": "status", "client_error": "status", "sitemap_url_redirect": "final_url", "sitemap_url_noindex": "robots", "title_too_short": "title_length",
+    "canonical_external_domain": "canonical", "multiple_h1": "h1_count", "images_missing_alt": "images_missing_alt", "low_word_count": "word_count", "x_powered_by_exposed": "x_powered_by",
+    "title_pixel_width_high": {"pixelWidthEstimate": "title_px", "titleLength": "title_length"}, "meta_description_pixel_width_high": {"pixelWidthEstimate": "meta_description_px", "length": "meta_description_length"},
+    "broken_internal_links": ["broken_internal_links"], "duplicate_visible_content": ["repeated_samples"], "mixed_content": ["mixed_content_samples"],
+    "html_response_uncompressed": {"htmlSizeBytes": "html_size_bytes", "compressionEncoding": "compression"},
+    "empty_internal_anchor": {"count": "anchor_empty", "hrefs": "anchor_empty_samples"}, "generic_anchor_text": {"count": "anchor_generic", "samples": "anchor_generic_samples"},
+}
+
+
+def recommended(issue_type="issue_type", message="message") -> Column:
+    """What to do about an issue; by its type, and for canonical tags by what is wrong with them."""
+    kind = F.col(issue_type) if isinstance(issue_type, str) else issue_type
+    table = F.create_map(*(F.lit(x) for kv in config.RECOMMENDATIONS.items() for x in kv))
+    invalid = (kind == "canonical_external_domain") & F.startswith(F.col(message), F.lit("Canonical URL is not"))
+    return F.when(invalid, config.CANONICAL_INVALID).otherwise(F.try_element_at(table, kind))
+
+
 def apply_page_rules(pages: DataFrame, key: list[str]) -> DataFrame:
-    """key, rule_ord, issue_type, severity, message: a row for each issue."""
-    d = complete(pages).select(*key, F.posexplode(page_issues()).alias("rule_ord", "i"))
-    return d.select(*key, "rule_ord", "i.*")
+    """key, rule_ord, issue_type, severity, message, value, recommendation: a row for each issue."""
+    as_text = lambda v: F.col(v).cast("string") if isinstance(v, str) else F.to_json(v[0]) if isinstance(v, list) else json(**v)
+    of_page = F.coalesce(*(F.when(F.col("i.issue_type") == k, as_text(v)) for k, v in VALUES.items()))
+    d = complete(pages).select("*", F.posexplode(page_issues()).alias("rule_ord", "i"))
+    d = d.select(*key, "rule_ord", "i.issue_type", "i.severity", "i.message", F.coalesce("i.value", of_page).alias("value"))
+    return d.withColumn("recommendation", recommended())
 
 
 def indexing_state(publication_state="publication_state") -> Column:
@@ -156,9 +188,9 @@ def indexing_state(publication_state="publication_state") -> Column:
 def indexing_issues(pages: DataFrame, key: list[str]) -> DataFrame:
     """Issues of noindex pages that the sitemap does not name."""
     state = indexing_state()
-    out = F.when(F.col("in_sitemap"), None).when(state == "noindex_unexpected", issue(F.lit(True), "unexpected_noindex", "high", "Published episode page is marked noindex and may be excluded from search results."))
-    out = out.when(state == "noindex_review", issue(F.lit(True), "noindex_requires_review", "low", "Page is noindex and its publication state could not be determined; worth a manual check."))
-    return pages.select(*key, out.alias("i")).filter("i is not null").select(*key, "i.*")
+    out = F.when(F.col("in_sitemap"), None).when(state == "noindex_unexpected", issue(F.lit(True), "unexpected_noindex", "high", "Published episode page is marked noindex and may be excluded from search results.", F.col("publication_state")))
+    out = out.when(state == "noindex_review", issue(F.lit(True), "noindex_requires_review", "low", "Page is noindex and its publication state could not be determined; worth a manual check.", F.col("publication_state")))
+    return pages.select(*key, out.alias("i")).filter("i is not null").select(*key, "i.*").withColumn("recommendation", recommended())
 
 
 def host_canonicalization(probes: DataFrame) -> DataFrame:
@@ -167,4 +199,11 @@ def host_canonicalization(probes: DataFrame) -> DataFrame:
     ok = c("status").between(300, 399) & (c("location_host") == c("preferred_host"))
     verdict = F.when(F.coalesce(ok, F.lit(False)), "ok").when(c("status").between(200, 299), "issue").otherwise("inconclusive")
     message = text("Both https://", c("preferred_host"), "/ and https://", c("alternate_host"), "/ serve independent 200 responses instead of the non-preferred host redirecting to the preferred one.")
-    return probes.select("site_url", "preferred_host", c("status").alias("www_redirect_status"), verdict.alias("verdict"), F.when(verdict == "issue", "host_canonicalization_issue").alias("issue_type"), F.when(verdict == "issue", message).alias("message"))
+    todo = text("Configure ", c("alternate_host"), " to redirect (301) to the preferred host (", c("preferred_host"), ") to avoid duplicate-content signals.")
+    value = json(preferredHost="preferred_host", alternateHost="alternate_host", alternateStatus="status")
+    bad = lambda x: F.when(verdict == "issue", x)
+    rest = [c for c in probes.columns if c not in ("site_url", "preferred_host", "alternate_host", "status", "location_host")]
+    return probes.select(
+        *rest, "site_url", "preferred_host", c("status").alias("www_redirect_status"), verdict.alias("verdict"), bad("host_canonicalization_issue").alias("issue_type"), bad("high").alias("severity"),
+        bad(message).alias("message"), bad(value).alias("value"), bad(todo).alias("recommendation"),
+    )

@@ -19,44 +19,59 @@ def analyzed(fetches: DataFrame, now) -> DataFrame:
     })
     seen = (F.col("outcome") == "ok") & (F.coalesce("html", F.lit("")) != "")
     d = d.withColumn("is_indexable", seen & F.col("status").between(200, 299) & ~F.col("noindex"))
-    return d.withColumns({"anchor_empty": F.col("metrics.empty_internal"), "anchor_generic": F.col("metrics.generic"), "indexing_state": rules.indexing_state()})
+    return d.withColumns({"anchor_empty": F.col("metrics.empty_internal"), "anchor_generic": F.col("metrics.generic"), "anchor_empty_samples": F.col("metrics.empty_samples"), "anchor_generic_samples": F.col("metrics.generic_samples"), "indexing_state": rules.indexing_state()})
 
 
 def links_of(pages: DataFrame) -> DataFrame:
     return pages.select("run", F.col("ord").alias("src_ord"), F.posexplode("internal_links").alias("pos", "link")).withColumn("key", urls.normalized_or_raw("link"))
 
 
-def all_issues(pages: DataFrame, sitemap: DataFrame) -> DataFrame:
-    """run, page_ord, url, ord, issue_type, severity, message of every stage of rules, in its order."""
+def all_issues(pages: DataFrame, sitemap: DataFrame, probes: DataFrame | None = None, others: bool = True) -> DataFrame:
+    """run, page_ord, url, ord, issue_type, severity, message, value, recommendation of every stage of rules, in its order.
+
+    probes: run and what rules.host_canonicalization reads; its issue goes to
+    the run's first homepage. others: whether issues of shared titles and
+    descriptions list all other pages that share them, a list as long as the
+    group for each of its pages; graph.duplicate_classes has each list once.
+    """
     links = links_of(pages)
     broken = graph.broken_by_page(pages, links).withColumnRenamed("src_ord", "ord")
-    amb = samples.ambiguous_anchors(pages, ["run", "ord"]).groupBy("run", "ord").agg(F.array_sort(F.collect_list(F.struct("rank", "text", F.size("destinations").alias("n")))).alias("a")).select("run", "ord", F.transform("a", lambda x: F.struct(x["text"].alias("text"), x["n"].alias("n"))).alias("ambiguous"))
-    rep = samples.repeated_blocks(pages.select("run", "ord", F.posexplode("blocks").alias("pos", "block")), ["run", "ord"]).groupBy("run", "ord").agg(F.count("*").cast("int").alias("repeated_blocks"))
-    none = {"broken_internal_links": F.array().cast("array<string>"), "repeated_blocks": F.lit(0), "ambiguous": F.expr("cast(array() as array<struct<text:string,n:int>>)")}
+    amb = samples.ambiguous_anchors(pages, ["run", "ord"]).groupBy("run", "ord").agg(F.array_sort(F.collect_list(F.struct("rank", "text", F.size("destinations").alias("n"), "destinations"))).alias("a")).select("run", "ord", F.transform("a", lambda x: F.struct(x["text"].alias("text"), x["n"].alias("n"), x["destinations"].alias("destinations"))).alias("ambiguous"))
+    rep = samples.repeated_blocks(pages.select("run", "ord", F.posexplode("blocks").alias("pos", "block")), ["run", "ord"]).groupBy("run", "ord").agg(F.count("*").cast("int").alias("repeated_blocks"), F.array_sort(F.collect_list(F.struct("rank", "text", "occurrences"))).alias("s"))
+    rep = rep.select("run", "ord", "repeated_blocks", F.transform("s", lambda x: F.struct(x["text"].alias("text"), x["occurrences"].alias("occurrences"))).alias("repeated_samples"))
+    none = {"broken_internal_links": F.array().cast("array<string>"), "repeated_blocks": F.lit(0), "ambiguous": F.expr(rules.PAGE["ambiguous"]), "repeated_samples": F.expr(rules.PAGE["repeated_samples"])}
     d = pages.join(broken, ["run", "ord"], "left").join(amb, ["run", "ord"], "left").join(rep, ["run", "ord"], "left")
     d = d.withColumns({c: F.coalesce(c, v) for c, v in none.items()})
     key = ["run", F.col("ord").alias("page_ord"), "url"]
     own = rules.apply_page_rules(d.withColumn("page_ord", F.col("ord")), ["run", "page_ord", "url"]).withColumn("ord", F.col("rule_ord")).drop("rule_ord")
+    nothing = F.lit(None).cast("string")
     dup = None
-    for at, (column, kind, severity, message) in enumerate([("title", "duplicate_title", "high", "Title is shared by "), ("meta_description", "duplicate_meta_description", "medium", "Meta description is shared by ")]):
-        x = graph.duplicates(pages, column, collect_others=False).select("run", F.col("ord").alias("page_ord"), "url", F.lit(kind).alias("issue_type"), F.lit(severity).alias("severity"), F.concat(F.lit(message), F.col("n").cast("string"), F.lit(" indexable pages.")).alias("message"), F.lit(1000 + at).alias("ord"))
+    for at, (column, field, kind, severity, head) in enumerate([("title", "title", "duplicate_title", "high", rules.text('Title "', F.col("title"), '"')), ("meta_description", "description", "duplicate_meta_description", "medium", F.lit("Meta description"))]):
+        x = graph.duplicates(pages, column, collect_others=others).join(pages.select("run", "ord", "title"), ["run", "ord"])
+        value = rules.json(**{field: F.col("value"), "otherUrls": F.col("other_urls")}) if others else rules.json(**{field: F.col("value")})
+        x = x.select("run", F.col("ord").alias("page_ord"), "url", F.lit(kind).alias("issue_type"), F.lit(severity).alias("severity"), rules.text(head, " is shared by ", F.col("n"), " indexable pages.").alias("message"), value.alias("value"), F.lit(1000 + at).alias("ord"))
         dup = x if dup is None else dup.unionByName(x)
+    dup = dup.withColumn("recommendation", rules.recommended())
     cov = graph.coverage(pages, links, sitemap)
-    miss = cov.filter("missing").select(*key, F.lit("indexable_page_missing_from_sitemap").alias("issue_type"), F.lit("medium").alias("severity"), F.lit("Indexable internally linked page is missing from the XML sitemap.").alias("message"), F.lit(2000).alias("ord"))
-    orphan = cov.filter("orphaned").select(*key, F.lit("orphaned_sitemap_page").alias("issue_type"), F.lit("medium").alias("severity"), F.lit("Sitemap page has no internal links pointing to it from other crawled pages.").alias("message"), F.lit(2001).alias("ord"))
+    miss = cov.filter("missing").select(*key, F.lit("indexable_page_missing_from_sitemap").alias("issue_type"), F.lit("medium").alias("severity"), F.lit("Indexable internally linked page is missing from the XML sitemap.").alias("message"), nothing.alias("value"), F.lit(2000).alias("ord")).withColumn("recommendation", rules.recommended())
+    orphan = cov.filter("orphaned").select(*key, F.lit("orphaned_sitemap_page").alias("issue_type"), F.lit("medium").alias("severity"), F.lit("Sitemap page has no internal links pointing to it from other crawled pages.").alias("message"), nothing.alias("value"), F.lit(2001).alias("ord")).withColumn("recommendation", rules.recommended())
     state = rules.indexing_issues(pages.withColumn("page_ord", F.col("ord")), ["run", "page_ord", "url"]).withColumn("ord", F.lit(3000))
     out = own
     for x in (dup, miss, orphan, state):
         out = out.unionByName(x)
+    if probes is not None:
+        home = pages.filter("page_type = 'homepage'").groupBy("run").agg(F.min_by(F.struct("ord", "url"), "ord").alias("h"))
+        h = rules.host_canonicalization(probes).filter("verdict = 'issue'").join(home, "run")
+        out = out.unionByName(h.select("run", F.col("h.ord").alias("page_ord"), F.col("h.url").alias("url"), F.lit(4000).alias("ord"), "issue_type", "severity", "message", "value", "recommendation"))
     return out
 
 
-def audit(fetches: DataFrame, sitemap: DataFrame, now) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pages, issues, scores) of all runs."""
+def audit(fetches: DataFrame, sitemap: DataFrame, now, probes: DataFrame | None = None, others: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pages, issues, scores) of all runs. The pages are persisted: unpersist() them when the three are written."""
     pages = analyzed(fetches, now)
     pages = graph.page_sources(pages, links_of(pages)).withColumn("discovered", F.col("discovered") | F.col("linked")).drop("linked")
     pages = graph.inbound_counts(pages, links_of(pages)).persist()
-    issues = all_issues(pages, sitemap)
+    issues = all_issues(pages, sitemap, probes, others)
     n_broken = graph.broken_by_page(pages, links_of(pages)).select("run", F.col("src_ord").alias("ord"), F.size("broken_internal_links").alias("n_broken"))
     rated = pages.join(n_broken, ["run", "ord"], "left").fillna(0, ["n_broken"])
     return pages, issues, scoring.scores(rated, issues)

@@ -101,7 +101,7 @@ def freshness(at: Column, now: Column, stale_hours: float) -> Column:
 
 
 def latest_crawl(runs: DataFrame, issues: DataFrame, changes: DataFrame, scores: DataFrame, pages: DataFrame, now: Column, stale_hours: float = config.DEFAULTS["freshness_hours"]) -> DataFrame:
-    """For each site its latest run with changes, score, status and freshness; all null while it runs."""
+    """For each site its latest run with changes, score, status and freshness (from its end, or else its start); all null while it runs."""
     from .views import latest_runs
 
     r = latest_runs(runs)
@@ -113,7 +113,7 @@ def latest_crawl(runs: DataFrame, issues: DataFrame, changes: DataFrame, scores:
     d = d.fillna(0, counts)
     done = F.col("status") != "running"
     status = overall_status(F.col("critical"), F.col("high"), F.col("unexpected"), F.lit(0), F.col("new_issues"))
-    return d.select("site_id", "id", "status", *(F.when(done, F.col(c)).alias(c) for c in [*counts, "overall_score"]), F.when(done, status).alias("overall_status"), F.when(done, freshness(F.col("started_at"), now, stale_hours)).alias("freshness"))
+    return d.select("site_id", "id", "status", *(F.when(done, F.col(c)).alias(c) for c in [*counts, "overall_score"]), F.when(done, status).alias("overall_status"), F.when(done, freshness(F.coalesce("finished_at", "started_at"), now, stale_hours)).alias("freshness"))
 
 
 def crawl_detail(runs: DataFrame, changes: DataFrame, run) -> DataFrame:

@@ -102,7 +102,7 @@ def test_publication_state(spark):
 
 
 CLEAN = dict(url="https://h.com/", title="A good and long enough title", title_length=28, title_px=200, canonical="https://h.com/", site_host="H.com", meta_description="m", meta_description_px=100, h1_count=1, lang="en", has_favicon=True, word_count=500, page_type="homepage", charset="utf-8", has_doctype=True, compression="gzip", html_size_bytes=9000)
-NESTED = {"open_graph": "struct<title:string,description:string,image:string>", "twitter": "struct<card:string,title:string,description:string,image:string>", "headings": "array<struct<level:int,text:string>>", "alternate_links": "array<struct<hreflang:string,href:string>>", "structured_types": "array<string>", "broken_internal_links": "array<string>", "ambiguous": "array<struct<text:string,n:int>>"}
+NESTED = {"open_graph": "struct<title:string,description:string,image:string>", "twitter": "struct<card:string,title:string,description:string,image:string>", "headings": "array<struct<level:int,text:string>>", "alternate_links": "array<struct<hreflang:string,href:string>>", "structured_types": "array<string>", "broken_internal_links": "array<string>", "ambiguous": "array<struct<text:string,n:int,destinations:array<string>>>"}
 REST = {**dict.fromkeys(NESTED, []), "open_graph": ("t", None, None), "twitter": ("c", None, None, None), "outcome": "ok", "status": 200, "redirect_count": 0, "in_sitemap": False, "noindex": False, "images_missing_alt": 0, "images_total": 0, "anchor_empty": 0, "anchor_generic": 0, "repeated_blocks": 0, "mixed_content_count": 0, "x_powered_by": None, "error_message": None}
 TYPES = {str: "string", int: "int", bool: "boolean", type(None): "string"}
 RULES = [
@@ -116,7 +116,7 @@ RULES = [
     ({"page_type": "episode", "word_count": 75}, [("missing_podcast_episode_schema", "medium")]), ({"page_type": "episode", "structured_types": ["PodcastEpisode"]}, []),
     ({"headings": [(1, "A"), (2, "a "), (3, "A"), (3, "b")]}, [("duplicate_heading_text", "medium")]), ({"headings": [(1, "A")] * 4}, []), ({"headings": [(1, "a"), (3, "b"), (2, "c"), (6, "d")]}, [("heading_hierarchy_skip", "low")] * 2),
     ({"headings": [(1, f"h{i}") for i in range(8)], "word_count": 60}, [("excessive_headings", "low")]), ({"headings": [(1, f"h{i}") for i in range(8)], "word_count": 29}, []),
-    ({"anchor_empty": 1, "anchor_generic": 2}, [("empty_internal_anchor", "medium"), ("generic_anchor_text", "low")]), ({"ambiguous": [("a", 3), ("b", 4)]}, [("ambiguous_repeated_anchor_text", "low")] * 2),
+    ({"anchor_empty": 1, "anchor_generic": 2}, [("empty_internal_anchor", "medium"), ("generic_anchor_text", "low")]), ({"ambiguous": [("a", 3, ["x", "y", "z"]), ("b", 4, [])]}, [("ambiguous_repeated_anchor_text", "low")] * 2),
     ({"repeated_blocks": 2}, [("duplicate_visible_content", "low")]), ({"repeated_blocks": 3}, [("duplicate_visible_content", "medium")]), ({"charset": None}, [("missing_charset", "low")]), ({"has_doctype": False}, [("missing_doctype", "low")]),
     ({"mixed_content_count": 1}, [("mixed_content", "high")]), ({"compression": None}, [("html_response_uncompressed", "low")]), ({"compression": "identity", "html_size_bytes": 5119}, []), ({"x_powered_by": "p"}, [("x_powered_by_exposed", "low")]),
     ({"alternate_links": [("en", ""), ("e!", "x"), ("De", "a"), ("de", "b"), ("x-default", "c")]}, [("hreflang_missing_href", "medium"), ("invalid_hreflang", "low"), ("hreflang_duplicate_language", "medium")]),
