@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from . import config
 from .functions import html
-from .operators import history, rules, samples
-from .plans import dashboard
+from .operators import history, rules, samples, scoring
+from .plans import dashboard, views
 from .queries import FC, FI, LATEST, RUNS, SUMMARY
-from .sources import adapters
+from .sources import adapters, discovery
+from .streaming import control
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -326,3 +327,142 @@ def latest_crawl(spark, sf_dir):
     pages = adapters.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.when(F.col("l_partkey") % 11 == 0, "noindex_unexpected").otherwise("indexable").alias("indexing_state"))
     d = dashboard.latest_crawl(r, adapters.issues(spark, sf_dir), adapters.changes(spark, sf_dir), scores, pages, F.lit(dt.datetime(1998, 8, 2, 12)).cast("timestamp_ntz"), 24)
     return d.select("site_id", "id", "status", "critical", "high", "unexpected", "new_issues", "changed_pages", "overall_score", "freshness.minutes_ago", "freshness.is_stale")
+
+
+# --- changes that count from a size on ----------------------------------------------------
+
+OLD_NEW = "with c as (select cast(p_partkey as integer) as k from part), n as (select k, {now} from c where k % 10 <> 0), o as (select k, {before} from c where k % 12 <> 0), j as (select n.k, {both} from n join o on n.k = o.k)".format(
+    now=", ".join(f"{e.format(k=NOW_K)} as {c}" for c, e in PAIRS.items()), before=", ".join(f"{e.format(k=BEFORE_K)} as {c}" for c, e in PAIRS.items()), both=", ".join(f"n.{c} as b_{c}, o.{c} as a_{c}" for c in PAIRS)
+)
+SQUASHED = r"trim(regexp_replace(coalesce({}, ''), '\s+', ' ', 'g'))"
+PLAIN_URL = "regexp_replace({}, '(.)/$', '\\1')"
+FAR = "(abs(b_{f} - a_{f}) >= {d} or (a_{f} > 0 and abs(b_{f} - a_{f}) >= {s} * a_{f}))"
+FROM_OR_TO_NONE = "(a_{f} > 0 and b_{f} = 0 or a_{f} = 0 and b_{f} > 0 or {far})"
+SIZES = {
+    "title": ("field_changed", f"{SQUASHED.format('a_title')} <> {SQUASHED.format('b_title')}"),
+    "final_url": ("field_changed", f"{PLAIN_URL.format('a_final_url')} <> {PLAIN_URL.format('b_final_url')}"), "canonical": ("canonical_changed", f"{PLAIN_URL.format('a_canonical')} is distinct from {PLAIN_URL.format('b_canonical')}"),
+    "word_count": ("field_changed", FAR.format(f="word_count", d=100, s=0.3)), "inbound": ("field_changed", FROM_OR_TO_NONE.format(f="inbound", far="abs(b_inbound - a_inbound) >= 5")),
+    "html_size_bytes": ("html_size_changed", FAR.format(f="html_size_bytes", d=102400, s=0.5)), "response_time_ms": ("response_time_changed", "abs(b_response_time_ms - a_response_time_ms) >= 1000 and a_response_time_ms > 0 and abs(b_response_time_ms - a_response_time_ms) >= 0.5 * a_response_time_ms"),
+    "internal_link_count": ("link_count_changed", FROM_OR_TO_NONE.format(f="internal_link_count", far=FAR.format(f="internal_link_count", d=10, s=0.4))),
+    "external_link_count": ("link_count_changed", FROM_OR_TO_NONE.format(f="external_link_count", far=FAR.format(f="external_link_count", d=10, s=0.4))),
+}
+
+
+@query(OLD_NEW + " " + " union all ".join(f"select k, '{kind}' as event_type, '{history.STORED.get(f, f)}' as field_name, cast(a_{f} as varchar) as previous_value, cast(b_{f} as varchar) as current_value from j where {w}" for f, (kind, w) in SIZES.items()))
+def diff_page_sizes(spark, sf_dir):
+    """Events of fields whose change counts by amount, share or after cleaning."""
+    names = [history.STORED.get(f, f) for f in SIZES]
+    e = history.compare_pages(*case_pair(spark, sf_dir)).filter(F.col("field_name").isin(*names))
+    return e.select(F.expr("cast(substring(url, 2) as int)").alias("k"), "event_type", "field_name", "previous_value", "current_value")
+
+
+# --- scores from flags ------------------------------------------------------------------------
+
+FLAGS = {name: f"k % {n} = 0" for n, name in zip((2, 3, 4, 5, 6, 7, 8, 9, 10), (s for s, _, _ in scoring.SIGNALS), strict=True)} | {name: f"k % {n} = 1" for n, (name, _) in zip((3, 5, 7, 11), config.CAPS, strict=True)}
+LOST = {c: f"cast((k * {n}) % 60 as double)" for n, c in zip((7, 11, 13, 17, 19, 23), config.WEIGHTS, strict=True)}
+PART_SQL = {c: f"greatest(0.0, least(100.0, 100.0 - {LOST[c]} + least(5.0, {' + '.join([f'case when {FLAGS[s]} then {b} else 0 end' for s, kind, b in scoring.SIGNALS if kind == c] or ['0'])})))" for c in config.WEIGHTS}
+
+
+@query(f"""with p as (select cast(p_partkey as integer) as k from part), r as (select k, {' + '.join(f'{w} * {PART_SQL[c]}' for c, w in config.WEIGHTS.items())} as raw from p),
+    c as (select *, least({', '.join(f'case when {FLAGS[n]} and {m} < raw then {m} else 1000 end' for n, m in config.CAPS)}) as cap from r)
+    select k, round(raw, 6) as raw, cast(floor(least(raw, cap) + 0.5) as integer) as overall_score, case cap {' '.join(f"when {m} then '{n}'" for n, m in config.CAPS)} end as cap_applied from c""")
+def score_flags(spark, sf_dir):
+    """Scores from every combination of signals and caps, the homepage's included."""
+    d = adapters.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("k"))
+    d = d.withColumns({**{n: F.expr(e) for n, e in FLAGS.items()}, **{f"lost_{c}": F.expr(e) for c, e in LOST.items()}})
+    return scoring.finished(d).select("k", F.round("raw", 6).alias("raw"), "overall_score", "cap_applied")
+
+
+# --- stored tables, lookups and what the dashboard's pages derive --------------------------------
+
+
+@query("""with e as (select l_orderkey as run_id, l_linenumber as seq, case when l_returnflag = 'R' then 'failed' else 'running' end as status, l_linestatus as stage, cast(l_shipdate as timestamp) as seen from lineitem)
+    select run_id, arg_max(status, seq) as status, arg_max(stage, seq) as stage, min(seen) as started_at, max(seen) as last_progress_at from e group by run_id""")
+def run_lifecycle(spark, sf_dir):
+    e = adapters.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as run_id", "l_linenumber as seq", "case when l_returnflag = 'R' then 'failed' else 'running' end as status", "l_linestatus as stage", "cast(l_shipdate as timestamp_ntz) as at")
+    return views.latest_state(e)
+
+
+@query("""with i as (select l_orderkey as run_id, 'https://h.example/' || (l_partkey % 20) || '/?utm_source=x' as url, 't' || l_linenumber as issue_type from lineitem), p as (select o_orderkey as run_id, 'https://h.example/' || (o_custkey % 20) || '/?utm_source=x' as url, o_orderkey * 10 as id from orders)
+    select i.run_id, i.url, regexp_replace(i.url, '/\\?.*$', '') || '::' || issue_type as issue_key, p.id as page_snapshot_id from i left join p on p.run_id = i.run_id and p.url = i.url""")
+def issue_snapshot_keys(spark, sf_dir):
+    i = adapters.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as run_id", "concat('https://h.example/', l_partkey % 20, '/?utm_source=x') as url", "concat('t', l_linenumber) as issue_type")
+    p = adapters.table(spark, sf_dir, "orders").selectExpr("o_orderkey as run_id", "concat('https://h.example/', o_custkey % 20, '/?utm_source=x') as url", "o_orderkey * 10 as id")
+    return views.issue_snapshots(i, p).select("run_id", "url", "issue_key", "page_snapshot_id")
+
+
+@query("select c_custkey as run_id, case when c_custkey % 2 = 0 then 0 else c_custkey % 100 end as overall_score from customer")
+def score_upsert(spark, sf_dir):
+    old = adapters.table(spark, sf_dir, "customer").selectExpr("c_custkey as run_id", "c_custkey % 100 as overall_score")
+    return views.upserted(old, old.filter("run_id % 2 = 0").withColumn("overall_score", F.lit(0).cast("bigint")), "run_id")
+
+
+@query("select domain, max(base_url) as base_url from (select 's' || (s_suppkey % 30) || '.example' as domain, null as base_url from supplier union all select 's' || c || '.example', 'stored' from range(5) t(c)) group by domain")
+def site_get_or_create(spark, sf_dir):
+    stored = spark.range(5).selectExpr("concat('s', id, '.example') as domain", "'stored' as base_url")
+    new = adapters.table(spark, sf_dir, "supplier").selectExpr("concat('https://s', s_suppkey % 30, '.example/', s_suppkey) as url")
+    return views.sites_with(stored, new, F.regexp_extract("url", "^https://([^/]+)/", 1))
+
+
+@query(f"with {RUNS}, r as (select * from fr where status = 'running'), t as (select *, row_number() over (partition by site_id order by started_at desc, id desc) as n from r) select id, site_id from t where n = 1 and site_id = (select min(site_id) from r)")
+def active_run(spark, sf_dir):
+    r = adapters.runs(spark, sf_dir)
+    first = r.filter("status = 'running'").agg(F.min("site_id")).first()[0]
+    return dashboard.active_run(r, first).select("id", "site_id")
+
+
+@query(f"with {RUNS}, {FC}, s as (select run_id, {SUMMARY} from fc group by run_id), p as (select id, lag(id) over (partition by site_id order by started_at, id) as previous_id from fr) select fr.id, previous_id, coalesce(new_issues, 0) as new_issues, coalesce(resolved_issues, 0) as resolved_issues, coalesce(changed_pages, 0) as changed_pages from fr join p using (id) left join s on s.run_id = fr.id where fr.id = (select min(user_id) from events join orders on o_orderkey = user_id)")
+def crawl_detail(spark, sf_dir):
+    r, c = adapters.runs(spark, sf_dir), adapters.changes(spark, sf_dir)
+    run = r.join(c.select(F.col("run_id").alias("id")), "id", "left_semi").agg(F.min("id")).first()[0]
+    return dashboard.crawl_detail(r, c, run).select("id", "previous_id", "new_issues", "resolved_issues", "changed_pages")
+
+
+@query("""with t as (select o_orderkey as k, o_orderkey % 700 as gone, case when o_orderkey % 5 = 0 then null else true end as seen from orders), c as (select k, case when seen is null then 0 else greatest(0, 300 - gone) end as wait from t)
+    select k, cast(wait as bigint) as wait, case when k % 7 = 0 then 'not_configured' when k % 7 = 1 then 'unauthorized' when k % 11 = 0 then 'site_not_found' when wait > 0 then 'cooldown' when k % 3 = 0 then 'already_running' else 'ok' end as answer from c""")
+def trigger_answers(spark, sf_dir):
+    d = adapters.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    now = F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz")
+    last = F.when(F.col("k") % 5 != 0, now - F.make_dt_interval(secs=F.col("k") % 700))
+    d = d.withColumn("wait", control.cooldown_remaining(last, now).cast("bigint"))
+    answer = control.trigger_result(F.expr("case when k % 7 = 0 then null else k % 7 <> 1 end"), F.expr("k % 11 <> 0"), F.col("wait"), F.expr("case when k % 3 = 0 then k end"))
+    return d.select("k", "wait", answer.alias("answer"))
+
+
+@query("""select p_partkey as k, case when p_size % 4 = 0 then 'not recorded' else cast(cast(floor(p_size * 700 / 1024.0 + 0.5) as bigint) as varchar) end as kb, case when p_size % 3 = 0 then 'not recorded' when p_size * 20 > 600 then 'wide' else 'ok' end as width,
+    case when p_size % 9 + 1 < 4 then 'pending' when p_size % 9 + 1 = 4 then 'active' else 'done' end as progress, cast(p_size * 61 as bigint) as seconds, coalesce(case when p_size % 2 = 0 then 'current' end, case when p_size % 3 = 0 then 'remembered' end, 'first') as site,
+    case when p_size % 4 = 0 then 'network_error' when p_size % 4 = 1 then 'ok' when p_size % 4 = 2 then 'http_error' else 'ok' end as outcome from part where p_size is not null""")
+def shown_values(spark, sf_dir):
+    """Small derivations of the dashboard's pages."""
+    d = adapters.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("n")).filter("n is not null")
+    stages = F.array(*map(F.lit, config.STAGES))
+    start = F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz")
+    return d.select(
+        "k", dashboard.kilobytes(F.expr("case when n % 4 <> 0 then n * 700 end")).alias("kb"), dashboard.width_verdict(F.expr("case when n % 3 <> 0 then n * 20 end"), 600).alias("width"),
+        dashboard.stage_progress(F.element_at(stages, (F.col("n") % 9 + 1).cast("int")), F.lit(config.STAGES[3])).alias("progress"),
+        dashboard.duration_seconds(start, start + F.make_dt_interval(secs=F.col("n") * 61)).cast("bigint").alias("seconds"),
+        dashboard.selected_site(F.expr("case when n % 2 = 0 then 'current' end"), F.expr("case when n % 3 = 0 then 'remembered' end"), F.lit("first")).alias("site"),
+        scoring.inferred_outcome(F.expr("case n % 4 when 0 then null when 1 then 200 when 2 then 404 else 301 end")).alias("outcome"),
+    )
+
+
+@query(f"with {CASES} select k, url, title from p where page_type = 'episode' and lower(concat_ws(' ', url, title)) like '%ple/1%'")
+def page_search(spark, sf_dir):
+    return dashboard.search_pages(case_pages(spark, sf_dir), "PLE/1", page_type="episode").select("k", "url", "title")
+
+
+@query("select user_id as run_id, cast(floor(epoch(cast(ts as timestamp)) / 2) * 2 as bigint) as span, max(cast(ts as timestamp)) as at from events group by all")
+def heartbeats_throttled(spark, sf_dir):
+    """One heartbeat a run and two seconds."""
+    e = adapters.changes(spark, sf_dir).select("run_id", F.col("created_at").alias("at"), F.lit("crawling").alias("stage"))
+    d = control.throttled(e)
+    return d.select("run_id", F.expr("cast(floor(unix_seconds(cast(at as timestamp)) / 2) * 2 as bigint)").alias("span"), "at")
+
+
+@query("""with recursive h as (select s_suppkey as k, case when s_suppkey % 4 <> 0 then s_suppkey - 1 end as nxt from supplier), w(k, cur, n) as (select k, k, 0 from h union all select w.k, h.nxt, w.n + 1 from w join h on h.k = w.cur where h.nxt is not null)
+    select k, arg_max(cur, n) as final, max(n) as hops from w group by k""")
+def redirects(spark, sf_dir):
+    """Chains of up to three hops."""
+    s = adapters.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("url"), F.expr("case when s_suppkey % 4 <> 0 then cast(s_suppkey - 1 as string) end").alias("location"))
+    d = discovery.redirect_chains(s.filter("location is not null"), s)
+    return d.select(F.col("url").cast("bigint").alias("k"), F.col("final_url").cast("bigint").alias("final"), F.col("redirect_count").alias("hops"))

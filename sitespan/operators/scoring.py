@@ -33,14 +33,20 @@ def penalties(issues: DataFrame, run: str = "run", collation: bool = True) -> Da
     """run, category, issue_type, severity (of the first occurrence), occurrences, penalty.
 
     Occurrences of a type are ranked by URL (as a reader sorts them), then order
-    of issue. Ranks decide by tier only, so they are counted per severity and
-    group of equal order; types without a category give nothing.
+    of issue. All beyond the last tier weigh alike: only those up to it are
+    ranked, which cuts each task's rows before they move, and the others are
+    counted by severity. Types without a category give nothing.
     """
-    rated = issues.join(F.broadcast(category_map(issues.sparkSession)), "issue_type")
+    rated = issues.join(F.broadcast(category_map(issues.sparkSession)), "issue_type").withColumn("p", base_penalty() * F.col("multiplier"))
     url = F.expr("collate(url, 'UNICODE')") if collation else F.col("url")
-    rank = F.row_number().over(Window.partitionBy(run, "issue_type").orderBy(url, "ord"))
-    d = rated.withColumn("nth", rank).withColumn("p", base_penalty() * F.col("multiplier") * occurrence_multiplier("nth"))
-    return d.groupBy(run, "category", "issue_type").agg(F.min_by("severity", "nth").alias("severity"), F.count("*").alias("occurrences"), F.sum("p").alias("penalty"))
+    key = [run, "category", "issue_type"]
+    nth = F.row_number().over(Window.partitionBy(run, "issue_type").orderBy(url, "ord"))
+    first = rated.withColumn("nth", nth).filter(F.col("nth") <= config.TIERS[-1][0])
+    first = first.groupBy(*key, "severity").agg(F.min("nth").alias("nth"), F.count("*").alias("n_first"), F.sum(F.col("p") * occurrence_multiplier("nth")).alias("p_first"))
+    all_ = rated.groupBy(*key, "severity").agg(F.count("*").alias("n"), F.max("p").alias("p"))
+    d = all_.join(first, [*key, "severity"], "left").fillna(0, ["n_first"]).fillna(0.0, ["p_first"])
+    rest = (F.col("n") - F.col("n_first")) * F.col("p") * config.TIER_REST
+    return d.groupBy(*key).agg(F.min_by("severity", "nth").alias("severity"), F.sum("n").alias("occurrences"), F.sum(F.col("p_first") + rest).alias("penalty"))
 
 
 def signals(pages: DataFrame, issues: DataFrame, run: str = "run") -> DataFrame:
@@ -132,5 +138,5 @@ def backfill(runs: DataFrame, snapshots: DataFrame, force: bool = False) -> Data
 
 
 def inferred_outcome(status="status") -> Column:
-    s = F.col(status)
+    s = F.col(status) if isinstance(status, str) else status
     return F.when(s.isNull(), "network_error").when(s.between(200, 399), "ok").otherwise("http_error")

@@ -192,7 +192,7 @@ def type_of_key(key="issue_key") -> Column:
 def stage_progress(stage: Column, shown: Column) -> Column:
     """done, active or pending for a shown stage, by its place in the order of stages."""
     order = F.array(*map(F.lit, config.STAGES))
-    now, at = F.array_position(order, stage), F.array_position(order, shown)
+    now, at = F.call_function("array_position", order, stage), F.call_function("array_position", order, shown)
     return F.when(at < now, "done").when(at == now, "active").otherwise("pending")
 
 

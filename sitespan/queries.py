@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import config
 from .functions import html, text, urls
@@ -187,16 +186,16 @@ def anchor_metrics(spark, sf_dir):
 
 @query(r"""with a as (select page_id, unnest(regexp_extract_all(html, '(?s)<a href="[^"]*">(.*?)</a>', 1)) as t, unnest(regexp_extract_all(html, '(?s)<a href="([^"]*)">.*?</a>', 1)) as h from pages),
     b as (select page_id, lower(trim(t)) as anchor_text, count(distinct h) as n from a where h like '/%' and length(trim(t)) >= 2 group by all)
-    select page_id, anchor_text, least(n, 5) as destinations from b where n >= 3""")
+    select page_id, anchor_text, least(n, 5) as destinations from b where n >= 3 and regexp_replace(anchor_text, '[.!?\s]+$', '') not in ('click here', 'read more', 'learn more', 'here', 'more', 'this link', 'link', 'click')""")
 def anchor_ambiguous(spark, sf_dir):
     return samples.ambiguous_anchors(parsed(spark, sf_dir), ["page_id"]).select("page_id", F.col("text").alias("anchor_text"), F.size("destinations").cast("bigint").alias("destinations"))
 
 
-@query(r"select page_id, trim(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '\s+', ' ', 'g')) as h1_raw, 1 as level from pages where regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) not like '%<%' and regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) not like '%&%'")
+@query(r"""with h as (select page_id, unnest(regexp_extract_all(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)) as raw from pages), t as (select page_id, regexp_replace(raw, '<[^>]*>', '', 'g') as t from h),
+    d as (select page_id, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') as t from t)
+    select page_id, trim(regexp_replace(t, '\s+', ' ', 'g')) as h1_raw, 1 as level from d where trim(t) <> ''""")
 def html_headings(spark, sf_dir):
-    raw = F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1)
-    d = parsed(spark, sf_dir).filter(~F.contains(raw, F.lit("<")) & ~F.contains(raw, F.lit("&")))
-    return d.select("page_id", F.explode("headings").alias("h")).select("page_id", F.col("h.text").alias("h1_raw"), "h.level")
+    return parsed(spark, sf_dir).select("page_id", F.explode("headings").alias("h")).filter("h.level = 1").select("page_id", F.col("h.text").alias("h1_raw"), "h.level")
 
 
 @query(f"with {AUDIT} select page_id, title_px, title_length, html_size_bytes from ap")
@@ -370,9 +369,9 @@ def indexing_tally(spark, sf_dir):
 @query("select * from (values (1, 3), (2, 4), (2, 6)) t(page_id, to_level)")
 def heading_skips(spark, sf_dir):
     rows = [(1, [(1, "a"), (3, "b"), (2, "c")]), (2, [(2, "a"), (4, "b"), (1, "x"), (2, "y"), (6, "c")]), (3, [(1, "a"), (2, "b")])]
-    d = spark.createDataFrame(rows, "page_id int, headings array<struct<level:int,text:string>>").select("page_id", F.posexplode("headings").alias("pos", "h"))
-    before = F.lag("h.level").over(Window.partitionBy("page_id").orderBy("pos"))
-    return d.withColumn("before", before).filter(F.col("h.level") > F.col("before") + 1).select("page_id", F.col("h.level").alias("to_level"))
+    d = spark.createDataFrame(rows, "page_id int, headings array<struct<level:int,text:string>>").withColumn("url", F.lit("https://h.example/"))
+    skips = rules.apply_page_rules(d, ["page_id"]).filter("issue_type = 'heading_hierarchy_skip'")
+    return skips.select("page_id", F.get_json_object("value", "$.to").cast("int").alias("to_level"))
 
 
 # --- history ---------------------------------------------------------------------

@@ -47,19 +47,19 @@ def sitemap_starts(sites: DataFrame, rules: DataFrame) -> DataFrame:
 
 def sitemap_entries(files: DataFrame) -> DataFrame:
     """url (of the file), kind (index or page), loc, pos. An index wins over a urlset; what is no XML gives nothing."""
-    xml = F.when(F.col("xml").rlike(r"(?s)^\s*<") & F.col("xml").rlike(r"(?s)</\s*[\w:]*(sitemapindex|urlset)\s*>\s*$"), F.col("xml"))
+    xml = F.when(F.col("xml").rlike(r"(?s)^\s*<") & F.col("xml").rlike(r"(?s)</\s*[\w:]*(sitemapindex|urlset)\s*>\s*(?:<!--.*?-->\s*)*$"), F.col("xml"))
     locs = lambda root, item: F.xpath(xml, F.lit(f"//*[local-name()='{root}']/*[local-name()='{item}']/*[local-name()='loc']/text()"))
     d = files.select("url", locs("sitemapindex", "sitemap").alias("i"), locs("urlset", "url").alias("p"))
     one = F.when(F.size("i") > 0, F.transform("i", lambda x: F.struct(F.lit("index").alias("kind"), F.trim(x).alias("loc")))).otherwise(F.transform("p", lambda x: F.struct(F.lit("page").alias("kind"), F.trim(x).alias("loc"))))
     return d.select("url", F.posexplode(one).alias("pos", "e")).select("url", "e.kind", "e.loc", "pos").filter("loc != ''")
 
 
-def sitemap_urls(files: DataFrame, starts: DataFrame, most_depth: int = 20) -> DataFrame:
-    """site, url: normalized page URLs of the site's own host, from its sitemaps through all their indexes; each file is read once."""
+def sitemap_urls(files: DataFrame, starts: DataFrame) -> DataFrame:
+    """site, url: normalized page URLs of the site's own host, from its sitemaps through all their indexes, however deep; each file is read once, so circles end."""
     entries = sitemap_entries(files).withColumn("url", urls.normalized_or_raw("url"))
     frontier = starts.select("site", urls.normalized_or_raw("url").alias("url")).distinct()
     seen = frontier
-    for _ in range(most_depth):
+    while True:
         nxt = frontier.join(entries.filter("kind = 'index'"), "url").select("site", urls.normalized_or_raw("loc").alias("url")).distinct().join(seen, ["site", "url"], "left_anti").cache()
         if nxt.isEmpty():
             break
@@ -69,27 +69,37 @@ def sitemap_urls(files: DataFrame, starts: DataFrame, most_depth: int = 20) -> D
 
 
 def bfs(edges: DataFrame, starts: DataFrame, most_depth: int, most_nodes: int | None = None) -> DataFrame:
-    """node, depth: first reached from `starts` (node) over edges (src, dst), level by level.
+    """node, depth: first reached from `starts` (node) over edges (src, dst, perhaps pos), level by level.
 
-    A level is one join, a distinct and an anti join with what is known; with
-    `most_nodes`, the nodes of the smallest ids fill what is left of the budget.
+    A level is one join, an aggregate and an anti join with what is known. With
+    `most_nodes` a level's nodes fill what is left of the budget in the order in
+    which they are first seen: by their parent's turn, then pos (or dst). Turns
+    are ranked in one place, for at most `most_nodes` rows.
     """
+    order = "pos" if "pos" in edges.columns else "dst"
+    e = edges.select("src", F.col("dst").alias("node"), F.col(order).alias("_pos"))
     known = starts.select("node", F.lit(0).alias("depth"))
-    frontier = known
+    turn = F.row_number().over(Window.orderBy("_seen")) if most_nodes is not None else F.lit(0)
+    frontier = starts.select("node", F.col("node").alias("_seen")).withColumn("turn", turn).drop("_seen")
     total = known.count() if most_nodes is not None else 0
     for depth in range(1, most_depth + 1):
-        nxt = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct().join(known.select("node"), "node", "left_anti")
+        nxt = frontier.withColumnRenamed("node", "src").join(e, "src").groupBy("node").agg(F.min(F.struct("turn", "_pos")).alias("_seen")).join(known.select("node"), "node", "left_anti")
         if most_nodes is not None:
-            nxt = nxt.orderBy("node").limit(max(0, most_nodes - total))
-        nxt = nxt.select("node", F.lit(depth).alias("depth")).cache()
+            nxt = nxt.orderBy("_seen").limit(max(0, most_nodes - total))
+        nxt = nxt.withColumn("turn", turn).select("node", "turn").cache()
         n = nxt.count()
         if not n:
             break
         total += n
-        known, frontier = known.union(nxt), nxt
+        known, frontier = known.union(nxt.select("node", F.lit(depth).alias("depth"))), nxt
     return known
 
 
+def most_pages(pages: DataFrame, most: int, order: str = "ord") -> DataFrame:
+    """The first pages of a crawl by their order, up to a limit; 0: all of them."""
+    return pages.orderBy(order).limit(most) if most > 0 else pages
+
+
 def redirect_chains(hops: DataFrame, starts: DataFrame, limit: int = 10) -> DataFrame:
     """url, final_url, redirect_count, error: stored hops (url, location) followed up to `limit`; a loop or too many hops is an error."""
     now = starts.select("url", F.col("url").alias("at"), F.lit(0).alias("n"), F.array("url").alias("seen"), F.lit(None).cast("string").alias("error"))
