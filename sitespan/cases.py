@@ -376,10 +376,10 @@ def score_flags(spark, sf_dir):
 # --- stored tables, lookups and what the dashboard's pages derive --------------------------------
 
 
-@query("""with e as (select l_orderkey as run_id, l_linenumber as seq, case when l_returnflag = 'R' then 'failed' else 'running' end as status, l_linestatus as stage, cast(l_shipdate as timestamp) as seen from lineitem)
+@query("""with e as (select user_id as run_id, event_id as seq, case when event_type = 'error' then 'failed' else 'running' end as status, event_type as stage, cast(ts as timestamp) as seen from events)
     select run_id, arg_max(status, seq) as status, arg_max(stage, seq) as stage, min(seen) as started_at, max(seen) as last_progress_at from e group by run_id""")
 def run_lifecycle(spark, sf_dir):
-    e = adapters.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as run_id", "l_linenumber as seq", "case when l_returnflag = 'R' then 'failed' else 'running' end as status", "l_linestatus as stage", "cast(l_shipdate as timestamp_ntz) as at")
+    e = adapters.table(spark, sf_dir, "events").selectExpr("user_id as run_id", "event_id as seq", "case when event_type = 'error' then 'failed' else 'running' end as status", "event_type as stage", "cast(ts as timestamp_ntz) as at")
     return views.latest_state(e)
 
 
