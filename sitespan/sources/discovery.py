@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import urls
+from ..lineage import cut
 
 
 def robots_lines(robots: DataFrame) -> DataFrame:
@@ -60,7 +61,7 @@ def sitemap_urls(files: DataFrame, starts: DataFrame) -> DataFrame:
     frontier = starts.select("site", urls.normalized_or_raw("url").alias("url")).distinct()
     seen = frontier
     while True:
-        nxt = frontier.join(entries.filter("kind = 'index'"), "url").select("site", urls.normalized_or_raw("loc").alias("url")).distinct().join(seen, ["site", "url"], "left_anti").cache()
+        nxt = cut(frontier.join(entries.filter("kind = 'index'"), "url").select("site", urls.normalized_or_raw("loc").alias("url")).distinct().join(seen, ["site", "url"], "left_anti"))
         if nxt.isEmpty():
             break
         seen, frontier = seen.union(nxt), nxt
@@ -86,7 +87,7 @@ def bfs(edges: DataFrame, starts: DataFrame, most_depth: int, most_nodes: int |
         nxt = frontier.withColumnRenamed("node", "src").join(e, "src").groupBy("node").agg(F.min(F.struct("turn", "_pos")).alias("_seen")).join(known.select("node"), "node", "left_anti")
         if most_nodes is not None:
             nxt = nxt.orderBy("_seen").limit(max(0, most_nodes - total))
-        nxt = nxt.withColumn("turn", turn).select("node", "turn").cache()
+        nxt = cut(nxt.withColumn("turn", turn).select("node", "turn"))
         n = nxt.count()
         if not n:
             break
