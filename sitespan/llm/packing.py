@@ -77,18 +77,24 @@ class Words:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # fixed: bytes that stand for themselves
         hidden = [b for b in range(256) if b not in set(shown)]
         self.bytes = str.maketrans({chr(b): chr(256 + k) for k, b in enumerate(hidden)})
-        self.parts = Memory(most, self.part)
         self.known = Memory(most, self.word)
+        self.letters = all(self.split.findall(x) == [x] for x in ("a", "word", "st", "z" * 99))  # whether a run of letters is one part
 
     def part(self, part: str) -> bytes:
         tokens = self.model.tokenize(part.encode().decode("latin-1").translate(self.bytes))
         return array("I", [t.id for t in tokens]).tobytes()
 
     def word(self, data: bytes) -> bytes:
+        if self.letters and data.isalpha():  # letters of ASCII stand for themselves
+            return array("I", [t.id for t in self.model.tokenize(data.lower().decode())]).tobytes()
         w = data.decode()
         if not PLAIN.fullmatch(w):
             return array("I", self.whole.encode(w, add_special_tokens=False).ids).tobytes()
-        return b"".join([self.parts[x] for x in self.split.findall(w.lower())])
+        parts = self.split.findall(w.lower())
+        if len(parts) == 1:
+            return self.part(parts[0])
+        # a part is a word, too: one memory serves both
+        return b"".join([self.known[x.encode()] for x in parts])
 
     def ids(self, text: str | None) -> np.ndarray:
         known = self.known
