@@ -210,6 +210,7 @@ def kept(df: DataFrame, model: Model, text_col: str = "text", least_score: float
     at = df.columns.index(text_col)
 
     def run(batches):
+        claim("langid")
         m = sent.value
         for batch in batches:
             keep = []

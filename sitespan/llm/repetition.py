@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import row_mapper
+from .common import claim, row_mapper
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = [c.encode() for c in "#*$%&|<>"]
@@ -169,6 +169,7 @@ def filtered(df: DataFrame, text_col: str, rules: Rules | None = None) -> DataFr
     at = df.columns.index(text_col)
 
     def run(batches):
+        claim("repetition")
         for batch in batches:
             keep = [measure(None if t is None else t.as_py(), rules)[6] for t in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, stored
+from .common import claim, new_path, stored
 
 MAGIC = b"\x1f\x8b\x08"
 STEP = 1 << 20
@@ -87,6 +87,7 @@ def write_warc(
     shape = pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("records", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("warc")
         fs, root = pafs.FileSystem.from_uri(folder)
         task = TaskContext.get()
         names = (f"{root}/part-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}-{k:04d}.warc.gz" for k in range(10**6))
@@ -245,6 +246,7 @@ def read_warc(files: DataFrame, split_bytes: int = 8 << 20, with_payload: bool =
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), shape, strict=True)], schema=shape)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("warc")
         rows, held = [], 0
         for batch in batches:
             for folder, path, size, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
