@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import config
 from .functions import html, text, urls
+from .lineage import cut
 from .operators import graph, history, rules, samples, scoring
 from .plans import dashboard, views
 from .sources import adapters, discovery
@@ -455,7 +456,8 @@ PEN = f"""{CAT}, pr as (select ap.run, pi.issue_type, pi.severity, page_id, row_
 
 
 def rated_issues(spark, sf_dir) -> DataFrame:
-    return page_issues(spark, sf_dir).withColumn("ord", F.col("ord") * 100 + F.col("rule_ord"))
+    """Issues with their order; written once, since scores read them several times."""
+    return cut(page_issues(spark, sf_dir).withColumn("ord", F.col("ord") * 100 + F.col("rule_ord")).select("run", "ord", "url", "issue_type", "severity"))
 
 
 @query(f"{WITH_ISSUES}, {PEN} select run, category, issue_type, occurrences, round(penalty, 6) as penalty from pen")
