@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hpylm, langid, media, neardup, packing, pii, repetition, secrets, warc
+from . import bpe, clustering, compression, hpylm, langid, licenses, media, neardup, packing, pii, repetition, secrets, warc
 from .common import held_out, table
 
 
@@ -78,6 +78,18 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.compressed(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clustered(table(spark, sf_dir, "embeddings"))
+
+
 def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of op2_lm_score SQL can state: counts and the base score, to three places."""
     d = op2_lm_score(spark, sf_dir)
@@ -100,6 +112,10 @@ def personal_data_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
 
 
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pipeline import run
 
@@ -117,12 +133,16 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_licenses": op12_licenses,
+    "op13_clusters": op13_clusters,
     "pipeline": pipeline,
     "lm_base": lm_base,
     "media_base": media_base,
     "quality_base": quality_base,
     "secret_counts": secret_counts,
     "personal_data_counts": personal_data_counts,
+    "license_base": license_base,
 }
 
 # Words of a text, and crc32 of an id's digits, in SQL.
@@ -132,7 +152,42 @@ SQL_CRC32 = """xor(list_reduce(list_transform(string_split(cast(doc_id as varcha
     lambda c, b: list_reduce(range(8), lambda h, i: xor(h >> 1, (h & 1) * 3988292384), xor(c, b)), cast(4294967295 as bigint)), 4294967295)"""
 SQL_DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
 
+SQL_KEPT = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+
+
+def sql_rounds(rounds: int, cut: int) -> str:
+    """Rounds of assignment over p (id, part, x) and floor means, from k0 (part, e, c); the last assignment is a{rounds}."""
+    out = []
+    for i in range(rounds + 1):
+        out.append(f"""
+        d{i} as materialized (select id, p.part, x, e, list_sum(list_transform(range(1, {cut + 1}), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) as d from p join k{i} k on k.part = p.part),
+        a{i} as materialized (select id, part, any_value(x) as x, arg_min(e, d * 1000 + e) as e, min(d) as d from d{i} group by id, part)""")
+        if i < rounds:
+            out.append(f"""
+        s{i} as (select part, e, i, sum(x[i]) as s, count(*) as n from a{i}, range(1, {cut + 1}) t(i) group by part, e, i),
+        m{i} as (select part, e, list(cast((s - ((s % n) + n) % n) // n as bigint) order by i) as c from s{i} group by part, e),
+        k{i + 1} as materialized (select k.part, k.e, coalesce(m.c, k.c) as c from k{i} k left join m{i} m on m.part = k.part and m.e = k.e)""")
+    return ",".join(out)
+
+
 ORACLE_SQL = {
+    "op11_vector_codes": f"""
+        with v as materialized (select vec_id, label, list_transform(embedding, lambda x: cast(floor(4096 * cast(x as double)) as bigint)) as q from embeddings where {SQL_KEPT}),
+        p as materialized (select vec_id as id, part, q[part * (len(q) // 8) + 1 : (part + 1) * (len(q) // 8)] as x from v, range(8) r(part)),
+        k0 as materialized (select part, row_number() over (partition by part order by id) - 1 as e, x as c from p where id in (select vec_id from v order by vec_id limit 16)),
+        {sql_rounds(6, 8)},
+        f as (select id, string_agg(printf('%02x', e), '' order by part) as code, cast(sum(d) as bigint) as error from a6 group by id),
+        b as (select sha256(string_agg(array_to_string(c, ','), ',' order by part, e)) as h from k6)
+        select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, h as codebooks_sha256 from v join f on f.id = v.vec_id, b""",
+    "op13_clusters": f"""
+        with v as materialized (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as q from embeddings where {SQL_KEPT} and len(embedding) = 64),
+        p as materialized (select vec_id as id, 0 as part, q as x from v),
+        k0 as materialized (select 0 as part, row_number() over (order by sha256('3:' || vec_id)) - 1 as e, q as c from v qualify e < 8),
+        {sql_rounds(10, 64)},
+        h as (select e, sha256(array_to_string(c, ',')) as h from k10)
+        select id as vec_id, cast(a.e as integer) as cluster, cast(d as bigint) as distance, cast(sum(d) over (partition by a.e) as bigint) as cluster_inertia,
+          cast(sum(d) over () as bigint) as inertia, h as centroid_sha256
+        from a10 a join h on h.e = a.e""",
     # base32 by hand: 5 hex digits of the digest are 4 letters
     "op1_warc": """
         with p as (select page_id, coalesce(html, '') as h from pages),
@@ -179,6 +234,12 @@ ORACLE_SQL = {
             and list_sum(list_transform(range(1, length(x) + 1), lambda i: case when i % 2 = 1 then cast(x[i] as bigint) when cast(x[i] as bigint) > 4 then 2 * cast(x[i] as bigint) - 9 else 2 * cast(x[i] as bigint) end)) % 10 = 0)) as n_card,
           len(list_filter(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: length({SQL_DIGITS}) between 8 and 15)) as n_phone
         from d""",
+    "license_base": r"""
+        with d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
+        f(label, p) as (values ('gpl', ['gnu', 'general', 'public', 'license']), ('apache', ['apache', 'license']), ('cc-by', ['cc', 'by']), ('mit', ['mit', 'license'])),
+        h as (select doc_id, label, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1 : i + len(p)] = p)) as i from d, f),
+        b as (select doc_id, count(*) as n, min(i) as a, max(i) as z, array_to_string(list_sort(list(distinct label)), ',') as l from h group by doc_id)
+        select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n, 0) as n_base, a as first_word, z as last_word, coalesce(l, '') as base_labels from d left join b on b.doc_id = d.doc_id""",
     "op10_near_duplicates": r"""
         with recursive w as (
           select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
