@@ -237,7 +237,7 @@ ORACLE_SQL = {
     "license_base": r"""
         with d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
         f(label, p) as (values ('gpl', ['gnu', 'general', 'public', 'license']), ('apache', ['apache', 'license']), ('cc-by', ['cc', 'by']), ('mit', ['mit', 'license'])),
-        h as (select doc_id, label, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1 : i + len(p)] = p)) as i from d, f),
+        h as (select doc_id, label, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1 : i + len(p)] = p)) as i from d, f where list_contains(w, p[1])),
         b as (select doc_id, count(*) as n, min(i) as a, max(i) as z, array_to_string(list_sort(list(distinct label)), ',') as l from h group by doc_id)
         select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n, 0) as n_base, a as first_word, z as last_word, coalesce(l, '') as base_labels from d left join b on b.doc_id = d.doc_id""",
     "op10_near_duplicates": r"""
