@@ -325,12 +325,40 @@ def bfs_depth(spark, sf_dir):
     return discovery.bfs(e, spark.range(1).select(F.col("id").alias("node")), 3)
 
 
-ROBOTS = [("a.example", "# rules\nUser-agent: *\nDisallow: /private\nDisallow:\nSitemap: https://a.example/s.xml\nUser-agent: other\nDisallow: /x\n"), ("b.example", "User-Agent: SiteBot\nDisallow: /tmp\nno colon\nUser-agent: zz\nSitemap: https://b.example/m.xml\nDisallow: /zz")]
+LINKED = """lk as (select l_suppkey % 6 as run, l_orderkey % (select count(*) from part) as src, l_partkey as dst, min(l_orderkey * 10 + l_linenumber) as pos from lineitem group by all),
+    pk as (select p_partkey as p, 'https://shop.example.com/' || replace(lower(p_type), ' ', '-') || '/' || p_partkey || case p_size % 10 when 0 then '.pdf' when 1 then '?a=1&b=2&c=3' when 2 then '?a=1&b=2' else '' end as key, p_size % 7 = 0 as moved from part),
+    fx as (select a.p, a.key, case when a.moved then b.key else a.key end as final_key from pk a join pk b on b.p = (a.p + 1) % (select count(*) from part)),
+    ru as (select p_partkey as run, '/' || split_part(lower(p_type), ' ', 1) as rule from part where p_partkey < 6),
+    k0 as (select run, f.p, key, final_key, 0 as depth, f.p as turn from fx f join ru on f.p % 200 = run)"""
 
 
-@query("select * from (values ('a.example', 2, 'disallow', '/private'), ('a.example', 4, 'sitemap', 'https://a.example/s.xml'), ('b.example', 1, 'disallow', '/tmp'), ('b.example', 4, 'sitemap', 'https://b.example/m.xml')) t(site, line_no, kind, value)")
+def discovered_sql(depth: int, most: int) -> str:
+    """Levels of discovery, unrolled: k0 holds the starts."""
+    out = []
+    for i in range(1, depth + 1):
+        known = " union all ".join(f"select * from k{j}" for j in range(i))
+        out.append(f"""v{i} as (select run, key from ({known}) union select run, final_key from ({known})),
+        c{i} as (select k.run, f.p, f.key, f.final_key, min((k.turn, lk.pos)) as seen from k{i - 1} k join lk on lk.run = k.run and lk.src = k.p join fx f on f.p = lk.dst join ru on ru.run = k.run
+          where f.key not like '%.pdf' and f.key not like '%c=3' and not starts_with(regexp_replace(f.key, '^https://[^/]*', ''), ru.rule) group by all),
+        r{i} as (select *, row_number() over (partition by run order by seen, key) as turn from c{i} where (run, key) not in (select run, key from v{i})),
+        k{i} as (select run, p, key, final_key, {i} as depth, turn from r{i} where turn <= {most} - (select count(*) from ({known}) s where s.depth > 0 and s.run = r{i}.run))""")
+    return ", ".join(out)
+
+
+@query(f"with {LINKED}, {discovered_sql(3, 150)} " + " union all ".join(f"select run, key, final_key, cast(depth as integer) as depth, turn from k{i}" for i in range(4)))
+def discovery_by_run(spark, sf_dir):
+    starts, links, fetched, rules = adapters.linked_runs(spark, sf_dir)
+    return discovery.discover(starts, links, 3, 150, fetched, rules)
+
+
+SITE = "regexp_extract(url, '^https?://[^/?#]*?([a-z0-9]+\\.[a-z]+)(?:[/?#:]|$)', 1)"
+
+
+@query(f"""with l as (select {SITE} as site, page_id // 100 as part, row_number() over (partition by {SITE}, page_id // 100 order by page_id) - 1 as line_no, page_id, page_id % 5 as k, {PATH} as path from pages),
+    u as (select *, last_value(case when k = 0 then page_id % 3 <> 0 end ignore nulls) over (partition by site order by page_id rows between unbounded preceding and current row) as applies from l)
+    select site, part, line_no, case k when 2 then 'disallow' else 'sitemap' end as kind, case k when 2 then path else 'https://' || site || '/s' || page_id || '.xml' end as value from u where k = 3 or k = 2 and coalesce(applies, false)""")
 def robots_rules(spark, sf_dir):
-    return discovery.robots_rules(spark.createDataFrame(ROBOTS, "site string, body string"), "SiteBot/1.0")
+    return discovery.robots_rules(adapters.robots_bodies(spark, sf_dir), "SiteBot/1.0").withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
 @query(f"select page_id, {PATH} like '/a%' or {PATH} like '/e%' as is_disallowed from pages")
@@ -338,18 +366,12 @@ def robots_predicate(spark, sf_dir):
     return pages_of(spark, sf_dir).select("page_id", discovery.disallowed(urls.safe_pathname("url"), F.array(F.lit("/a"), F.lit("/e"), F.lit(""))).alias("is_disallowed"))
 
 
-SITEMAPS = [
-    ("https://a.example/sitemap.xml", '<?xml version="1.0"?><sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><sitemap><loc>https://a.example/one.xml</loc></sitemap><sitemap><loc>https://a.example/sitemap.xml</loc></sitemap></sitemapindex>'),
-    ("https://a.example/one.xml", "<urlset><url><loc> https://a.example/p/ </loc></url><url><loc>https://A.example/p</loc></url><url><loc>https://b.example/q</loc></url></urlset>"),
-    ("https://a.example/bad.xml", "<urlset><url>"),
-]
-
-
-@query("select * from (values ('a.example', 'https://a.example/p')) t(site, url)")
+@query(f"""with p as (select {SITE} as site, page_id, case when page_id % 9 = 0 then url else 'https://' || {SITE} || {PATH} end as url from pages)
+    select distinct site, {NORMALIZED} as url from p where {HOST} = site""")
 def sitemap_urls(spark, sf_dir):
-    files = spark.createDataFrame(SITEMAPS, "url string, xml string")
-    sites = spark.createDataFrame([("a.example", "https://a.example")], "site string, base_url string")
-    return discovery.sitemap_urls(files, discovery.sitemap_starts(sites, spark.createDataFrame([], "site string, line_no int, kind string, value string")))
+    sites, fetches = adapters.sitemap_bodies(spark, sf_dir)
+    rules = discovery.robots_rules(adapters.robots_bodies(spark, sf_dir), "SiteBot/1.0")
+    return discovery.sitemap_urls(discovery.unpacked(fetches), discovery.sitemap_starts(sites, rules))
 
 
 # --- indexing state --------------------------------------------------------------
@@ -367,12 +389,15 @@ def indexing_tally(spark, sf_dir):
     return graph.state_tally(adapters.audit_pages(spark, sf_dir).withColumn("indexing_state", rules.indexing_state(F.lit("unknown"))))
 
 
-@query("select * from (values (1, 3), (2, 4), (2, 6)) t(page_id, to_level)")
+@query("""with h as (select doc_id, generate_subscripts(l, 1) as pos, unnest(l) as t from (select doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') as l from documents)),
+    s as (select doc_id, pos, 1 + length(t) % 6 as level, lag(1 + length(t) % 6) over (partition by doc_id order by pos) as before from h)
+    select doc_id, before as from_level, level as to_level, count(*) as n from s where level > before + 1 group by all""")
 def heading_skips(spark, sf_dir):
-    rows = [(1, [(1, "a"), (3, "b"), (2, "c")]), (2, [(2, "a"), (4, "b"), (1, "x"), (2, "y"), (6, "c")]), (3, [(1, "a"), (2, "b")])]
-    d = spark.createDataFrame(rows, "page_id int, headings array<struct<level:int,text:string>>").withColumn("url", F.lit("https://h.example/"))
-    skips = rules.apply_page_rules(d, ["page_id"]).filter("issue_type = 'heading_hierarchy_skip'")
-    return skips.select("page_id", F.get_json_object("value", "$.to").cast("int").alias("to_level"))
+    lines = F.filter(F.split("text", "\n"), lambda x: x != "")
+    d = adapters.table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("word_count"), F.transform(lines, lambda x: F.struct((1 + F.length(x) % 6).alias("level"), x.alias("text"))).alias("headings"))
+    skips = d.select("doc_id", F.inline(rules.heading_issues())).filter("issue_type = 'heading_hierarchy_skip'")
+    level = lambda k: F.get_json_object("value", f"$.{k}").cast("bigint")
+    return skips.select("doc_id", level("from").alias("from_level"), level("to").alias("to_level")).groupBy("doc_id", "from_level", "to_level").agg(F.count("*").alias("n"))
 
 
 # --- history ---------------------------------------------------------------------

@@ -69,6 +69,51 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.lit(1).alias("run"), "src_ord", F.col("dst").cast("string").alias("key"), F.col("dst").alias("pos"), F.col("dst").cast("string").alias("link"))
 
 
+def linked_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(starts, links, fetched, rules) of six crawls over all parts and line items: some targets are assets, have many parameters, redirect or are disallowed."""
+    p = table(spark, sf_dir, "part")
+    n_parts = p.count()
+    end = F.when(F.col("p_size") % 10 == 0, ".pdf").when(F.col("p_size") % 10 == 1, "?a=1&b=2&c=3").when(F.col("p_size") % 10 == 2, "?a=1&b=2").otherwise("")
+    key = F.concat(F.lit(SHOP), F.replace(F.lower("p_type"), F.lit(" "), F.lit("-")), F.lit("/"), F.col("p_partkey").cast("string"), end)
+    keys = p.select(F.col("p_partkey").alias("p"), key.alias("key"), (F.col("p_size") % 7 == 0).alias("moved"))
+    to = keys.select(((F.col("p") + n_parts - 1) % n_parts).alias("p"), F.col("key").alias("to_key"))
+    nodes = keys.join(to, "p").select("p", "key", F.when(F.col("moved"), F.col("to_key")).otherwise(F.col("key")).alias("final_key"))
+    rules = p.filter("p_partkey < 6").select(F.col("p_partkey").alias("run"), F.lit("disallow").alias("kind"), F.concat(F.lit("/"), F.split(F.lower("p_type"), " ")[0]).alias("value"))
+    six = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long")))
+    starts = nodes.filter(F.col("p") % 200 < 6).select((F.col("p") % 200).alias("run"), "key", "final_key", F.col("p").alias("ord"))
+    li = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 6).alias("run"), (F.col("l_orderkey") % n_parts).alias("src"), F.col("l_partkey").alias("dst")).agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
+    links = li.join(nodes.select(F.col("p").alias("src"), F.col("key").alias("src_key")), "src").join(nodes.select(F.col("p").alias("dst"), "key"), "dst").select("run", "src_key", "key", "pos")
+    return starts, links, nodes.select(six.alias("run"), "key", "final_key"), rules
+
+
+def site_of(url: str):
+    """The last two labels of a host, as a site."""
+    return F.regexp_extract(url, r"^https?://[^/?#]*?([a-z0-9]+\.[a-z]+)(?:[/?#:]|$)", 1)
+
+
+def robots_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """site, part, body: a line for each page in parts of 100 ids: agents, rules from its path, sitemaps and comments in turn."""
+    k, site, path = F.col("page_id") % 5, site_of("url"), urls.safe_pathname("url")
+    agent = F.when(F.col("page_id") % 3 == 0, "User-agent: other").when(F.col("page_id") % 3 == 1, "user-AGENT: *").otherwise("User-agent:  sitebot")
+    line = F.when(k == 0, agent).when(k == 2, F.concat(F.lit("Disallow: "), path)).when(k == 3, F.concat(F.lit(" Sitemap: https://"), site, F.lit("/s"), F.col("page_id").cast("string"), F.lit(".xml"))).when(k == 1, F.concat(F.lit("# "), path)).otherwise(path)
+    d = table(spark, sf_dir, "pages").select(site.alias("site"), F.floor(F.col("page_id") / 100).alias("part"), "page_id", line.alias("line"))
+    return d.groupBy("site", "part").agg(F.array_sort(F.collect_list(F.struct("page_id", "line"))).alias("l")).select("site", "part", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("body"))
+
+
+def sitemap_bodies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(sites, fetches): for each site an index of eight files that list its pages, with some of other hosts, repeats and one file that is cut off."""
+    d = table(spark, sf_dir, "pages").select(site_of("url").alias("site"), "page_id", F.when(F.col("page_id") % 9 == 0, F.col("url")).otherwise(F.concat(F.lit("https://"), site_of("url"), urls.safe_pathname("url"))).alias("loc"))
+    base = F.concat(F.lit("https://"), F.col("site"))
+    escaped = F.replace(F.col("loc"), F.lit("&"), F.lit("&amp;"))
+    files = d.groupBy("site", (F.col("page_id") % 8).alias("k")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(F.concat(F.lit("<url><loc> "), escaped, F.lit(" </loc></url>"))), ""), F.lit("</urlset>")).alias("xml"))
+    files = files.select("site", F.concat(base, F.lit("/s"), F.col("k").cast("string"), F.lit("-0.xml")).alias("url"), "xml")
+    sites = d.select("site", base.alias("base_url")).distinct()
+    names = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.concat(F.lit("<sitemap><loc>"), base, F.lit("/s"), k.cast("string"), F.lit("-0.xml</loc></sitemap>")))
+    index = sites.select("site", F.concat("base_url", F.lit("/sitemap.xml")).alias("url"), F.concat(F.lit("<sitemapindex>"), F.array_join(names, ""), F.lit("<sitemap><loc>"), base, F.lit("/sitemap.xml</loc></sitemap></sitemapindex>")).alias("xml"))
+    broken = sites.select("site", F.concat("base_url", F.lit("/sitemap_index.xml")).alias("url"), F.lit("<urlset><url>").alias("xml"))
+    return sites, files.union(index).union(broken).select("url", F.col("xml").cast("binary").alias("body"))
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     started = F.col("o_orderdate").cast("timestamp_ntz")

@@ -81,10 +81,14 @@ def test_host_issue_goes_to_the_homepage(spark):
 
 def test_budget_fills_in_first_seen_order(spark):
     edges = spark.createDataFrame([(0, 9, 1), (0, 2, 2), (9, 5, 1), (9, 3, 2), (2, 1, 1)], "src long, dst long, pos int")
-    got = {r["node"]: r["depth"] for r in discovery.bfs(edges, spark.createDataFrame([(0,)], "node long"), 3, 5).collect()}
+    got = {r["node"]: r["depth"] for r in discovery.bfs(edges, spark.createDataFrame([(0,)], "node long"), 3, 4).collect()}
     assert got == {0: 0, 9: 1, 2: 1, 5: 2, 3: 2}
-    pages = spark.createDataFrame([(k,) for k in range(9)], "ord int")
-    assert discovery.most_pages(pages, 0).count() == 9 and {r["ord"] for r in discovery.most_pages(pages, 4).collect()} == {0, 1, 2, 3}
+    starts = spark.createDataFrame([(k,) for k in range(5)], "node long")  # starts are no part of the budget
+    star = spark.createDataFrame([(k, 10 + k, 0) for k in range(5)], "src long, dst long, pos int")
+    assert {r["node"] for r in discovery.bfs(star, starts, 2, 3).collect()} == {0, 1, 2, 3, 4, 10, 11, 12}
+    pages = spark.createDataFrame([(r, k) for r in (1, 2) for k in range(9)], "run int, ord int")
+    assert discovery.most_pages(pages, 0).count() == 18
+    assert {tuple(r) for r in discovery.most_pages(pages, 4).collect()} == {(r, k) for r in (1, 2) for k in range(4)}
 
 
 def test_sitemaps_of_any_depth_and_with_comments(spark):
