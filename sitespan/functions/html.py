@@ -1,24 +1,25 @@
-"""HTML extraction: one pass of a parser per page gives raw facts; expressions do the rest.
+"""HTML extraction: one pass over a page's tags gives raw facts; expressions do the rest.
 
-The parser is a tree builder in the spirit of the HTML standard for what pages
-really hold: void elements, raw-text elements, implied ends of p, li, dt, dd,
-tr, td, th and option, and end tags that close what they can find.
+A flat parser in the spirit of the HTML standard for what pages really hold:
+void elements, raw-text elements, implied ends of p, li, dt, dd, tr, td, th and
+option, and end tags that close what they can find.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from .. import config
 from .text import collapsed, pixel_width, utf16_length
-from .urls import host_of, resolve
+from .urls import host_of, host_of_normalized, resolve
 
 WS = " \t\n\x0b\f\r\xa0                　﻿"
 _WS = re.compile(f"[{WS}]+")
@@ -33,113 +34,6 @@ SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td":
 HEAD_ONLY = {"title", "meta", "link", "base", "script", "style", "noscript", "template"}
 
 
-class Node:
-    __slots__ = ("tag", "attrs", "kids", "parent")
-
-    def __init__(self, tag: str, attrs: dict, parent: Node | None) -> None:
-        self.tag, self.attrs, self.parent, self.kids = tag, attrs, parent, []
-
-    def walk(self) -> Iterator[Node]:
-        todo = [self]
-        while todo:
-            n = todo.pop()
-            yield n
-            todo.extend(k for k in reversed(n.kids) if isinstance(k, Node))
-
-    def text(self, skip: set[str] = frozenset()) -> str:
-        """Text nodes joined without separator."""
-        out, todo = [], [self]
-        while todo:
-            n = todo.pop()
-            if isinstance(n, str):
-                out.append(n)
-            elif n is self or n.tag not in skip:
-                todo.extend(reversed(n.kids))
-        return "".join(out)
-
-    def inside(self, test) -> bool:
-        n = self.parent
-        while n:
-            if test(n):
-                return True
-            n = n.parent
-        return False
-
-
-class Builder(HTMLParser):
-    CDATA_CONTENT_ELEMENTS = ("script", "style")
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = Node("#document", {}, None)
-        self.html = Node("html", {}, self.root)
-        self.head, self.body = Node("head", {}, self.html), Node("body", {}, self.html)
-        self.root.kids.append(self.html)
-        self.html.kids += [self.head, self.body]
-        self.stack = [self.head]
-        self.in_head = True
-
-    def leave_head(self) -> None:
-        if self.in_head:
-            self.in_head, self.stack = False, [self.body]
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        a: dict[str, str] = {}
-        for k, v in attrs:
-            a.setdefault(k, v or "")
-        if tag in ("html", "body", "head"):
-            node = {"html": self.html, "body": self.body, "head": self.head}[tag]
-            for k, v in a.items():
-                node.attrs.setdefault(k, v)
-            if tag == "body":
-                self.leave_head()
-            return
-        if self.in_head and len(self.stack) == 1 and tag not in HEAD_ONLY:
-            self.leave_head()
-        if tag in P_ENDS:
-            self.close("p", {"button", "table", "td", "th"})
-        for other in IMPLIED.get(tag, ()):
-            self.close(other, SCOPES[tag])
-        node = Node(tag, a, self.stack[-1])
-        self.stack[-1].kids.append(node)
-        if tag not in VOID:
-            self.stack.append(node)
-
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)  # a slash closes nothing in HTML
-
-    def close(self, tag: str, limit: set[str]) -> None:
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag == tag:
-                del self.stack[k:]
-                return
-            if self.stack[k].tag in limit:
-                return
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag == "head":
-            self.leave_head()
-        elif tag == "p" and not any(n.tag == "p" for n in self.stack):
-            self.handle_starttag("p", [])
-            self.close("p", set())
-        else:
-            self.close(tag, set())
-
-    def handle_data(self, data: str) -> None:
-        if self.in_head and len(self.stack) == 1:
-            if not data.strip(WS):
-                return
-            self.leave_head()
-        self.stack[-1].kids.append(data)
-
-
-def tree(html: str) -> Builder:
-    b = Builder()
-    b.feed(html)
-    HTMLParser.close(b)
-    return b
-
-
 def trim(s: str) -> str:
     return s.strip(WS)
 
@@ -186,100 +80,292 @@ MIXED_SRC = ["script", "img", "source", "video", "audio", "iframe"]
 MIXED_REL = ["stylesheet", "preload", "icon"]
 ICONS = {"icon", "shortcut icon", "apple-touch-icon"}
 
+_S = r"[ \t\n\r\f]"
+_TAG = re.compile(
+    rf"""<(?:
+      /(?P<close>[a-zA-Z][^\s/>]*+)[^>]*+>
+    | (?P<open>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"'=]++|={_S}*+(?:"[^"]*+"|'[^']*+'|[^>"'\s][^>\s]*+)?|["'])*+)>
+    | !--(?:-?>|.*?(?:--!?>|\Z))
+    | [!?][^>]*+(?:>|\Z)
+    | /[^a-zA-Z>][^>]*+(?:>|\Z)
+    | />
+    )""",
+    re.X | re.S,
+)
+_ATTR = re.compile(rf"""[\s/]*+(=?[^\s/>=]++|=)(?:{_S}*+={_S}*+("[^"]*+"|'[^']*+'|[^\s>]*+))?""")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style")}
+
+
+class Page:
+    """A document as arrays in document order: no object stands for an element.
+
+    Element k has a tag, its attributes as they are written, the texts from
+    begin[k] to end[k] and the elements k + 1 to last[k] within. Texts know
+    whether an open element hides them.
+    """
+
+    __slots__ = ("tags", "written", "begin", "end", "last", "aside", "texts", "shown", "body_from", "body_texts", "_attrs")
+
+    def __init__(self, html: str) -> None:
+        self.tags, self.written = ["html", "head", "body"], ["", "", ""]
+        self.begin, self.end, self.last = [0, 0, 0], [0, 0, 0], [0, 0, 0]
+        self.aside = [False] * 3  # is, or stands inside, a part that is no content
+        self.texts: list[str] = []
+        self.shown: list[int] = []  # 2: visible content, 1: visible, but in a landmark, 0: hidden
+        self.body_from, self.body_texts = None, 0
+        self._attrs: dict[int, dict[str, str]] = {}
+        self.read(html)
+
+    def read(self, html: str) -> None:
+        tags, written, begin, end, last, aside, texts, shown = self.tags, self.written, self.begin, self.end, self.last, self.aside, self.texts, self.shown
+        stack: list[int] = [1]
+        open_p = hidden = marked = set_aside = 0
+        in_head, pending, at, size = True, [], 0, len(html)
+
+        def leave_head() -> None:
+            nonlocal in_head, hidden, marked, set_aside, open_p
+            close_to(1)
+            in_head = False
+            stack[0] = 2
+            self.body_from, self.body_texts = len(tags), len(texts)
+
+        def close_to(depth: int) -> None:
+            nonlocal open_p, hidden, marked, set_aside
+            for k in stack[depth:]:
+                end[k], last[k] = len(texts), len(tags) - 1
+                tag = tags[k]
+                open_p -= tag == "p"
+                hidden -= tag in HIDDEN
+                marked -= tag in LANDMARKS
+                set_aside -= is_aside(k)
+            del stack[depth:]
+
+        def is_aside(k: int) -> bool:
+            return tags[k] in HIDDEN or tags[k] in LANDMARKS or (written[k] != "" and "role" in written[k].lower() and self.attrs(k).get("role") in ROLES)
+
+        def close(tag: str, limit=frozenset()) -> None:
+            for d in range(len(stack) - 1, 0, -1):
+                other = tags[stack[d]]
+                if other == tag:
+                    close_to(d)
+                    return
+                if other in limit:
+                    return
+
+        def start(tag: str, attrs: str) -> None:
+            nonlocal open_p, hidden, marked, set_aside
+            if in_head and len(stack) == 1 and tag not in HEAD_ONLY:
+                leave_head()
+            if open_p and tag in P_ENDS:
+                close("p", P_SCOPE)
+            for other in IMPLIED.get(tag, ()):
+                close(other, SCOPES[tag])
+            k = len(tags)
+            tags.append(tag)
+            written.append(attrs)
+            begin.append(len(texts))
+            end.append(len(texts))
+            last.append(k)
+            mine = is_aside(k)
+            aside.append(mine or set_aside > 0)
+            if tag not in VOID:
+                stack.append(k)
+                open_p += tag == "p"
+                hidden += tag in HIDDEN
+                marked += tag in LANDMARKS
+                set_aside += mine
+
+        def text(s: str) -> None:
+            if in_head and len(stack) == 1:
+                if not s.strip(WS):
+                    return
+                leave_head()
+            texts.append(s)
+            shown.append(0 if hidden else 1 if marked else 2)
+
+        def flush() -> None:
+            if pending:
+                s = "".join(pending)
+                pending.clear()
+                text(unescape(s) if "&" in s else s)
+
+        while at < size:
+            lt = html.find("<", at)
+            if lt < 0:
+                pending.append(html[at:])
+                break
+            if lt > at:
+                pending.append(html[at:lt])
+            m = _TAG.match(html, lt)
+            if m is None:
+                if html[lt + 1 : lt + 2].isalpha() or html[lt + 1 : lt + 2] == "/":  # a tag that the end of the document cuts off
+                    break
+                pending.append("<")
+                at = lt + 1
+                continue
+            flush()
+            at = m.end()
+            if tag := m["open"]:
+                tag = tag.lower()
+                if tag in ("html", "head", "body"):
+                    k = 0 if tag == "html" else 1 if tag == "head" else 2
+                    written[k] += " " + m["attrs"]  # of equal names the first counts
+                    self._attrs.pop(k, None)
+                    if k == 2 and in_head:
+                        leave_head()
+                    continue
+                start(tag, m["attrs"])
+                if tag in _RAW_END:
+                    stop = _RAW_END[tag].search(html, at)
+                    stop = stop.start() if stop else size
+                    if stop > at:
+                        text(html[at:stop])
+                    at = stop
+            elif tag := m["close"]:
+                tag = tag.lower()
+                if tag == "head":
+                    if in_head:
+                        leave_head()
+                elif tag == "p" and not open_p:
+                    start("p", "")
+                    close("p")
+                else:
+                    close(tag)
+        flush()
+        close_to(1)
+        if self.body_from is None:
+            self.body_from, self.body_texts = len(tags), len(texts)
+
+    def attrs(self, k: int) -> dict[str, str]:
+        """The attributes of an element, read when asked for; of equal names the first counts."""
+        found = self._attrs.get(k)
+        if found is None:
+            found = self._attrs[k] = {}
+            for name, value in _ATTR.findall(self.written[k]):
+                if value[:1] in ('"', "'") and len(value) > 1 and value[-1] == value[0]:
+                    value = value[1:-1]
+                found.setdefault(name.lower(), unescape(value) if "&" in value else value)
+        return found
+
+    def text(self, k: int) -> str:
+        """Text nodes joined without separator."""
+        return "".join(self.texts[self.begin[k] : self.end[k]])
+
+    def content(self, k: int) -> str:
+        """The text without what is hidden or in landmarks."""
+        return "".join(t for t, s in zip(self.texts[self.begin[k] : self.end[k]], self.shown[self.begin[k] : self.end[k]], strict=True) if s == 2)
+
+    def body_text(self) -> str:
+        return "".join(t for t, s in zip(self.texts[self.body_texts :], self.shown[self.body_texts :], strict=True) if s)
+
+
+P_SCOPE = {"button", "table", "td", "th"}
+LEVELS = {f"h{k}": k for k in range(1, 7)}
+
 
 def raw_facts(html: str | None, url: str) -> dict:
     """What the markup says, before any rule. An empty document has no facts."""
-    b = tree(html or "")
-    nodes = [n for n in b.root.walk()]
-    first = lambda tag: next((n for n in nodes if n.tag == tag), None)
-    metas = [n for n in nodes if n.tag == "meta"]
-    links = [n for n in nodes if n.tag == "link"]
+    page = Page(html or "")
+    by: dict[str, list[int]] = {}
+    for k, tag in enumerate(page.tags):
+        by.setdefault(tag, []).append(k)
+    attrs = page.attrs
+    metas = [attrs(k) for k in by.get("meta", ())]
+    links = [attrs(k) for k in by.get("link", ())]
 
     def meta(name: str) -> str | None:
         for key in ("name", "property"):
-            found = next((m for m in metas if m.attrs.get(key, "").lower() == name), None)
-            if found is not None and "content" in found.attrs:
-                return trim(found.attrs["content"]) or None
+            found = next((m for m in metas if m.get(key, "").lower() == name), None)
+            if found is not None and "content" in found:
+                return trim(found["content"]) or None
         return None
 
-    title = first("title")
-    canonical = next((n.attrs.get("href") for n in links if n.attrs.get("rel") == "canonical"), None)
-    charset = next((m.attrs["charset"] for m in metas if trim(m.attrs.get("charset", ""))), None)
+    canonical = next((m.get("href") for m in links if m.get("rel") == "canonical"), None)
+    charset = next((m["charset"] for m in metas if trim(m.get("charset", ""))), None)
     if charset is None:
-        equiv = next((m for m in metas if m.attrs.get("http-equiv", "").lower() == "content-type"), None)
-        found = re.search(r"charset\s*=\s*([^;]+)", equiv.attrs.get("content", ""), re.I) if equiv else None
+        equiv = next((m for m in metas if m.get("http-equiv", "").lower() == "content-type"), None)
+        found = re.search(r"charset\s*=\s*([^;]+)", equiv.get("content", ""), re.I) if equiv else None
         charset = found[1] if found else None
-    headings = [(int(n.tag[1]), n) for n in nodes if re.fullmatch("h[1-6]", n.tag)]
-    hrefs = [(n, n.attrs["href"]) for n in nodes if n.tag == "a" and "href" in n.attrs]
+    headings = [(LEVELS[page.tags[k]], k) for k in sorted(x for t in LEVELS for x in by.get(t, ()))]
     site = host_of(url)
-    internal, external = {}, {}
-    for _, href in hrefs:
-        h = trim(href)
-        if not h or h.startswith(("javascript:", "mailto:", "tel:")):
+    known: dict[str, tuple[str | None, bool]] = {}
+
+    def target(href: str) -> tuple[str | None, bool]:
+        if href not in known:
+            u = resolve(href, url)
+            known[href] = (u, u is not None and host_of_normalized(u) == site)
+        return known[href]
+
+    internal, external, anchors = {}, {}, []
+    for k in by.get("a", ()):
+        a = attrs(k)
+        h = trim(a.get("href", ""))
+        if not h:
             continue
-        u = resolve(h, url)
-        if u:
-            (internal if host_of(u) == site else external)[u] = None
-    anchors = []
-    for n, href in hrefs:
-        h = trim(href)
-        if not h or h.startswith("#") or re.match(r"(?i)(javascript|mailto|tel|data|blob):", h):
+        if not h.startswith(("javascript:", "mailto:", "tel:")):
+            u, own = target(h)
+            if u:
+                (internal if own else external)[u] = None
+        if h.startswith("#") or _NO_PAGE.match(h):
             continue
-        u = resolve(h, url)
+        u, own = target(h)
         if not u:
             continue
-        name = squeezed(n.text())
+        name = squeezed(page.text(k))
         if len(name) < config.ANCHOR_LEAST:
-            name = squeezed(n.attrs.get("aria-label", "")) or squeezed(n.attrs.get("title", "")) or name
+            name = squeezed(a.get("aria-label", "")) or squeezed(a.get("title", "")) or name
         if len(name) < config.ANCHOR_LEAST:
-            shown = (squeezed(x.attrs.get("alt", x.attrs.get("aria-label", ""))) for x in n.walk() if x.tag == "img")
-            name = next((x for x in shown if len(x) >= config.ANCHOR_LEAST), name)
-        anchors.append({"href": u, "text": name, "is_internal": host_of(u) == site})
-    shell = lambda n: n.tag in HIDDEN or n.tag in LANDMARKS or n.attrs.get("role") in ROLES
-    visible = (n for n in b.body.walk() if n.tag in BLOCKS and not shell(n) and not n.inside(shell))
-    blocks = [t for n in visible if (t := squeezed(n.text(HIDDEN | LANDMARKS)).lower())]
+            images = (attrs(x) for x in range(k + 1, page.last[k] + 1) if page.tags[x] == "img")
+            name = next((x for i in images if len(x := squeezed(i.get("alt", i.get("aria-label", "")))) >= config.ANCHOR_LEAST), name)
+        anchors.append({"href": u, "text": name, "is_internal": own})
+    content = () if attrs(0).get("role") in ROLES or attrs(2).get("role") in ROLES else range(page.body_from, len(page.tags))
+    blocks = [t for k in content if page.tags[k] in BLOCKS and not page.aside[k] and (t := squeezed(page.content(k)).lower())]
     mixed: dict[str, None] = {}
     if url.lower().startswith("https:"):
-        sources = [[n.attrs.get("src", "") for n in nodes if n.tag == tag] for tag in MIXED_SRC]
-        related = [[n.attrs.get("href", "") for n in links if n.attrs.get("rel") == rel] for rel in MIXED_REL]
+        sources = [[attrs(k).get("src", "") for k in by.get(tag, ())] for tag in MIXED_SRC]
+        related = [[m.get("href", "") for m in links if m.get("rel") == rel] for rel in MIXED_REL]
         for found in [sources[0], *related, *sources[1:]]:
             mixed.update((trim(x), None) for x in found if trim(x).lower().startswith("http://"))
     ld = []
-    for n in nodes:
-        if n.tag == "script" and n.attrs.get("type") == "application/ld+json":
+    for k in by.get("script", ()):
+        if attrs(k).get("type") == "application/ld+json":
             try:
-                ld.append(json.loads(n.text()))
-            except ValueError:
+                ld.append(json.loads(page.text(k)))
+            except (ValueError, RecursionError):
                 pass
-    images = [n for n in nodes if n.tag == "img"]
+    images = [attrs(k) for k in by.get("img", ())]
+    title = trim(page.text(by["title"][0])) if "title" in by else ""
     return {
-        "title": trim(title.text()) or None if title is not None else None,
+        "title": title or None,
         "meta_description": meta("description"),
         "canonical": resolve(canonical, url) if canonical and trim(canonical) else None,
         "robots": meta("robots"),
-        "lang": trim(b.html.attrs.get("lang", "")) or None,
-        "has_viewport": any(m.attrs.get("name", "").lower() == "viewport" for m in metas),
-        "has_favicon": any(n.attrs.get("rel", "").lower() in ICONS for n in links),
+        "lang": trim(attrs(0).get("lang", "")) or None,
+        "has_viewport": any(m.get("name", "").lower() == "viewport" for m in metas),
+        "has_favicon": any(m.get("rel", "").lower() in ICONS for m in links),
         "charset": trim(charset) or None if charset else None,
         "has_doctype": bool(re.match(r"(?i)^\s*<!doctype\s+html\s*>", html or "")),
-        "body_text": b.body.text(HIDDEN),
+        "body_text": page.body_text(),
         "open_graph": {k: meta(f"og:{k}") for k in ("title", "description", "image")},
         "twitter": {k: meta(f"twitter:{k}") for k in ("card", "title", "description", "image")},
-        "headings": [{"level": k, "text": t} for k, n in headings if (t := squeezed(n.text()))],
-        "h1": [trim(n.text()) for k, n in headings if k == 1],
+        "headings": [{"level": n, "text": t} for n, k in headings if (t := squeezed(page.text(k)))],
+        "h1": [trim(page.text(k)) for n, k in headings if n == 1],
         "images_total": len(images),
-        "images_missing_alt": sum(not trim(n.attrs.get("alt", "")) for n in images),
+        "images_missing_alt": sum(not trim(i.get("alt", "")) for i in images),
         "internal_links": list(internal),
         "external_links": list(external),
         "anchors": anchors,
         "blocks": blocks,
         "mixed_content": list(mixed),
-        "alternate_links": [{"hreflang": trim(n.attrs["hreflang"]), "href": trim(n.attrs.get("href", ""))} for n in links if "alternate" in n.attrs.get("rel", "").lower().split() and "hreflang" in n.attrs and (trim(n.attrs["hreflang"]) or trim(n.attrs.get("href", "")))],
+        "alternate_links": [{"hreflang": trim(m["hreflang"]), "href": trim(m.get("href", ""))} for m in links if "alternate" in m.get("rel", "").lower().split() and "hreflang" in m and (trim(m["hreflang"]) or trim(m.get("href", "")))],
         "structured_types": list(dict.fromkeys(t for x in ld for t in types_of(x))),
         "episodes": [e for x in ld for e in episodes_of(x)],
     }
 
 
+_NO_PAGE = re.compile(r"(?i)(javascript|mailto|tel|data|blob):")
+
+
 FACTS = (
     "title string, meta_description string, canonical string, robots string, lang string, has_viewport boolean, has_favicon boolean, charset string, has_doctype boolean, body_text string, "
     "open_graph struct<title:string,description:string,image:string>, twitter struct<card:string,title:string,description:string,image:string>, "
@@ -289,13 +375,14 @@ FACTS = (
 )
 
 
-def facts_batch(html: pd.Series, url: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([raw_facts(h, u or "") for h, u in zip(html, url, strict=True)])
-
-
 def with_facts(df: DataFrame, html_col: str = "html", url_col: str = "final_url") -> DataFrame:
     """df and its raw facts, extracted once (Arrow batches), with the numbers derived from them."""
-    facts = F.pandas_udf(facts_batch, FACTS)
+    kind = to_arrow_type(StructType.fromDDL(FACTS))
+
+    def batch(html: pa.Array, url: pa.Array) -> pa.Array:
+        return pa.array([raw_facts(h, u or "") for h, u in zip(html.to_pylist(), url.to_pylist(), strict=True)], kind)
+
+    facts = F.arrow_udf(batch, FACTS)
     d = df.withColumn("facts", facts(F.col(html_col), F.col(url_col))).select(*df.columns, "facts.*")
     levels = [F.size(F.filter("headings", level_is(k))).alias(f"h{k}_count") for k in range(1, 7)]
     robots = F.lower(F.coalesce("robots", F.lit("")))

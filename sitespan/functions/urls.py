@@ -8,6 +8,7 @@ user info, ports and percent-encoding, and serves the HTML extraction.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from urllib.parse import unquote_to_bytes
 
 from pyspark.sql import Column
@@ -138,10 +139,14 @@ _FORM = set(b"*-._0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz
 
 
 def _escaped(text: str, safe: set[int]) -> str:
+    if text.isalnum() and text.isascii():
+        return text
     return "".join(chr(b) if b in safe else f"%{b:02X}" for b in text.encode("utf-8", "replace"))
 
 
 def _form_text(raw: str) -> str:
+    if raw.isalnum() and raw.isascii():
+        return raw
     data = unquote_to_bytes(raw.replace("+", " "))
     return "".join(chr(b) if b in _FORM else "+" if b == 32 else f"%{b:02X}" for b in data.decode("utf-8", "replace").encode())
 
@@ -155,16 +160,21 @@ def split_url(raw: str, base: str | None = None) -> tuple[str, str, str, str | N
         return None
     if m:
         name, rest = m[1].lower(), text[m.end() :].replace("\\", "/") if "?" not in text else text[m.end() :].partition("?")[0].replace("\\", "/") + "?" + text.partition("?")[2]
-        before = split_url(base) if base else None
+        before = _split_base(base) if base else None
         if not rest.startswith("/") and before and before[0] == name:
             return _relative(rest, before)
         return _absolute(name, rest.lstrip("/"))
-    before = split_url(base) if base else None
+    before = _split_base(base) if base else None
     if before is None:
         return None
     return _relative(text, before)
 
 
+@lru_cache(maxsize=64)
+def _split_base(base: str) -> tuple[str, str, str, str | None] | None:
+    return split_url(base)
+
+
 def _relative(text: str, before: tuple) -> tuple | None:
     path, mark, query = text.partition("?")
     path = path.replace("\\", "/")
@@ -214,8 +224,13 @@ def _clean(path: str) -> str:
     return "/" + "/".join(out)
 
 
+_PLAIN_PATH = re.compile(r"(?:/[A-Za-z0-9_-]+)+/?")
+
+
 def resolve(raw: str, base: str | None = None) -> str | None:
     """The normalized URL of a reference, by the same rules as `normalize`; None if it does not parse or is not http(s)."""
+    if base and _PLAIN_PATH.fullmatch(raw) and (before := _split_base(base)):
+        return f"{before[0]}://{before[1]}{raw.removesuffix('/')}"
     got = split_url(raw, base)
     if got is None:
         return None
@@ -230,3 +245,8 @@ def resolve(raw: str, base: str | None = None) -> str | None:
 def host_of(url: str | None) -> str | None:
     got = split_url(url) if url else None
     return re.sub(r":\d+$", "", got[1].rpartition("@")[2]) if got else None
+
+
+def host_of_normalized(url: str) -> str:
+    """The host of a URL that `resolve` has made."""
+    return re.sub(r":\d+$", "", url.split("/", 3)[2].partition("?")[0].rpartition("@")[2])
