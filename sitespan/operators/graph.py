@@ -55,27 +55,40 @@ def inbound_counts(pages: DataFrame, links: DataFrame) -> DataFrame:
     return pages.join(n, ["run", "final_key"], "left").withColumn("inbound", F.coalesce("inbound", F.lit(0)))
 
 
-def duplicates(pages: DataFrame, column: str, collect_others: bool = True) -> DataFrame:
-    """Indexable pages that share a trimmed, lower-cased value: run, url, value, n, other_urls.
-
-    Only groups of two or more are gathered. `collect_others` false leaves the
-    lists out, for values that very many pages share.
-    """
+def _shared(pages: DataFrame, column: str) -> DataFrame:
+    """Indexable pages with a value, and the class of that value: a hash of the run and the trimmed, lower-cased text."""
     d = pages.filter(F.col("is_indexable") & (F.coalesce(column, F.lit("")) != "")).withColumn("value", F.lower(F.trim(column)))
-    agg = [F.count("*").alias("n")] + ([F.array_sort(F.collect_list(F.struct("ord", "url"))).alias("all_urls")] if collect_others else [])
-    groups = d.groupBy("run", "value").agg(*agg).filter("n >= 2")
-    out = d.join(groups, ["run", "value"]).select("run", "ord", "url", "value", "n", *(["all_urls"] if collect_others else []))
-    if not collect_others:
-        return out
-    others = F.expr("transform(filter(all_urls, x -> x.url != url), x -> x.url)")
-    return out.withColumn("other_urls", others).drop("all_urls")
+    return d.withColumn("class_id", F.sha2(F.concat(F.coalesce(F.col("run").cast("string"), F.lit("")), F.lit("\n"), F.lit(column), F.lit("\n"), F.col("value")), 256))
 
 
 def duplicate_classes(pages: DataFrame, column: str) -> DataFrame:
-    """run, value, n, urls: one row for each value that several indexable pages share, with all of them in crawl order; linear in the pages."""
-    d = pages.filter(F.col("is_indexable") & (F.coalesce(column, F.lit("")) != "")).withColumn("value", F.lower(F.trim(column)))
-    groups = d.groupBy("run", "value").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("ord", "url"))).alias("u")).filter("n >= 2")
-    return groups.select("run", "value", "n", F.transform("u", lambda x: x["url"]).alias("urls"))
+    """run, class_id, value, n, first_url: one row for each value that several indexable pages share. Counts combine before they move; no list is made."""
+    groups = _shared(pages, column).groupBy("run", "class_id", "value").agg(F.count("*").alias("n"), F.min_by("url", "ord").alias("first_url"))
+    return groups.filter("n >= 2")
+
+
+def duplicate_members(pages: DataFrame, column: str) -> DataFrame:
+    """run, class_id, ord, url, value, n: the pages of every class, one row each."""
+    d = _shared(pages, column)
+    most = duplicate_classes(pages, column).select("class_id", "n")
+    return d.join(most, "class_id").select("run", "class_id", "ord", "url", "value", "n")
+
+
+def other_pages(members: DataFrame, class_id: str, url: str | None = None, after: int | None = None, size: int = 50) -> DataFrame:
+    """ord, url: a page of the list of a class's members in crawl order, after the one with order `after`, without those of `url`."""
+    d = members.filter(F.col("class_id") == class_id)
+    d = d if url is None else d.filter(F.col("url") != url)
+    d = d if after is None else d.filter(F.col("ord") > after)
+    return d.select("ord", "url").orderBy("ord").limit(size)
+
+
+def duplicates(pages: DataFrame, column: str, collect_others: bool = False) -> DataFrame:
+    """Indexable pages that share a trimmed, lower-cased value: run, ord, url, class_id, value, n, and with `collect_others` other_urls, a list as long as the class for each of its pages."""
+    d = duplicate_members(pages, column)
+    if not collect_others:
+        return d
+    lists = d.groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("ord", "url"))).alias("all_urls"))
+    return d.join(lists, "class_id").withColumn("other_urls", F.expr("transform(filter(all_urls, x -> x.url != url), x -> x.url)")).drop("all_urls")
 
 
 def coverage(pages: DataFrame, links: DataFrame, sitemap: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html, urls
+from ..lineage import cut
 from ..operators import graph, rules, samples, scoring
 
 
@@ -26,21 +27,24 @@ def links_of(pages: DataFrame) -> DataFrame:
     return pages.select("run", F.col("ord").alias("src_ord"), F.posexplode("internal_links").alias("pos", "link")).withColumn("key", urls.normalized_or_raw("link"))
 
 
-def all_issues(pages: DataFrame, sitemap: DataFrame, probes: DataFrame | None = None, others: bool = True) -> DataFrame:
+def all_issues(pages: DataFrame, sitemap: DataFrame, probes: DataFrame | None = None, others: bool = False, links: DataFrame | None = None) -> DataFrame:
     """run, page_ord, url, ord, issue_type, severity, message, value, recommendation of every stage of rules, in its order.
 
     probes: run and what rules.host_canonicalization reads; its issue goes to
-    the run's first homepage. others: whether issues of shared titles and
-    descriptions list all other pages that share them, a list as long as the
-    group for each of its pages; graph.duplicate_classes has each list once.
+    the run's first homepage. An issue of a shared title or description carries
+    the class of pages that share it (classId), so issues grow with the pages;
+    graph.duplicate_classes, duplicate_members and other_pages give the lists.
+    others: whether such an issue also lists all other pages itself, a list as
+    long as the class for each of its pages. links: links_of(pages), if stored.
     """
-    links = links_of(pages)
-    broken = graph.broken_by_page(pages, links).withColumnRenamed("src_ord", "ord")
+    links = links_of(pages) if links is None else links
+    broken = None if "broken_internal_links" in pages.columns else graph.broken_by_page(pages, links).withColumnRenamed("src_ord", "ord")
     amb = samples.ambiguous_anchors(pages, ["run", "ord"]).groupBy("run", "ord").agg(F.array_sort(F.collect_list(F.struct("rank", "text", F.size("destinations").alias("n"), "destinations"))).alias("a")).select("run", "ord", F.transform("a", lambda x: F.struct(x["text"].alias("text"), x["n"].alias("n"), x["destinations"].alias("destinations"))).alias("ambiguous"))
     rep = samples.repeated_blocks(pages.select("run", "ord", F.posexplode("blocks").alias("pos", "block")), ["run", "ord"]).groupBy("run", "ord").agg(F.count("*").cast("int").alias("repeated_blocks"), F.array_sort(F.collect_list(F.struct("rank", "text", "occurrences"))).alias("s"))
     rep = rep.select("run", "ord", "repeated_blocks", F.transform("s", lambda x: F.struct(x["text"].alias("text"), x["occurrences"].alias("occurrences"))).alias("repeated_samples"))
     none = {"broken_internal_links": F.array().cast("array<string>"), "repeated_blocks": F.lit(0), "ambiguous": F.expr(rules.PAGE["ambiguous"]), "repeated_samples": F.expr(rules.PAGE["repeated_samples"])}
-    d = pages.join(broken, ["run", "ord"], "left").join(amb, ["run", "ord"], "left").join(rep, ["run", "ord"], "left")
+    d = pages if broken is None else pages.join(broken, ["run", "ord"], "left")
+    d = d.join(amb, ["run", "ord"], "left").join(rep, ["run", "ord"], "left")
     d = d.withColumns({c: F.coalesce(c, v) for c, v in none.items()})
     key = ["run", F.col("ord").alias("page_ord"), "url"]
     own = rules.apply_page_rules(d.withColumn("page_ord", F.col("ord")), ["run", "page_ord", "url"]).withColumn("ord", F.col("rule_ord")).drop("rule_ord")
@@ -48,7 +52,8 @@ def all_issues(pages: DataFrame, sitemap: DataFrame, probes: DataFrame | None =
     dup = None
     for at, (column, field, kind, severity, head) in enumerate([("title", "title", "duplicate_title", "high", rules.text('Title "', F.col("title"), '"')), ("meta_description", "description", "duplicate_meta_description", "medium", F.lit("Meta description"))]):
         x = graph.duplicates(pages, column, collect_others=others).join(pages.select("run", "ord", "title"), ["run", "ord"])
-        value = rules.json(**{field: F.col("value"), "otherUrls": F.col("other_urls")}) if others else rules.json(**{field: F.col("value")})
+        shown = {field: F.col("value"), "classId": F.col("class_id")} | ({"otherUrls": F.col("other_urls")} if others else {})
+        value = rules.json(**shown)
         x = x.select("run", F.col("ord").alias("page_ord"), "url", F.lit(kind).alias("issue_type"), F.lit(severity).alias("severity"), rules.text(head, " is shared by ", F.col("n"), " indexable pages.").alias("message"), value.alias("value"), F.lit(1000 + at).alias("ord"))
         dup = x if dup is None else dup.unionByName(x)
     dup = dup.withColumn("recommendation", rules.recommended())
@@ -66,12 +71,18 @@ def all_issues(pages: DataFrame, sitemap: DataFrame, probes: DataFrame | None =
     return out
 
 
-def audit(fetches: DataFrame, sitemap: DataFrame, now, probes: DataFrame | None = None, others: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pages, issues, scores) of all runs. The pages are persisted: unpersist() them when the three are written."""
-    pages = analyzed(fetches, now)
-    pages = graph.page_sources(pages, links_of(pages)).withColumn("discovered", F.col("discovered") | F.col("linked")).drop("linked")
-    pages = graph.inbound_counts(pages, links_of(pages)).persist()
-    issues = all_issues(pages, sitemap, probes, others)
-    n_broken = graph.broken_by_page(pages, links_of(pages)).select("run", F.col("src_ord").alias("ord"), F.size("broken_internal_links").alias("n_broken"))
-    rated = pages.join(n_broken, ["run", "ord"], "left").fillna(0, ["n_broken"])
-    return pages, issues, scoring.scores(rated, issues)
+def audit(fetches: DataFrame, sitemap: DataFrame, now, probes: DataFrame | None = None, others: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pages, issues, scores) of all runs.
+
+    Facts, pages and issues are each computed once and stored in the shared
+    folder, since rules, graph and scores read them several times; lineage.scope
+    or lineage.clear deletes the tables when the three are written.
+    """
+    facts = cut(analyzed(fetches, now), "facts")
+    links = cut(links_of(facts), "links")
+    pages = graph.page_sources(facts, links).withColumn("discovered", F.col("discovered") | F.col("linked")).drop("linked")
+    broken = graph.broken_by_page(facts, links).withColumnRenamed("src_ord", "ord")
+    pages = graph.inbound_counts(pages, links).join(broken, ["run", "ord"], "left").withColumn("broken_internal_links", F.coalesce("broken_internal_links", F.array().cast("array<string>")))
+    pages = cut(pages, "pages")
+    issues = cut(all_issues(pages, sitemap, probes, others, links), "issues")
+    return pages, issues, scoring.scores(pages.withColumn("n_broken", F.size("broken_internal_links")), issues)

@@ -258,20 +258,26 @@ DUP = "{col} as value from {src} where is_indexable and coalesce({col}, '') <> '
 
 @query(f"with {PARTS}, d as (select ord, url, lower(trim(title)) as value from pp where is_indexable and coalesce(title, '') <> ''), g as (select value, count(*) as n from d group by value having count(*) >= 2) select ord, value, n, n - 1 as n_others from d join g using (value)")
 def duplicate_titles(spark, sf_dir):
-    d = graph.duplicates(adapters.part_pages(spark, sf_dir), "title")
+    d = graph.duplicates(adapters.part_pages(spark, sf_dir), "title", collect_others=True)
     return d.select("ord", "value", "n", F.size("other_urls").cast("bigint").alias("n_others"))
 
 
 @query(f"with {AUDIT}, d as (select page_id, run, lower(trim(title)) as value from ap where is_indexable and title is not null), g as (select run, value, count(*) as n from d group by all having count(*) >= 2) select page_id, value, n from d join g using (run, value)")
 def duplicate_titles_by_site(spark, sf_dir):
-    d = graph.duplicates(adapters.audit_pages(spark, sf_dir), "title", collect_others=False)
+    d = graph.duplicates(adapters.audit_pages(spark, sf_dir), "title")
     return d.select(F.col("ord").alias("page_id"), "value", "n")
 
 
 @query("""with p as (select doc_id, lower(trim(string_split(text, chr(10))[1])) as value from documents), g as (select value, count(*) as n from p where value <> '' group by value having count(*) >= 2) select doc_id, value, n from p join g using (value)""")
 def duplicate_descriptions(spark, sf_dir):
     d = adapters.table(spark, sf_dir, "documents").select(F.lit(1).alias("run"), F.col("doc_id").alias("ord"), F.lit("").alias("url"), F.get(F.split("text", "\n"), F.lit(0)).alias("meta_description"), F.lit(True).alias("is_indexable"))
-    return graph.duplicates(d, "meta_description", collect_others=False).select(F.col("ord").alias("doc_id"), "value", "n")
+    return graph.duplicates(d, "meta_description").select(F.col("ord").alias("doc_id"), "value", "n")
+
+
+@query(f"""with {PARTS}, d as (select ord, url, lower(trim(title)) as value from pp where is_indexable and coalesce(title, '') <> '')
+    select sha256('1' || chr(10) || 'title' || chr(10) || value) as class_id, value, count(*) as n, min_by(url, ord) as first_url from d group by value having count(*) >= 2""")
+def duplicate_classes(spark, sf_dir):
+    return graph.duplicate_classes(adapters.part_pages(spark, sf_dir), "title").drop("run")
 
 
 # --- graph ---------------------------------------------------------------------

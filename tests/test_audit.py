@@ -165,7 +165,7 @@ def test_graph(spark):
 
 def test_duplicates_leave_out_equal_urls(spark):
     d = spark.createDataFrame([(1, 1, "u", " T ", True), (1, 2, "u", "t", True), (1, 3, "v", "t", True), (1, 4, "w", "t", False), (1, 5, "x", "", True)], "run int, ord int, url string, title string, is_indexable boolean")
-    got = {r["ord"]: (r["n"], r["other_urls"]) for r in graph.duplicates(d, "title").collect()}
+    got = {r["ord"]: (r["n"], r["other_urls"]) for r in graph.duplicates(d, "title", collect_others=True).collect()}
     assert got == {1: (3, ["v"]), 2: (3, ["v"]), 3: (3, ["u", "u"])}
 
 

@@ -61,8 +61,24 @@ def test_baseline_has_no_events(spark):
 def test_shared_titles_list_the_others(spark):
     rows = [("r", k, f"u{k}", t, ok) for k, t, ok in [(1, "A", True), (2, " a", True), (3, "a", False), (4, "b", True)]]
     d = spark.createDataFrame(rows, "run string, ord int, url string, title string, is_indexable boolean")
-    assert {r["url"]: r["other_urls"] for r in graph.duplicates(d, "title").collect()} == {"u1": ["u2"], "u2": ["u1"]}
-    assert [(r["value"], r["n"], r["urls"]) for r in graph.duplicate_classes(d, "title").collect()] == [("a", 2, ["u1", "u2"])]
+    assert {r["url"]: r["other_urls"] for r in graph.duplicates(d, "title", collect_others=True).collect()} == {"u1": ["u2"], "u2": ["u1"]}
+    classes = graph.duplicate_classes(d, "title").collect()
+    assert [(r["value"], r["n"], r["first_url"]) for r in classes] == [("a", 2, "u1")]
+    members = graph.duplicate_members(d, "title")
+    assert {(r["class_id"], r["ord"]) for r in members.collect()} == {(classes[0]["class_id"], 1), (classes[0]["class_id"], 2)}
+    assert [r["url"] for r in graph.other_pages(members, classes[0]["class_id"]).collect()] == ["u1", "u2"]
+    assert [r["url"] for r in graph.other_pages(members, classes[0]["class_id"], url="u1").collect()] == ["u2"]
+    assert [r["url"] for r in graph.other_pages(members, classes[0]["class_id"], after=1).collect()] == ["u2"]
+    assert graph.other_pages(members, classes[0]["class_id"], size=1).count() == 1
+
+
+def test_issues_grow_with_the_pages_of_a_class(spark):
+    """A title that all pages share gives each of them an issue of the same size."""
+    def size(n):
+        d = spark.range(n).select(F.lit(1).alias("run"), F.col("id").alias("ord"), F.concat(F.lit("u"), F.col("id").cast("string")).alias("url"), F.lit("same").alias("title"), F.lit(True).alias("is_indexable"))
+        return graph.duplicates(d, "title").select(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0]
+
+    assert size(4000) < 4.5 * size(1000)
 
 
 def test_host_issue_goes_to_the_homepage(spark):
@@ -70,13 +86,12 @@ def test_host_issue_goes_to_the_homepage(spark):
     d = spark.createDataFrame(fetches, "run string, ord int, url string, final_url string, site_host string, status int, outcome string, redirect_count int, html string, headers map<string,string>, in_sitemap boolean, discovered boolean")
     probes = spark.createDataFrame([("r", "https://h.com", "h.com", "www.h.com", 200, None)], "run string, site_url string, preferred_host string, alternate_host string, status int, location_host string")
     sitemap = spark.createDataFrame([("r", "https://h.com/a")], "run string, key string")
-    pages, issues, scores = audit.audit(d, sitemap, F.current_timestamp(), probes)
+    pages, issues, scores = audit.audit(d, sitemap, F.current_timestamp(), probes, others=True)
     rows = issues.collect()
     assert [r["url"] for r in rows if r["issue_type"] == "host_canonicalization_issue"] == ["https://h.com/"]
     shared = [r for r in rows if r["issue_type"] == "duplicate_title"]
     assert len(shared) == 3 and shared[0]["message"] == 'Title "One title for all the pages" is shared by 3 indexable pages.' and "otherUrls" in shared[0]["value"]
     assert all(r["recommendation"] for r in rows) and scores.count() == 1
-    pages.unpersist()
 
 
 def test_budget_fills_in_first_seen_order(spark):
