@@ -2,9 +2,11 @@
 
 Pages have run (the crawl), ord (crawl order), url, url_key and final_key
 (normalized requested and final URL), status. Links have run, src_ord and key
-(normalized target), pos. Everything joins or groups by (run, key), so one
-plan serves all sites and runs; hot keys are left to adaptive skew handling,
-and aggregates combine before they move.
+(normalized target), pos, and src_key, the final key of the page they stand on,
+if it is known. Everything joins or groups by (run, key), so one plan serves all
+sites and runs. Aggregates combine before they move; joins of links or pages
+with a row for each key send the rows of the most frequent keys to every task
+(a header links to the homepage from every page), see joined_by_key.
 """
 
 from __future__ import annotations
@@ -13,6 +15,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..lineage import cut
+
+
+HOT_KEYS = 1000
+
+
+def joined_by_key(many: DataFrame, each: DataFrame, key: list[str], how: str = "inner", hot: int = HOT_KEYS) -> DataFrame:
+    """many joined with `each` (one row for a key at most), inner or left, where very many rows may share a key.
+
+    Of the keys that both have, the `hot` most frequent ones are sent to every
+    task; what then goes through the sort holds no key with more than 1 / hot of
+    the rows. `many` is read three times: for counts (combined before they move)
+    and for both halves.
+    """
+    counts = many.groupBy(*key).agg(F.count("*").alias("_n"))
+    most = cut(each.join(counts, key).orderBy(F.desc("_n"), *key).limit(hot).drop("_n"), "hot-keys")
+    names = F.broadcast(most.select(*key))
+    first = many.join(F.broadcast(most), key)
+    rest = many.join(names, key, "left_anti").join(each.join(names, key, "left_anti"), key, how)
+    return first.unionByName(rest)
+
 
 def status_by_key(pages: DataFrame) -> DataFrame:
     """run, key, status: of the last page whose final key it is, else of the first page that was asked for by it."""
@@ -23,7 +46,7 @@ def status_by_key(pages: DataFrame) -> DataFrame:
 def broken_links(pages: DataFrame, links: DataFrame) -> DataFrame:
     """Links whose target was crawled with a status of 400 or more."""
     bad = status_by_key(pages).filter("status >= 400")
-    return links.join(bad, ["run", "key"])
+    return joined_by_key(links, bad, ["run", "key"])
 
 
 def broken_by_page(pages: DataFrame, links: DataFrame) -> DataFrame:
@@ -32,10 +55,16 @@ def broken_by_page(pages: DataFrame, links: DataFrame) -> DataFrame:
     return b.select("run", "src_ord", F.transform("b", lambda x: x["link"]).alias("broken_internal_links"))
 
 
+def from_pages(pages: DataFrame, links: DataFrame) -> DataFrame:
+    """Links of known pages to others than themselves, with the final key of their page."""
+    if "src_key" not in links.columns:
+        links = links.join(pages.select("run", F.col("ord").alias("src_ord"), F.col("final_key").alias("src_key")), ["run", "src_ord"])
+    return links.filter("key != src_key")
+
+
 def link_targets(pages: DataFrame, links: DataFrame) -> DataFrame:
     """run, key: distinct targets of links from other pages than the target itself."""
-    src = pages.select("run", F.col("ord").alias("src_ord"), F.col("final_key").alias("src_key"))
-    return links.join(src, ["run", "src_ord"]).filter("key != src_key").select("run", "key").distinct()
+    return from_pages(pages, links).select("run", "key").distinct()
 
 
 def page_sources(pages: DataFrame, links: DataFrame) -> DataFrame:
@@ -43,16 +72,15 @@ def page_sources(pages: DataFrame, links: DataFrame) -> DataFrame:
     t = link_targets(pages, links)
     by_final = t.select("run", F.col("key").alias("final_key"), F.lit(True).alias("_f"))
     by_url = t.select("run", F.col("key").alias("url_key"), F.lit(True).alias("_u"))
-    d = pages.join(by_final, ["run", "final_key"], "left").join(by_url, ["run", "url_key"], "left")
+    d = joined_by_key(pages, by_final, ["run", "final_key"], "left").join(by_url, ["run", "url_key"], "left")
     return d.withColumn("linked", F.coalesce("_f", "_u", F.lit(False))).drop("_f", "_u")
 
 
 def inbound_counts(pages: DataFrame, links: DataFrame) -> DataFrame:
     """pages with inbound: how many other pages (rows) link to the final key."""
-    src = pages.select("run", F.col("ord").alias("src_ord"), F.col("final_key").alias("src_key"))
-    pairs = links.join(src, ["run", "src_ord"]).filter("key != src_key").select("run", "src_ord", "key").distinct()
+    pairs = from_pages(pages, links).select("run", "src_ord", "key").distinct()
     n = pairs.groupBy("run", F.col("key").alias("final_key")).agg(F.count("*").alias("inbound"))
-    return pages.join(n, ["run", "final_key"], "left").withColumn("inbound", F.coalesce("inbound", F.lit(0)))
+    return joined_by_key(pages, n, ["run", "final_key"], "left").withColumn("inbound", F.coalesce("inbound", F.lit(0)))
 
 
 def _shared(pages: DataFrame, column: str) -> DataFrame:
@@ -98,10 +126,11 @@ def coverage(pages: DataFrame, links: DataFrame, sitemap: DataFrame) -> DataFram
     not_indexable: discovered and not in the sitemap otherwise. orphaned: in the
     sitemap, indexable, and no other page links to its final key. sitemap: run, key.
     """
-    keys = sitemap.select("run", "key").distinct()
-    d = pages.join(keys.select("run", F.col("key").alias("final_key"), F.lit(True).alias("_f")), ["run", "final_key"], "left")
-    d = d.join(keys.select("run", F.col("key").alias("url_key"), F.lit(True).alias("_u")), ["run", "url_key"], "left")
-    d = d.join(link_targets(pages, links).select("run", F.col("key").alias("final_key"), F.lit(True).alias("_l")), ["run", "final_key"], "left")
+    listed = sitemap.select("run", "key").distinct()
+    targets = link_targets(pages, links).withColumn("_l", F.lit(True))
+    final = listed.withColumn("_f", F.lit(True)).join(targets, ["run", "key"], "full_outer").withColumnRenamed("key", "final_key")
+    d = joined_by_key(pages, final, ["run", "final_key"], "left")
+    d = d.join(listed.select("run", F.col("key").alias("url_key"), F.lit(True).alias("_u")), ["run", "url_key"], "left")
     ok = F.col("outcome") == "ok"
     lost = ok & F.col("discovered") & F.coalesce("_f", "_u", F.lit(False)).eqNullSafe(False)
     own = F.col("is_indexable") & F.coalesce(F.col("canonical_host") == F.lower("site_host"), F.lit(False))

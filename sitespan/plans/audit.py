@@ -24,7 +24,7 @@ def analyzed(fetches: DataFrame, now) -> DataFrame:
 
 
 def links_of(pages: DataFrame) -> DataFrame:
-    return pages.select("run", F.col("ord").alias("src_ord"), F.posexplode("internal_links").alias("pos", "link")).withColumn("key", urls.normalized_or_raw("link"))
+    return pages.select("run", F.col("ord").alias("src_ord"), F.col("final_key").alias("src_key"), F.posexplode("internal_links").alias("pos", "link")).withColumn("key", urls.normalized_or_raw("link"))
 
 
 def all_issues(pages: DataFrame, sitemap: DataFrame, probes: DataFrame | None = None, others: bool = False, links: DataFrame | None = None) -> DataFrame:
