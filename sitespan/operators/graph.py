@@ -155,12 +155,3 @@ def severity_tally(issues: DataFrame, *key: str) -> DataFrame:
 def state_tally(pages: DataFrame, *key: str) -> DataFrame:
     states = ("indexable", "noindex_expected", "noindex_review", "noindex_unexpected")
     return pages.groupBy(*key).agg(*(F.count_if(F.col("indexing_state") == s).alias(s) for s in states))
-
-
-def top_of(rows: DataFrame, key: list[str], order: list, n: int = 5) -> DataFrame:
-    """The first n rows of each key with their rank and how many more there are."""
-    # counts combine before they move, and the rank alone lets the plan cut each task's rows to the first n
-    counts = rows.groupBy(*key).agg(F.greatest(F.count("*") - n, F.lit(0)).alias("more"))
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    first = rows.withColumn("rank", rank).filter(F.col("rank") <= n)
-    return first.join(counts, key)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import config
+from . import topk
 
 CATEGORIES = list(config.WEIGHTS)
 
@@ -33,20 +34,16 @@ def penalties(issues: DataFrame, run: str = "run", collation: bool = True) -> Da
     """run, category, issue_type, severity (of the first occurrence), occurrences, penalty.
 
     Occurrences of a type are ranked by URL (as a reader sorts them), then order
-    of issue. All beyond the last tier weigh alike: only those up to it are
-    ranked, which cuts each task's rows before they move, and the others are
-    counted by severity. Types without a category give nothing.
+    of issue. All beyond the last tier weigh alike: the first of each type pass
+    and the others are counted by severity, in one reading of the issues. Types
+    without a category give nothing.
     """
-    rated = issues.join(F.broadcast(category_map(issues.sparkSession)), "issue_type").withColumn("p", base_penalty() * F.col("multiplier"))
+    rows = issues.select(run, "issue_type", "severity", "url", "ord")
     url = F.expr("collate(url, 'UNICODE')") if collation else F.col("url")
-    key = [run, "category", "issue_type"]
-    nth = F.row_number().over(Window.partitionBy(run, "issue_type").orderBy(url, "ord"))
-    first = rated.withColumn("nth", nth).filter(F.col("nth") <= config.TIERS[-1][0])
-    first = first.groupBy(*key, "severity").agg(F.min("nth").alias("nth"), F.count("*").alias("n_first"), F.sum(F.col("p") * occurrence_multiplier("nth")).alias("p_first"))
-    all_ = rated.groupBy(*key, "severity").agg(F.count("*").alias("n"), F.max("p").alias("p"))
-    d = all_.join(first, [*key, "severity"], "left").fillna(0, ["n_first"]).fillna(0.0, ["p_first"])
-    rest = (F.col("n") - F.col("n_first")) * F.col("p") * config.TIER_REST
-    return d.groupBy(*key).agg(F.min_by("severity", "nth").alias("severity"), F.sum("n").alias("occurrences"), F.sum(F.col("p_first") + rest).alias("penalty"))
+    d = topk.bounded(rows, [run, "issue_type"], [url, "ord"], config.TIERS[-1][0], ["severity"])
+    d = d.join(F.broadcast(category_map(issues.sparkSession)), "issue_type")
+    lost = base_penalty() * F.col("multiplier") * F.col("_n") * occurrence_multiplier("rank")
+    return d.groupBy(run, "category", "issue_type").agg(F.min_by("severity", "rank").alias("severity"), F.sum("_n").alias("occurrences"), F.sum(lost).alias("penalty"))
 
 
 def signals(pages: DataFrame, issues: DataFrame, run: str = "run") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import config
 from .functions import html, text, urls
 from .lineage import cut
-from .operators import graph, history, rules, samples, scoring
+from .operators import graph, history, rules, samples, scoring, topk
 from .plans import dashboard, views
 from .sources import adapters, discovery
 from .streaming import control
@@ -249,7 +249,7 @@ def severity_tally(spark, sf_dir):
 @query(f"""{WITH_ISSUES}, r as (select severity, page_id, issue_type, row_number() over (partition by severity order by page_id, issue_type) as rank, greatest(count(*) over (partition by severity) - 5, 0) as more from pi)
     select * from r where rank <= 5""")
 def console_top_issues(spark, sf_dir):
-    d = graph.top_of(page_issues(spark, sf_dir).select("severity", "page_id", "issue_type"), ["severity"], ["page_id", "issue_type"])
+    d = topk.top_of(page_issues(spark, sf_dir).select("severity", "page_id", "issue_type"), ["severity"], ["page_id", "issue_type"])
     return d.withColumn("rank", F.col("rank").cast("bigint"))
 
 
@@ -469,7 +469,7 @@ def diff_summary(spark, sf_dir):
 @query(f"{ISSUE_PAIR}, r as (select issue_key, event_type, {RANK} as priority, row_number() over (partition by event_type order by {RANK}, issue_key) as rank from e) select * from r where rank <= 5")
 def priority_top5(spark, sf_dir):
     d = history.compare_issues(*issue_pair(spark, sf_dir)).select("issue_key", "event_type", history.priority().alias("priority"))
-    return graph.top_of(d, ["event_type"], ["priority", "issue_key"]).drop("more").withColumn("rank", F.col("rank").cast("bigint"))
+    return topk.top_of(d, ["event_type"], ["priority", "issue_key"]).drop("more").withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(f"with {RUNS}, s as (select *, row_number() over (partition by site_id order by started_at desc, id desc) as rn from fr where status = 'success') select fr.id as run_id, case when a.id = fr.id then b.id else a.id end as baseline_id from fr left join s a on a.site_id = fr.site_id and a.rn = 1 left join s b on b.site_id = fr.site_id and b.rn = 2")
@@ -487,7 +487,7 @@ PEN = f"""{CAT}, pr as (select ap.run, pi.issue_type, pi.severity, page_id, row_
 
 
 def rated_issues(spark, sf_dir) -> DataFrame:
-    """Issues with their order; written once, since scores read them several times."""
+    """Issues with their order; written once, since scores read them for penalties and for signals."""
     return cut(page_issues(spark, sf_dir).withColumn("ord", F.col("ord") * 100 + F.col("rule_ord")).select("run", "ord", "url", "issue_type", "severity"))
 
 
