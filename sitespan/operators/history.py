@@ -77,6 +77,20 @@ def exploded(joined: DataFrame, key: list[str], events: Column) -> DataFrame:
     return joined.select(*key, F.explode(F.filter(events, lambda e: e.isNotNull())).alias("e")).select(*key, "e.*")
 
 
+def page_digests(pages: DataFrame, fields: list[str], key: str = "pair") -> DataFrame:
+    """key, url_key, digest: one row a page, the last by order, with 128 bits over all compared fields. Equal rows have equal digests."""
+    d = last_of(pages.select(key, "url_key", "ord", *fields), [key, "url_key"], "ord")
+    shown = F.to_json(F.struct(*(F.col(f) for f in fields)), {"ignoreNullFields": "false"})
+    return d.select(key, "url_key", F.md5(shown).alias("digest"))
+
+
+def unlike(current: DataFrame, previous: DataFrame, key: str = "pair") -> DataFrame:
+    """key, url_key of the pages whose digests differ or that one side lacks: what a comparison has to read in full."""
+    both = current.withColumn("_now", F.lit(1)).unionByName(previous.withColumn("_now", F.lit(0)))
+    d = both.groupBy(key, "url_key").agg(F.count("*").alias("n"), F.min("digest").alias("a"), F.max("digest").alias("b"))
+    return d.filter("n <> 2 or a <> b").select(key, "url_key")
+
+
 def compare_issues(current: DataFrame, previous: DataFrame, key: str = "pair") -> DataFrame:
     """Events of two issue tables (pair, issue_key, url, severity, ord): new, ongoing (and severity changed), resolved. The last row of a key counts."""
     c, p = (last_of(x.select(key, "issue_key", "url", "severity", "ord"), [key, "issue_key"], "ord") for x in (current, previous))
@@ -105,9 +119,27 @@ FIELDS = [
 STORED = {"status": "status_code", "in_sitemap": "source_sitemap", "discovered": "source_discovered", "inbound": "internal_inbound_link_count", "structured_types": "structured_data"}
 
 
+def compare_changed_pages(current: DataFrame, previous: DataFrame, key: str = "pair", digests: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """compare_pages for tables that are stored: digests are compared first, and only pages that differ go through the wide join.
+
+    digests: page_digests of both tables over compared_fields, if they were
+    stored with them; else they are taken here, in one more reading of the
+    compared columns. Titles, addresses and lists of unchanged pages do not move.
+    """
+    fields = compared_fields(current, previous)
+    now, before = digests or (page_digests(current, fields, key), page_digests(previous, fields, key))
+    todo = unlike(now, before, key)
+    at = [key, "url_key"]
+    return compare_pages(current.join(todo, at, "left_semi"), previous.join(todo, at, "left_semi"), key)
+
+
+def compared_fields(current: DataFrame, previous: DataFrame) -> list[str]:
+    return [f for f, _, _ in FIELDS if f in current.columns and f in previous.columns]
+
+
 def compare_pages(current: DataFrame, previous: DataFrame, key: str = "pair") -> DataFrame:
     """Events of two page tables with pair, url_key, url, ord and any of the columns of FIELDS. The last row of a key counts."""
-    have = [f for f in FIELDS if f[0] in current.columns and f[0] in previous.columns]
+    have = [f for f in FIELDS if f[0] in compared_fields(current, previous)]
     cols = [key, "url_key", "url", "ord", *(f for f, _, _ in have)]
     c, p = (last_of(x.select(*cols), [key, "url_key"], "ord").withColumn("here", F.lit(True)) for x in (current, previous))
     j = c.alias("c").join(p.alias("p"), (F.col(f"c.{key}") == F.col(f"p.{key}")) & (F.col("c.url_key") == F.col("p.url_key")), "full")

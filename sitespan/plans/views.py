@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.urls import issue_key, normalized_or_raw
+from ..functions.urls import issue_key
 
 
 def latest_runs(runs: DataFrame, only_success: bool = False) -> DataFrame:
@@ -47,11 +47,6 @@ def latest_scores(scores: DataFrame, runs: DataFrame) -> DataFrame:
     return scores.join(latest_runs(runs, True).select(F.col("id").alias("run_id")), "run_id", "left_semi")
 
 
-def page_snapshots(pages: DataFrame) -> DataFrame:
-    """Crawled pages in the shape that is stored."""
-    return pages.withColumn("normalized_url", normalized_or_raw("url"))
-
-
 def issue_snapshots(issues: DataFrame, pages: DataFrame) -> DataFrame:
     """Issues with their key and the snapshot of the page with the very same url."""
     ids = pages.groupBy("run_id", "url").agg(F.max("id").alias("page_snapshot_id"))
@@ -77,7 +72,3 @@ def latest_state(events: DataFrame) -> DataFrame:
 def write_report(report: DataFrame, path: str) -> None:
     """A report as JSON."""
     report.write.mode("overwrite").json(path)
-
-
-def append_snapshots(rows: DataFrame, path: str, by: list[str]) -> None:
-    rows.write.mode("append").partitionBy(*by).parquet(path)

@@ -13,7 +13,7 @@ from . import config
 from .functions import html, text, urls
 from .lineage import cut
 from .operators import graph, history, rules, samples, scoring, topk
-from .plans import dashboard, views
+from .plans import dashboard, snapshots as stored, views
 from .sources import adapters, discovery
 from .streaming import control
 
@@ -434,7 +434,9 @@ PAIRED = f"""{DIFF} union all select j.url, 'field_changed', 'h1_count' from j j
 
 
 def page_events(spark, sf_dir) -> DataFrame:
-    return history.compare_pages(*adapters.crawl_pair(spark, sf_dir))
+    """Both crawls come from one table of facts, which is stored once; digests leave unchanged pages out of the comparison."""
+    current, previous = adapters.crawl_pair(spark, sf_dir, stored=True)
+    return history.compare_changed_pages(current, previous)
 
 
 @query(PAIRED)
@@ -444,7 +446,7 @@ def diff_pages(spark, sf_dir):
 
 def issue_pair(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Issues of the audit pages as two crawls: some pages are in one only, and every thirteenth issue was more severe."""
-    i = page_issues(spark, sf_dir).select(F.lit(1).alias("pair"), urls.issue_key("url", "issue_type").alias("issue_key"), "url", "severity", (F.col("ord") * 100 + F.col("rule_ord")).alias("ord"), F.col("ord").alias("page"))
+    i = cut(page_issues(spark, sf_dir).select("url", "issue_type", "severity", "ord", "rule_ord")).select(F.lit(1).alias("pair"), urls.issue_key("url", "issue_type").alias("issue_key"), "url", "severity", (F.col("ord") * 100 + F.col("rule_ord")).alias("ord"), F.col("ord").alias("page"))
     previous = i.filter("page % 10 <> 0").withColumn("severity", F.when(F.col("page") % 13 == 1, "critical").otherwise(F.col("severity")))
     return i.filter("page % 10 <> 1"), previous
 
@@ -557,6 +559,17 @@ def score_backfill_delta(spark, sf_dir):
     return scoring.with_delta(snapshots(spark, sf_dir)).select("run_id", "overall_score", "score_delta")
 
 
+@query(f"{WITH_ISSUES}, {SCORE} select run as crawl_run_id, overall_score, round(s_onPage + 0.5 - (s_onPage + 0.5) % 1)::integer as on_page_score, cap_applied as safety_cap_applied, overall_score - lag(overall_score) over (order by run) as score_delta from sc")
+def score_backfill(spark, sf_dir):
+    """Every host of the pages as a run of one site: snapshots are written, read back and scored."""
+    pages = rated_pages(spark, sf_dir)
+    runs = cut(pages.select(F.col("run").alias("id")).distinct().select("id", F.lit(1).alias("site_id"), F.lit("success").alias("status"), F.lit(0).alias("started_at")))
+    p = cut(stored.page_rows(pages, runs), "page-snapshots")
+    i = cut(stored.issue_rows(rated_issues(spark, sf_dir), p), "issue-snapshots")
+    none = spark.createDataFrame([], "crawl_run_id string, overall_score int")
+    return stored.backfilled(runs, p, i, none).select("crawl_run_id", "overall_score", "on_page_score", "safety_cap_applied", "score_delta")
+
+
 @query(f"with {RUNS}, {SNAP} select id from fr where status = 'success' and id not in (select run_id from sn where run_id % 2 = 0)")
 def score_backfill_todo(spark, sf_dir):
     return scoring.backfill(adapters.runs(spark, sf_dir), snapshots(spark, sf_dir).filter("run_id % 2 = 0")).select("id")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html, text, urls
+from ..lineage import cut
 
 SHOP = "https://shop.example.com/"
 
@@ -147,13 +148,14 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def crawl_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def crawl_pair(spark: SparkSession, sf_dir: str, stored: bool = False) -> tuple[DataFrame, DataFrame]:
     """(current, previous): the audit pages as two crawls that differ by fixed formulas."""
     p = audit_pages(spark, sf_dir)
     k = lambda n: F.col("ord") % n
     state = F.when((F.col("outcome") == "ok") & F.col("noindex") & F.col("in_sitemap"), "noindex_unexpected").when((F.col("outcome") == "ok") & F.col("noindex"), "noindex_expected").otherwise("indexable")
     cols = ["pair", "url_key", "url", "ord", "status", "final_url", "title", "h1_count", "word_count", "noindex", "is_indexable", "indexing_state", "page_type", "in_sitemap", "discovered", "html_size_bytes", "response_time_ms"]
-    base = p.withColumns({"pair": F.lit(1), "url_key": urls.normalize("url"), "indexing_state": state})
+    base = p.withColumns({"pair": F.lit(1), "url_key": urls.normalize("url"), "indexing_state": state}).select(*cols)
+    base = cut(base, "crawl") if stored else base
     current = base.filter(k(10) != 1).select(*cols)
     previous = base.filter(k(10) != 0).withColumns({
         "title": F.when(k(7) == 0, F.concat(F.coalesce("title", F.lit("")), F.lit(" old"))).otherwise(F.col("title")), "word_count": F.when(k(5) == 0, F.col("word_count") * 2).otherwise(F.col("word_count")),
