@@ -128,12 +128,26 @@ def pages_with_issue_counts(pages: DataFrame, issues: DataFrame, key: list[str])
     return pages.join(n, key, "left").withColumn("issue_count", F.coalesce("issue_count", F.lit(0)))
 
 
-def page_detail(pages: DataFrame, issues: DataFrame, changes: DataFrame, url: str) -> DataFrame:
-    """A page with the numbers of its current issues and changes, and what the page view derives."""
-    i = issues.filter(F.col("url") == url).groupBy("url").agg(F.count("*").alias("issue_count"))
-    c = changes.filter(F.col("url") == url).groupBy("url").agg(F.count("*").alias("change_count"))
-    d = pages.filter(F.col("url") == url).join(i, "url", "left").join(c, "url", "left")
-    return d.fillna(0, ["issue_count", "change_count"])
+def crawl_events(changes: DataFrame, run) -> DataFrame:
+    """The change events of one run, as its detail view lists them."""
+    return changes.filter(F.col("run_id") == run)
+
+
+def page_detail(pages: DataFrame, issues: DataFrame, changes: DataFrame, runs: DataFrame, url: str | None = None, n: int = RECENT) -> DataFrame:
+    """Latest pages (site_id, run_id, url, ...) with their current issues, newest n changes and the run's preferred host: of one url, or of all.
+
+    Issues come by type, as many as a page has; changes come newest first and
+    are cut to n in each task before they move. Pages without any have empty lists.
+    """
+    at = ["site_id", "url"]
+    if url is not None:
+        pages, issues, changes = (d.filter(F.col("url") == url) for d in (pages, issues, changes))
+    i = issues.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("issue_type", "severity", "issue_key"))).alias("issues"))
+    c = newest(changes, at, n=n).groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("rank", "id", "event_type", "created_at"))).alias("changes"))
+    host = runs.select(F.col("id").alias("run_id"), "preferred_host")
+    d = pages.join(i, at, "left").join(c, at, "left").join(host, "run_id", "left")
+    none = lambda name, kind: F.coalesce(name, F.array().cast(kind.schema[name].dataType))
+    return d.withColumns({"issues": none("issues", i), "changes": none("changes", c)})
 
 
 # --- what the pages of the dashboard do with rows already fetched ------------

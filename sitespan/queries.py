@@ -733,3 +733,25 @@ def stale_runs(spark, sf_dir):
 @query(f"with {FI} select issue_key, split_part(issue_key, '::', 2) as issue_type, count(*) as n from fi group by all")
 def resolved_issue_types(spark, sf_dir):
     return adapters.issues(spark, sf_dir).select("issue_key", dashboard.type_of_key().alias("issue_type")).groupBy("issue_key", "issue_type").agg(F.count("*").alias("n"))
+
+
+@query(f"""with {RUNS}, {LATEST}, {FI}, {FC}, cu as (select fi.* from fi join lr on lr.id = fi.run_id), pg as (select distinct site_id, url, run_id from cu),
+    ch as (select id, site_id, replace(url, '/u', 'https://shop.example.com/') as url, event_type, row_number() over (partition by site_id, url order by created_at desc, id desc) as rank from fc)
+    select site_id, url, run_id, 'h' || (run_id % 7) as preferred_host, (select count(*) from cu where cu.site_id = pg.site_id and cu.url = pg.url) as n_issues,
+      (select min(issue_type) from cu where cu.site_id = pg.site_id and cu.url = pg.url) as first_issue, (select count(*) from ch where ch.site_id = pg.site_id and ch.url = pg.url and rank <= 3) as n_changes,
+      (select id from ch where ch.site_id = pg.site_id and ch.url = pg.url and rank = 1) as newest_change from pg""")
+def page_details(spark, sf_dir):
+    """Every page of the latest runs with its issues, newest changes and host."""
+    runs = adapters.runs(spark, sf_dir)
+    current = views.current_issues(adapters.issues(spark, sf_dir), runs)
+    pages = current.select("site_id", "url", "run_id").distinct()
+    changes = adapters.changes(spark, sf_dir).withColumn("url", F.replace("url", F.lit("/u"), F.lit(adapters.SHOP)))
+    d = dashboard.page_detail(pages, current, changes, runs.withColumn("preferred_host", F.concat(F.lit("h"), (F.col("id") % 7).cast("string"))), n=3)
+    first = lambda c, f: F.get(F.col(c), F.lit(0))[f]
+    return d.select("site_id", "url", "run_id", "preferred_host", F.size("issues").cast("bigint").alias("n_issues"), first("issues", "issue_type").alias("first_issue"), F.size("changes").cast("bigint").alias("n_changes"), first("changes", "id").alias("newest_change"))
+
+
+@query(f"with {FC}, m as (select max(run_id) as run_id from fc) select id, run_id, event_type, severity, url from fc join m using (run_id)")
+def crawl_detail_events(spark, sf_dir):
+    c = adapters.changes(spark, sf_dir)
+    return dashboard.crawl_events(c, c.agg(F.max("run_id")).first()[0]).select("id", "run_id", "event_type", "severity", "url")
