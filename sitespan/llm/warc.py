@@ -35,6 +35,7 @@ from .common import claim, new_path, stored
 
 MAGIC = b"\x1f\x8b\x08"
 STEP = 1 << 20
+HOT = 1000  # payloads whose copies are told from a table that every task gets
 MOST_TASKS = 1 << 16  # reading tasks; of more ranges a task takes several
 URN = "urn:sitespan:page:"
 DATE = datetime(2024, 1, 1, tzinfo=timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
@@ -79,10 +80,18 @@ def write_warc(
         df[id_col].cast("long").alias("id"), df[url_col].cast("string").alias("url"),
         F.coalesce(df[payload_col].cast("string"), F.lit("")).cast("binary").alias("payload"),
     ).withColumn("sha", F.unhex(F.sha1("payload"))).withColumn("size", F.length("payload"))
-    # one row for each payload that occurs twice or more; copies are counted before they are moved
-    top = p.filter((F.col("size") >= revisit_from) & F.col("id").isNotNull()).groupBy("sha", "size").agg(F.max("id").alias("top"), F.count("*").alias("n")).filter("n > 1")
-    joined = p.join(top.select(F.col("sha").alias("k"), F.col("size").alias("ks"), "top"), (F.col("sha") == F.col("k")) & (F.col("size") == F.col("ks")), "left")
-    ref = F.when(F.col("id") < F.col("top"), F.col("top"))
+    # one thin row for each payload that occurs twice or more; copies are counted before they are moved
+    top = stored(p.filter((F.col("size") >= revisit_from) & F.col("id").isNotNull()).groupBy("sha", "size").agg(F.max("id").alias("top"), F.count("*").alias("n")).filter("n > 1"), "warc-copies")
+    # the most frequent payloads are known to every task, whose copies lose their payload before anything moves;
+    # of the others none has more than 1 / HOT of the rows, and they are streamed past thin rows instead of being sorted
+    hot = top.orderBy(F.desc("n"), "sha", "size").limit(HOT).select(F.col("sha").alias("k"), F.col("size").alias("ks"), F.col("top").alias("hot"))
+    p = p.join(F.broadcast(hot), (F.col("sha") == F.col("k")) & (F.col("size") == F.col("ks")), "left").drop("k", "ks")
+    p = p.withColumn("payload", F.when(F.coalesce(F.col("id") < F.col("hot"), F.lit(False)), F.lit(None)).otherwise(F.col("payload")))
+    p = p.withColumn("key", F.when(F.col("hot").isNull(), F.col("sha")).otherwise(F.unhex(F.sha1(F.concat(F.lit("hot "), F.col("id").cast("string"))))))
+    rest = top.select(F.col("sha").alias("k"), F.col("size").alias("ks"), "top").hint("shuffle_hash")
+    joined = p.join(rest, (F.col("key") == F.col("k")) & (F.col("size") == F.col("ks")), "left")
+    known = F.coalesce("hot", "top")
+    ref = F.when(F.col("id") < known, known)
     rows = joined.select("id", "url", F.when(ref.isNull(), F.col("payload")).alias("payload"), "sha", "size", ref.alias("refers_to"))
     shape = pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("records", pa.int64())])
 
