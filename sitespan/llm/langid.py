@@ -24,6 +24,7 @@ from .common import claim, row_mapper
 BITS = 18
 NGRAMS = (1, 2, 3)
 L1, L2 = 0.1, 1e-4
+MOST_WEIGHTS = 1 << 25  # numbers of the model on the driver, three of four bytes for each while it is trained
 _PRIMES = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 _MIX = np.uint32(0x27D4EB2F)
 
@@ -75,10 +76,14 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text[:64])) or any(map(str.isalpha, text))
 
 
-def fit(rows: list[tuple[str, str]], frequency: np.ndarray | None = None, n_docs: int = 0, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = L1, l2: float = L2, seed: int = 7) -> Model:
+def fit(rows: list[tuple[str, str]], frequency: np.ndarray | None = None, n_docs: int = 0, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = L1, l2: float = L2, seed: int = 7, most_weights: int = MOST_WEIGHTS) -> Model:
     """FTRL-proximal over (text, language) rows; every fifth is kept apart for the temperature.
 
-    frequency: in how many of n_docs documents each place occurs (None: in the rows themselves).
+    frequency: in how many of n_docs documents each place occurs (None: in the
+    rows themselves). Only places of the rows get weights. There are at most
+    `most_weights` of them: with so many languages that the sample's places do
+    not all fit, those that most of its rows hold are taken, and the temperature
+    is fitted on as many rows as fit. All languages are learned.
     """
     rng = np.random.default_rng(seed)
     languages = sorted({lang for _, lang in rows})
@@ -87,23 +92,36 @@ def fit(rows: list[tuple[str, str]], frequency: np.ndarray | None = None, n_docs
     feats = []
     for text, lang in rows:
         p, n = np.unique(places(text), return_counts=True)
-        feats.append((p, n / n.sum(), number[lang]))
+        feats.append((p.astype(np.int32), (n / n.sum()).astype(np.float32), number[lang]))
+    occurs = np.zeros(size, np.int64)  # in how many rows of the sample each place is
+    for p, _, _ in feats:
+        occurs[p] += 1
     if frequency is None:
-        frequency, n_docs = np.bincount(np.concatenate([p for p, _, _ in feats]), minlength=size), len(rows)
+        frequency, n_docs = occurs, len(rows)
     idf = np.log((1 + n_docs) / (1 + frequency)) + 1
-    # the last place is the start value's, which is in every document
-    z, sq = np.zeros((size + 1, n_lang)), np.zeros((size + 1, n_lang))
+    # rows of weights: row 0 for places without any, then the places of the sample, and last the start value, which is in every document
+    most = max(1, most_weights // max(n_lang, 1))
+    used = np.flatnonzero(occurs)
+    if len(used) > most:
+        used = np.sort(used[np.lexsort((used, -occurs[used]))[:most]])
+    row = np.zeros(size, np.int32)
+    row[used] = np.arange(1, len(used) + 1)
+    start = len(used) + 1
+    z, sq = np.zeros((start + 1, n_lang), np.float32), np.zeros((start + 1, n_lang), np.float32)
 
     def weights(z: np.ndarray, sq: np.ndarray) -> np.ndarray:
-        return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(sq)) / alpha + l2))
+        return np.where(np.abs(z) <= l1, np.float32(0), -(z - np.sign(z) * np.float32(l1)) / ((np.float32(beta) + np.sqrt(sq)) / np.float32(alpha) + np.float32(l2)))
 
     kept_apart = [f for k, f in enumerate(feats) if k % 5 == 4]
     train = [f for k, f in enumerate(feats) if k % 5 != 4] or feats
     for _ in range(epochs if n_lang > 1 else 0):
         for k in rng.permutation(len(train)):
             p, tf, y = train[k]
-            p, x = np.append(p, size), np.append(tf * idf[p] * SCALE, 1.0)
-            zp, sp = z[p], sq[p]
+            r = row[p]
+            has = r > 0
+            p, tf, r = p[has], tf[has], np.append(r[has], start)
+            x = np.append(tf * idf[p] * SCALE, 1.0)
+            zp, sp = z[r], sq[r]
             wp = weights(zp, sp)
             s = x @ wp
             e = np.exp(s - s.max())
@@ -111,16 +129,24 @@ def fit(rows: list[tuple[str, str]], frequency: np.ndarray | None = None, n_docs
             e[y] -= 1.0
             g = x[:, None] * e
             g2 = sp + g * g
-            z[p] = zp + g - (np.sqrt(g2) - np.sqrt(sp)) / alpha * wp
-            sq[p] = g2
-    w = weights(z, sq)
-    bias, w = w[size], w[:size] * idf[:, None]
-    seen = sq[:size].any(axis=1)
-    used = np.flatnonzero(w.any(axis=1))
-    row = np.zeros(size, np.int32)
-    row[used] = np.arange(1, len(used) + 1)
-    kept = np.concatenate([np.zeros((1, n_lang)), w[used]]).astype(np.float32)
-    model = Model(languages, row, kept, bias.astype(np.float32), 1.0, float((w[seen] == 0).mean()) if seen.any() else 0.0)
+            z[r] = zp + g - (np.sqrt(g2) - np.sqrt(sp)) / alpha * wp
+            sq[r] = g2
+    seen = sq[:start].any(axis=1)
+    none, n_seen = 0, 0
+    for at in range(0, start + 1, 4096):  # in place: z becomes the weights
+        z[at : at + 4096] = weights(z[at : at + 4096], sq[at : at + 4096])
+        here = seen[at : at + 4096]
+        part = z[at : min(at + 4096, start)][here[: max(0, start - at)]]
+        none, n_seen = none + int((part == 0).sum()), n_seen + part.size
+    del sq
+    bias = z[start].astype(np.float64)
+    z[1:start] *= idf[used, None].astype(np.float32)
+    some = z[:start].any(axis=1)
+    some[0] = True
+    row = (np.cumsum(some) - 1).astype(np.int32)[np.where(some[row], row, 0)]
+    model = Model(languages, row, z[:start][some], bias.astype(np.float32), 1.0, none / n_seen if n_seen else 0.0)
+    del z
+    kept_apart = kept_apart[: max(1, most_weights // max(n_lang, 1))]
     if n_lang > 1 and kept_apart:
         logits = np.array([tf @ model.weights[row[p]] * SCALE + bias for p, tf, _ in kept_apart])
         # where all are told right, the count of documents bounds how sure one may be
@@ -162,7 +188,7 @@ def frequencies(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def train(df: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang", per_language: int = 800, most_bytes: int = 128 << 20) -> Model:
+def train(df: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang", per_language: int = 800, most_bytes: int = 16 << 20) -> Model:
     """Fit on rows where `usable` holds and text and language are there.
 
     Rows are chosen by a hash of the text against their language's share, so
@@ -177,11 +203,11 @@ def train(df: DataFrame, usable: Column, text_col: str = "text", lang_col: str =
     if not counts:
         return Model([], np.zeros(1 << BITS, np.int32), np.zeros((1, 0), np.float32), np.zeros(0, np.float32), 1.0)
     each = most_bytes / len(counts)
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["n"], each / max(1, r["size"])))))
+    share = df.sparkSession.createDataFrame([(r["lang"], min(1.0, per_language / r["n"], each / max(1, r["size"]))) for r in counts], "lang string, share double")
     spread = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = rows.filter(spread < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
+    picked = rows.join(F.broadcast(share), "lang").filter(spread < F.col("share"))  # a row for each label, which the model holds anyway
     # copies of a text teach nothing new; one row of each text and language is enough
-    sample = sorted(tuple(r) for r in picked.distinct().select("lang", "text").collect())
+    sample = sorted(tuple(r) for r in picked.select("lang", "text").distinct().collect())
     order = np.random.default_rng(3).permutation(len(sample))
     return fit([(sample[k][1], sample[k][0]) for k in order], frequencies(rows.select("text")), sum(r["n"] for r in counts))
 
