@@ -78,7 +78,11 @@ def bpe_decode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_i
 
 
 def bpe_digests(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encoding, then decoding of those ids, reduced to digests in the same task so that no ids are moved."""
+    """Encoding, then decoding of those ids, reduced to digests in the same task so that no ids are moved.
+
+    Null texts are empty ones. Rows that repeat all stay, null ids stay; an
+    empty table gives none; other columns, whatever their names, are not looked at.
+    """
 
     def make():
         enc = encoding(rank_file, pattern)

@@ -473,7 +473,8 @@ def scored(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     (count + 1) / (tokens + words + 1), score the model's log10 probability of
     the text. Null and empty texts are the end mark alone. Rows that repeat
     count as often as they stand and get equal scores, whatever their ids.
-    Without training rows every token is unknown. An empty table gives none.
+    Without training rows every token is unknown. An empty table gives none;
+    other columns, whatever their names, are not looked at (`train` may name them).
     """
     spark = df.sparkSession
     d = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))

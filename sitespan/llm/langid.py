@@ -231,7 +231,7 @@ def predicted(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def kept(df: DataFrame, model: Model, text_col: str = "text", least_score: float = 0.5) -> DataFrame:
-    """The rows with a language predicted with a score of `least_score` or more, with all their columns as they were; not those with null texts or such without a letter."""
+    """The rows with a language predicted with a score of `least_score` or more, with all their columns as they were; not those with null texts or such without a letter. Rows that repeat are decided alike; an empty table gives none."""
     sent = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text_col)
 

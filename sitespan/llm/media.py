@@ -122,6 +122,7 @@ def features(media: DataFrame) -> DataFrame:
 
     Columns: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
     media_bytes, media_sha256, n_pairs, times and hashes (time-coded arrays).
+    A null or empty text is a recording of spaces alone. No rows: none.
     """
     fields = [
         pa.field("doc_id", pa.int64()), pa.field("n_bytes", pa.int64()), pa.field("payload_bytes", pa.int64()), pa.field("payload_sha256", pa.string()),

@@ -435,7 +435,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Texts without words have no shingles and are linked with nothing. Rows with
     the same words are in one component. An id that stands for several texts is
     one node, linked with what any of them is linked with; a null id is linked
-    with nothing, its component_id is null and it is kept.
+    with nothing, its component_id is null and it is kept. An empty table gives
+    none; other columns, whatever their names, are not looked at.
     """
     spark = df.sparkSession
     d = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))

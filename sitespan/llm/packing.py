@@ -161,7 +161,8 @@ def pack(df: DataFrame, tokenizer_file: str, size: int = 4096, end_id: int = 1,
     A document is its text's ids and `end_id` (null or empty text: that alone).
     Only a document of more than `size` ids is cut, into pieces of `size`; a
     full piece is a sequence by itself. Ids may be null or repeat: rows are
-    placed one by one.
+    placed one by one. An empty table gives none; other columns, whatever their
+    names, are not looked at.
     """
     fields = [
         pa.field("doc_id", pa.int64()), pa.field("piece", pa.int32()), pa.field("start", pa.int64()), pa.field("length", pa.int64()),

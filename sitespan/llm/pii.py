@@ -336,7 +336,7 @@ def masked(df: DataFrame, text_col: str = "text") -> DataFrame:
     rows that repeat all stay, and an empty table gives none.
     """
     model = learned(stored(found(df.select(F.col(text_col).alias("text"))).select("_candidates"), "pii-candidates"))
-    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+    row = F.struct(*(df[f"`{c.replace('`', '``')}`"] for c in df.columns)).alias("row")
     f = found(df.select(row, F.col(text_col).cast("string").alias("text")))
     # of spans that begin together the longest comes first
     spans = F.transform(all_spans(model), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["end"].alias("end"), s["kind"].alias("kind")))

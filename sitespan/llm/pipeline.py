@@ -16,12 +16,12 @@ from .queries import tokenizer_file
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose texts pass the repetition rules; null and empty texts do not. Each row is judged by itself."""
+    """Documents whose texts pass the repetition rules; null and empty texts do not. Each row is judged by itself; an empty table gives none, and other columns pass through."""
     return repetition.filtered(docs, "text")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model knows and is at least half sure of; texts without a letter go. Each row is judged by itself."""
+    """Documents in a language that the model knows and is at least half sure of; texts without a letter go. Each row is judged by itself; an empty table gives none, and other columns pass through."""
     return langid.kept(docs, langid.train(docs, ~held_out("doc_id", 5, 0)), "text", 0.5)
 
 

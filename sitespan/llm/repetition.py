@@ -148,7 +148,8 @@ def repetition_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, dup_line_share and dup_<n>_share for
     each n-gram length. Null and empty texts have no words, so they fail the
-    base rule. Equal texts get equal verdicts; repeated rows stay.
+    base rule. Equal texts get equal verdicts; repeated rows stay. An empty
+    table gives none; other columns, whatever their names, are not looked at.
     """
     rules = rules or Rules()
     names = ["dup_line_share", *(f"dup_{k}_share" for k in rules.covered)]

@@ -283,7 +283,12 @@ def read_warc(files: DataFrame, split_bytes: int = 8 << 20, with_payload: bool =
 
 
 def warc_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_from: int = 0) -> DataFrame:
-    """Rows written as archives in the shared folder and read back: page_id, payload_bytes, payload_digest, record_type, refers_to, url."""
+    """Rows written as archives in the shared folder and read back: page_id, payload_bytes, payload_digest, record_type, refers_to, url.
+
+    Null payloads are empty ones. Rows with a null id are responses; rows that
+    repeat all stay, see write_warc. An empty table gives none; other columns,
+    whatever their names, are not looked at.
+    """
     spark: SparkSession = df.sparkSession
     files = write_warc(df, new_path(spark, "warc"), id_col, url_col, payload_col, revisit_from)
     r = read_warc(files, with_payload=False)

@@ -430,3 +430,11 @@ def test_signature_estimates_similarity():
     true = 780 / (len(a) + len(b) - 780)
     assert abs((neardup.signature(a) == neardup.signature(b)).mean() - true) < 0.12
     assert hashlib.sha256(neardup.signature(a).tobytes()).hexdigest() == hashlib.sha256(neardup.signature(a[::-1].copy()).tobytes()).hexdigest()
+
+
+def test_masking_keeps_columns_of_any_name(spark):
+    rows = [("mail a.b@c.example.com now", "x", 1, "y"), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "text string, `odd``name` string, `with.dot` int, row string")
+    got = pii.masked(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([("mail [EMAIL] now", "x", 1, "y"), (None, None, None, None)], key=repr)
