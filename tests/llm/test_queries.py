@@ -33,6 +33,9 @@ def tables(spark, tmp_path_factory):
     rng = random.Random(1)
     pages = [(i, f"http://h/{i}", rng.choice([None, "", "<p>same</p>", f"<p>é {i}</p>" * rng.randint(1, 400)])) for i in range(80)]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{top}/pages.parquet")
+    vectors = [(i, [rng.choice([-1, 0, 1]) / 4 if i % 3 else rng.gauss(0, 0.2) for _ in range(64)], rng.choice([None, 1, 2])) for i in range(90)]
+    vectors += [(100, None, 1), (101, vectors[0][1][:63] + [None], 1), (102, vectors[0][1][:63] + [float("nan")], 2), (103, [float("inf")] * 64, 2)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{top}/embeddings.parquet")
     return top
 
 
@@ -149,7 +152,7 @@ def test_near_duplicates(spark, tables):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql_twins(spark, tables, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"create view {t} as select * from '{tables}/{t}.parquet/*.parquet'")
     df = queries.QUERIES[name](spark, tables)
     want = con.execute(queries.ORACLE_SQL[name])
