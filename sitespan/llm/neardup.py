@@ -5,13 +5,16 @@ words are one class, found by a digest and stood for by the smallest id; the
 rest runs over classes.
 
 * Signatures: VALUES minima of permutations of the shingles' hashes. Each of
-  TREES trees orders the classes by its own sequence of signature values;
-  classes with a common prefix of LEAST or more values in some tree are
-  neighbours there.
-* Depth adapts. Classes that share a prefix form a region. A region of up to
-  REGION classes gives all its pairs. A larger one is divided by the next
-  depths until its parts are small; of the deepest large region it is in, a
-  class pairs with the smallest id only. So no large group is expanded.
+  TREES trees is a sorted order of all classes by its own sequence of signature
+  values. The orders are one table, sorted over range partitions; a class's
+  neighbours there are those with the longest common prefixes.
+* Depth adapts. Classes whose common prefix has LEAST or more values form a
+  region, which is a run of the order. A run of up to REGION classes gives all
+  its pairs. A larger one is looked at by deeper prefixes until its runs are
+  small; within all of it each class pairs with the next in the order, too.
+  So no large group is expanded, and no key gathers a region in one task.
+* Runs that reach a partition's ends go on in the next one: up to REGION
+  classes of each end are sorted once more and looked at together.
 * Pairs pass a check on whole signatures (an estimate far below the limit
   drops out); those that stay are confirmed on full shingle sets. Of a class's
   pairs the likeliest is confirmed first; pairs within one component then need
@@ -39,12 +42,13 @@ from .hashing import mixed, word_hashes
 
 WORDS = 5
 VALUES, TREES, LEAST = 160, 64, 6
-STAR_TREES = 6  # trees whose large regions give pairs in the first round
-DEPTHS = (LEAST, 8, 10, 13, 16)
+CHAIN_TREES = 6  # trees whose large regions give pairs in the first round
+DEPTHS = (LEAST, 8, 10, 12, 15)
+ORDERED = 1 << 18  # rows of the sorted orders in a range partition, about
 REGION = 24
 LIMIT = 0.75
 BLOCK, BLOCK_SHINGLES = 512, 1 << 18  # a block of classes that is compared with another in one task: about so many, and so many shingles
-SALTS = 16  # parts over which the copies of a text are dealt while they find their class
+SALTS = 16  # parts over which the copies of a text are dealt while they find their class, and the classes of a region
 # A signature shows a true similarity of LIMIT with a standard deviation of sqrt(.75 * .25 / 160) = 0.034; six of them lie between.
 CHECK = 0.54
 _ODD = (np.random.default_rng(20).integers(0, 2**31, VALUES, dtype=np.uint32) * np.uint32(2)) | np.uint32(1)
@@ -96,17 +100,12 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (sig & np.uint32(0xFFFF)).astype(np.uint16)
 
 
-def prefixes(sigs: np.ndarray, depths: tuple[int, ...]) -> np.ndarray:
-    """64-bit keys (signatures x trees x depths) of the trees' prefixes."""
-    with np.errstate(over="ignore"):
-        h = np.broadcast_to(np.arange(1, TREES + 1, dtype=np.uint64), (len(sigs), TREES)).copy()
-        out = []
-        for d in range(depths[-1]):
-            h = h * _P + sigs[:, _ORDER[:, d]].astype(np.uint64)
-            h ^= h >> np.uint64(29)
-            if d + 1 in depths:
-                out.append(mixed(h).view(np.int64))
-    return np.stack(out, axis=2)
+def order_keys(sigs: np.ndarray) -> np.ndarray:
+    """Sort keys of signatures in all trees (rows x 2 integers): a byte for the tree, then one of each value in the tree's sequence."""
+    key = np.empty((len(sigs), TREES, 16), np.uint8)
+    key[:, :, 0] = np.arange(TREES)
+    key[:, :, 1:] = (sigs & np.uint16(0xFF)).astype(np.uint8)[:, _ORDER]
+    return key.reshape(-1, 16).view(">i8").astype(np.int64)
 
 
 def signed(d: DataFrame) -> DataFrame:
@@ -123,62 +122,81 @@ def signed(d: DataFrame) -> DataFrame:
     return d.mapInArrow(run, "doc_id long, n_shingles long, words binary, sig binary")
 
 
-def keyed(sigs: DataFrame, depths: tuple[int, ...]) -> DataFrame:
-    """From (id, sig): a row for each tree: id, tree, and k0, k1, ... the keys of its prefixes."""
-    names = [f"k{i}" for i in range(len(depths))]
-    shape = pa.schema([("id", pa.int64()), ("tree", pa.int32()), *((n, pa.int64()) for n in names)])
+def ordered(reps: DataFrame) -> DataFrame:
+    """From (id, sig): hi, lo, id for each tree, sorted over range partitions of about ORDERED rows, whatever values are frequent."""
+    shape = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, VALUES)
-                keys = prefixes(sig, depths).reshape(-1, len(depths))
+                key = order_keys(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, VALUES))
                 ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), TREES)
-                trees = np.tile(np.arange(TREES, dtype=np.int32), part.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(trees), *(pa.array(np.ascontiguousarray(keys[:, i])) for i in range(len(depths)))], schema=shape)
-
-    return sigs.select("id", "sig").mapInArrow(run, "id long, tree int, " + ", ".join(f"{n} long" for n in names))
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(key[:, 0])), pa.array(np.ascontiguousarray(key[:, 1])), pa.array(ids)], schema=shape)
 
+    parts = max(1, -(-reps.count() * TREES // ORDERED))
+    rows = reps.select("id", "sig").mapInArrow(run, "hi long, lo long, id long")
+    return rows.repartitionByRange(parts, "hi", "lo", "id").sortWithinPartitions("hi", "lo", "id")
 
-def deepened(rows: DataFrame, sigs: DataFrame) -> DataFrame:
-    """id, tree, k0, k1, ...: the keys of all depths for rows (id, tree) of a few trees and classes."""
-    names = [f"k{i}" for i in range(len(DEPTHS))]
-    shape = pa.schema([("id", pa.int64()), ("tree", pa.int32()), *((n, pa.int64()) for n in names)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, VALUES)
-            keys = np.empty((batch.num_rows, len(DEPTHS)), np.int64)
-            trees = batch.column(1).to_numpy(zero_copy_only=False)
-            for at in range(0, len(sig), 512):
-                part = slice(at, at + 512)
-                keys[part] = prefixes(sig[part], DEPTHS)[np.arange(len(sig[part])), trees[part]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(keys[:, i])) for i in range(len(DEPTHS)))], schema=shape)
+def runs(common: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The run each row is in, and its size; `common` is the prefix a row shares with the one before."""
+    of = np.cumsum(common < depth) - 1
+    return of, np.bincount(of)[of]
 
-    return rows.select("id", "tree").join(sigs.select("id", "sig"), "id").select("id", "tree", "sig").mapInArrow(run, "id long, tree int, " + ", ".join(f"{n} long" for n in names))
 
+PAIR, REGIONAL, EDGE = range(3)
 
-def within(rows: DataFrame, key: str) -> DataFrame:
-    """All pairs (a < b) of the rows of one key; for regions of bounded size only."""
-    x = rows.select(F.col(key).alias("xk"), F.col("id").alias("a"))
-    y = rows.select(F.col(key).alias("yk"), F.col("id").alias("b"))
-    return x.join(y, (F.col("xk") == F.col("yk")) & (F.col("a") < F.col("b"))).select("a", "b")
 
+def neighbours(rows: DataFrame, inner: bool = True) -> DataFrame:
+    """From sorted (hi, lo, id), a partition at a time: PAIR (a, b), REGIONAL (a: a class, b: the large region it is in), and, for the inner of a table, EDGE (a, hi, lo): rows of runs at the partition's ends."""
+    shape = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64())])
 
-def star(rows: DataFrame) -> DataFrame:
-    return rows.filter(F.col("id") != F.col("top")).select(F.least("id", "top").alias("a"), F.greatest("id", "top").alias("b"))
+    def made(kind: int, *cols: np.ndarray) -> pa.RecordBatch:
+        arrays = [pa.array(c, pa.int64()) for c in cols] + [pa.nulls(len(cols[0]), pa.int64())] * (4 - len(cols))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), kind, np.int32)), *arrays], schema=shape)
 
+    def near(ids: np.ndarray, of: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+        """Pairs of rows of one run at a distance of up to `most`."""
+        for k in range(1, min(most, len(ids) - 1) + 1):
+            i = np.flatnonzero(of[:-k] == of[k:])
+            if not len(i):
+                return
+            yield made(PAIR, np.minimum(ids[i], ids[i + k]), np.maximum(ids[i], ids[i + k]))
 
-def deepest(parts: list[DataFrame]) -> DataFrame:
-    """id and top of each class's deepest large region in each tree; parts by depth."""
-    rows = None
-    for depth, p in enumerate(parts):
-        x = p.select("id", "tree", F.struct(F.lit(depth).alias("depth"), "top").alias("x"))
-        rows = x if rows is None else rows.union(x)
-    return rows.groupBy("id", "tree").agg(F.max("x").alias("x")).select("id", "x.top")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("neardup")
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        hi, lo, ids = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in got]) for i in range(3))
+        key = np.stack([hi, lo], axis=1).astype(">i8").view(np.uint8).reshape(-1, 16)
+        differs = key[1:] != key[:-1]
+        common = np.where(differs.any(axis=1), differs.argmax(axis=1), 16) - 1  # the first byte is the tree
+        common = np.concatenate([[-1], common])
+        of, size = runs(common, LEAST)
+        if inner:
+            place = np.arange(len(ids))
+            first = (of == 0) & (place < REGION)
+            last = (of == of[-1]) & (place >= len(ids) - REGION)
+            i = np.flatnonzero(first | last)
+            yield made(EDGE, ids[i], ids[i] * 0, hi[i], lo[i])
+        small = size <= REGION
+        yield from near(ids[small], of[small], REGION - 1)
+        live = np.flatnonzero(~small)
+        with np.errstate(over="ignore"):
+            region = mixed((hi[live] >> 8).view(np.uint64) * _P)  # the tree and LEAST values
+        yield made(REGIONAL, ids[live], region.view(np.int64))
+        live = live[key[live, 0] < CHAIN_TREES]
+        yield from near(ids[live], of[live], 1)
+        for depth in DEPTHS[1:]:
+            # runs of a depth lie within those of the one before, so the rows that are left are whole runs
+            of, size = runs(common, depth)
+            small = size[live] <= REGION
+            yield from near(ids[live[small]], of[live[small]], REGION - 1)
+            live = live[~small]
+
+    return rows.mapInArrow(run, "kind int, a long, b long, hi long, lo long")
 
 
 def ids_of(rows: DataFrame, *cols: str) -> DataFrame:
@@ -366,8 +384,10 @@ def between_components(large: DataFrame, comp: DataFrame, d: DataFrame) -> DataF
     blocks are compared in a task, but for two of one component.
     """
     rows = labelled(large.select("id", "k0"), comp, "id", "c")
-    several = rows.groupBy("k0").agg(F.min("id").alias("hub"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high").select("k0", "hub")
-    rows = stored(rows.join(several, "k0").select("id", "c", "hub").distinct(), "neardup-mixed")
+    several = rows.groupBy("k0").agg(F.min("id").alias("hub"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high")
+    several = several.select("k0", "hub", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))  # a region may hold a third of all classes
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    rows = stored(rows.join(several, ["k0", "salt"]).select("id", "c", "hub").distinct(), "neardup-mixed")
     if not rows.limit(1).count():
         return None
     crowds = components(rows.filter("hub != id").select(F.col("hub").alias("a"), F.col("id").alias("b")))
@@ -392,43 +412,21 @@ def between_components(large: DataFrame, comp: DataFrame, d: DataFrame) -> DataF
 
 def classes_linked(reps: DataFrame, d: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) that connect all classes which are connected, and their components."""
-    first = keyed(reps, (LEAST,))
-    agg = first.groupBy("k0").agg(F.count("*").alias("n"), F.min("id").alias("top")).filter("n > 1")
-    shared = stored(first.join(agg, "k0"), "neardup-regions")  # most classes share no region: they are gone here
-    pairs = within(shared.filter(F.col("n") <= REGION), "k0")
-    large = shared.filter(F.col("n") > REGION)
-    crowded = large.select("id").distinct()
-    some = bool(large.limit(1).count())
-    if some:  # the large regions of a few trees connect most of what belongs together
-        crowd = stored(reps.join(crowded, "id", "left_semi"), "neardup-crowd")
-        deep = stored(deepened(large.filter(F.col("tree") < STAR_TREES), crowd), "neardup-deep")
-        parts, made = zip(*divided(deep), strict=True)
-        for m in [*made, star(deepest(parts))]:
-            pairs = pairs.union(m)
-    pairs = stored(pairs.distinct(), "neardup-pairs")
+    inner = stored(neighbours(ordered(reps)), "neardup-neighbours")
+    # a few rows a partition: what runs over from one into the next
+    edges = inner.filter(F.col("kind") == EDGE).select("hi", "lo", F.col("a").alias("id")).repartition(1).sortWithinPartitions("hi", "lo", "id")
+    found = inner.filter(F.col("kind") != EDGE).union(stored(neighbours(edges, inner=False), "neardup-edges"))
+    pairs = stored(found.filter(F.col("kind") == PAIR).select("a", "b").filter("a != b").distinct(), "neardup-pairs")
     links, comp = linked(stored(checked(pairs, reps), "neardup-checked"), None, d)
-    if some:
-        more = between_components(large, comp, d)
+    large = found.filter(F.col("kind") == REGIONAL).select(F.col("a").alias("id"), F.col("b").alias("k0"))
+    if large.limit(1).count():
+        more = between_components(large.distinct(), comp, d)
         if more is not None:
             links = links.union(more)
             comp = components(links)
     return links, comp
 
 
-def divided(deep: DataFrame) -> Iterator[tuple[DataFrame, DataFrame]]:
-    """For each depth: the rows of its large regions (with top, the smallest id), and the pairs of its small ones."""
-    rows = deep
-    for i in range(len(DEPTHS)):
-        k = f"k{i}"
-        agg = rows.groupBy(k).agg(F.count("*").alias("n"), F.min("id").alias("top")).filter("n > 1")
-        inside = stored(rows.join(agg, k), f"neardup-depth{i}")
-        large = inside.filter(F.col("n") > REGION)
-        yield large, within(inside.filter(F.col("n") <= REGION), k)
-        if not large.limit(1).count():
-            return
-        rows = large.select(*rows.columns)
-
-
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 

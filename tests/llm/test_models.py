@@ -415,6 +415,43 @@ def test_near_duplicates_close_to_the_limit(spark):
     assert got == want
 
 
+def test_near_duplicates_over_many_range_partitions(spark, monkeypatch):
+    """Runs that go on over the ends of partitions, some of them empty or of few rows, lose nothing."""
+    monkeypatch.setattr(neardup, "ORDERED", 400)
+    rows = corpus(5, 12, 5, 3) + [(i + 10**6, t) for i, t in corpus(6, 1, 60, 3)[:60]]
+    want = plain_neardup(rows)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
+def test_neighbours_are_those_with_the_longest_common_prefix(spark):
+    """Every pair of a run of up to REGION rows, in any of several cuts into partitions; of larger runs the next in the order and deeper runs."""
+    rng = np.random.default_rng(8)
+    keys = rng.integers(0, 2, (900, 16), dtype=np.uint8)
+    keys[:, 0] = rng.integers(0, 3, 900)
+    keys[:250, 1:10] = 7  # a large region
+    rows = [(*map(int, k.view(">i8")), i) for i, k in enumerate(keys)]
+    by_depth = {d: {} for d in neardup.DEPTHS}
+    for i, k in enumerate(keys):
+        for d in neardup.DEPTHS:
+            by_depth[d].setdefault(bytes(k[: d + 1]), []).append(i)
+    order = sorted(range(900), key=lambda i: rows[i])
+    must = {tuple(sorted(p)) for p in zip(order, order[1:]) if bytes(keys[p[0]][: neardup.LEAST + 1]) == bytes(keys[p[1]][: neardup.LEAST + 1])}
+    for d in neardup.DEPTHS:
+        must |= {(i, j) for g in by_depth[d].values() if len(g) <= neardup.REGION for i in g for j in g if i < j}
+    regional = {i for g in by_depth[neardup.LEAST].values() if len(g) > neardup.REGION for i in g}
+    for parts in (1, 7, 60):
+        cut = spark.createDataFrame(rows, "hi long, lo long, id long").repartitionByRange(parts, "hi", "lo", "id").sortWithinPartitions("hi", "lo", "id")
+        inner = neardup.neighbours(cut).collect()
+        edges = spark.createDataFrame([(r["hi"], r["lo"], r["a"]) for r in inner if r["kind"] == neardup.EDGE], "hi long, lo long, id long")
+        found = inner + neardup.neighbours(edges.repartition(1).sortWithinPartitions("hi", "lo", "id"), inner=False).collect()
+        pairs = {(r["a"], r["b"]) for r in found if r["kind"] == neardup.PAIR}
+        assert must <= pairs
+        assert {r["a"] for r in found if r["kind"] == neardup.REGIONAL} == regional
+        if parts == 1:
+            assert {(r["a"], r["b"]) for r in inner if r["kind"] == neardup.PAIR} == must
+
+
 def test_components_of_long_chains(spark):
     rows = [(i, i + 1) for i in range(0, 60)] + [(100, 300), (200, 300), (7, 7)]
     links = spark.createDataFrame(rows, "a long, b long")
