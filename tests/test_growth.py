@@ -1,6 +1,7 @@
 """Results that only larger tables showed to differ, and steps whose memory or time grew faster than their input."""
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from sitespan import queries
@@ -31,3 +32,14 @@ def test_headings_that_break_off_within_a_reference(spark, table_of):
     got = sorted(map(tuple, queries.html_headings(spark, d).collect()))
     assert got == twin("html_headings", d, "pages") and len(got) == len(titles)
     assert html.raw_facts("<h1>a &amp;&amp</h1>", "https://h.com/")["h1"] == ["a &&"]  # the parser itself keeps to the standard
+
+
+def test_facts_of_a_batch_come_in_parts(spark):
+    rows = [None, "x" * (html.PART_BYTES + 1), "", *["y" * (html.PART_BYTES // 3)] * 7, *["z"] * 1000]
+    parts = list(html.parts_of(pa.array(rows)))
+    assert [at for at, _ in parts] == [0, *(sum(n for _, n in parts[: k + 1]) for k in range(len(parts) - 1))] and sum(n for _, n in parts) == len(rows)
+    assert all(n <= html.PART_PAGES and (n == 1 or sum(len(r or "") for r in rows[at : at + n]) <= html.PART_BYTES) for at, n in parts)
+    assert list(html.parts_of(pa.array([], pa.string()))) == []
+    d = spark.range(1000, numPartitions=1).selectExpr("id", "if(id % 7 = 0, null, concat('<title>t', id, '</title><a href=\"/', id, '\">x</a>')) as html", "'https://h.com/' as final_url")
+    got = html.with_facts(d).select("id", "title", "internal_links").collect()
+    assert sorted(map(tuple, got)) == [(k, f"t{k}" if k % 7 else None, [f"https://h.com/{k}"] if k % 7 else []) for k in range(1000)]
