@@ -72,7 +72,7 @@ def sql_lists(lists: list) -> str:
 
 
 def case_pages(spark, sf_dir) -> DataFrame:
-    d = adapters.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("k"))
+    d = adapters.spread(adapters.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("k")), "k")
     d = d.withColumns({c: F.expr(e) for c, e in PAGE.items()})
     graph = "struct<title:string,description:string,image:string>"
     card = "struct<card:string,title:string,description:string,image:string>"
@@ -248,7 +248,7 @@ MARKUP = """concat('<!doctype html><html lang="', case k % 3 when 0 then 'en' wh
       case when k % 2 = 1 then 2 else 0 end as images_missing_alt, 'PodcastEpisode,Thing,Person' as structured_types, 'http://x.com/i.png' as mixed_content, concat('og', k % 5) as og_title, 'c' as twitter_card, 'de=/de' as alternates, 'https://h.example/in' as internal_links, 'https://out.example/z' as external_links from k""")
 def markup_facts(spark, sf_dir):
     """Everything that the parser takes from markup whose parts vary with the key."""
-    d = adapters.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).withColumns({"html": F.expr(MARKUP), "final_url": F.concat(F.lit("https://h.example/"), F.col("k").cast("string"))})
+    d = adapters.spread(adapters.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), "k").withColumns({"html": F.expr(MARKUP), "final_url": F.concat(F.lit("https://h.example/"), F.col("k").cast("string"))})
     d = html.with_facts(d)
     joined = lambda c, f: F.array_join(F.transform(c, f), ",")
     return d.select(

@@ -3,10 +3,12 @@
 import duckdb
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from sitespan import queries
+from sitespan import cases, queries
 from sitespan.functions import html
 from sitespan.operators import graph
+from sitespan.sources import adapters
 
 
 @pytest.fixture
@@ -60,3 +62,14 @@ def test_others_of_a_class_are_counted_without_lists(spark, table_of):
     con.execute("create view lineitem as select 0 as l_orderkey, 0 as l_partkey, 1 as l_linenumber")
     assert sorted(map(tuple, q.collect())) == sorted(con.execute(queries.ORACLE_SQL["duplicate_titles"]).fetchall())
     assert "collect_list" not in q._jdf.queryExecution().toString()
+
+
+def test_short_rows_of_one_file_are_dealt_out(spark, table_of):
+    parts = table_of("part", [(k,) for k in range(30_001)], "p_partkey long")
+    customers = table_of("customer", [(k,) for k in range(12_000)], "c_custkey long")
+    for d, rows in ((cases.case_pages(spark, parts), 30_001), (cases.rules_ambiguous_anchors(spark, parts), None), (cases.markup_facts(spark, customers), 12_000)):
+        n = [r["count"] for r in d.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert len(n) == 4 and max(n) < 1.2 * sum(n) / 4 and (rows is None or sum(n) == rows)
+    big = adapters.spread(spark.range(100_000, numPartitions=1), "id")
+    assert big.rdd.getNumPartitions() == 10 and big.count() == 100_000
+    assert adapters.spread(spark.range(0), "id").count() == 0
