@@ -58,21 +58,41 @@ def some(issues: Column) -> Column:
     return F.filter(issues, lambda x: x.isNotNull())
 
 
-def heading_issues() -> Column:
-    """Texts repeated two or three times, level skips (one issue each), and too many headings for the words."""
+def bound(value: Column, f) -> Column:
+    """f of a value that is computed once; an expression that a lambda names is computed for each of its elements."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def heading_repeats() -> Column:
+    """Texts repeated two or three times, in order of their first place. Headings are sorted by text once, so that equal ones stand side by side."""
+    norm = lambda x: F.lower(F.trim(F.regexp_replace(x["text"], r"\s+", " ")))
+    by_text = F.array_sort(F.transform("headings", lambda x, i: F.struct(norm(x).alias("norm"), i.alias("i"), x["level"].alias("level"), x["text"].alias("text"))))
+
+    def groups(s: Column) -> Column:
+        same = lambda x, j: F.coalesce(F.get(s, j)["norm"] == x["norm"], F.lit(False))
+        steps = range(1, config.HEADING_REPEATS)
+        n = lambda x, j: sum((same(x, j + k).cast("int") for k in steps), F.lit(1))
+        first = lambda x, j: (x["norm"] != "") & ~same(x, j - 1) & same(x, j + 1) & ~same(x, j + config.HEADING_REPEATS)
+        made = lambda x, j: F.struct(x["i"].alias("i"), x["norm"].alias("norm"), x["text"].alias("shown"), n(x, j).alias("n"), F.transform(F.slice(s, j + 1, n(x, j)), lambda y: y["level"]).alias("levels"))
+        return F.array_sort(some(F.transform(s, lambda x, j: F.when(first(x, j), made(x, j)))))
+
+    about = lambda g: json(text=g["norm"], occurrences=g["n"], levels=g["levels"])
+    return F.transform(bound(by_text, groups), lambda g: issue(F.lit(True), "duplicate_heading_text", F.when(g["n"] >= 3, "medium").otherwise("low"), text('Heading text "', g["shown"], '" is repeated ', g["n"], " times on the page."), about(g)))
+
+
+def heading_skips() -> Column:
+    """Levels that are left out, one issue each."""
     h = F.col("headings")
-    norm = F.transform(h, lambda x: F.lower(F.trim(F.regexp_replace(x["text"], r"\s+", " "))))
-    first = F.filter(F.transform(F.array_distinct(norm), lambda t: F.struct(t.alias("text"), F.size(F.filter(norm, lambda o: o == t)).alias("n"))), lambda g: (g["text"] != "") & g["n"].between(2, config.HEADING_REPEATS))
-    shown = lambda g: F.get(F.filter(h, lambda x: F.lower(F.trim(F.regexp_replace(x["text"], r"\s+", " "))) == g["text"]), F.lit(0))["text"]
-    levels = lambda g: F.transform(F.filter(h, lambda x: F.lower(F.trim(F.regexp_replace(x["text"], r"\s+", " "))) == g["text"]), lambda x: x["level"])
-    about = lambda g: json(text=g["text"], occurrences=g["n"], levels=levels(g))
-    repeated = F.transform(first, lambda g: issue(F.lit(True), "duplicate_heading_text", F.when(g["n"] >= 3, "medium").otherwise("low"), text('Heading text "', shown(g), '" is repeated ', g["n"], " times on the page."), about(g)))
     before = lambda i: F.get(h, i - 1)["level"]
-    skips = some(F.transform(h, lambda x, i: issue((i > 0) & (x["level"] > before(i) + 1), "heading_hierarchy_skip", "low", text("Heading level skips from H", before(i), " to H", x["level"], ' ("', x["text"], '") without an intervening level.'), json(**{"from": before(i), "to": x["level"], "text": x["text"]}))))
-    n, words = F.size(h), F.col("word_count")
+    return some(F.transform(h, lambda x, i: issue((i > 0) & (x["level"] > before(i) + 1), "heading_hierarchy_skip", "low", text("Heading level skips from H", before(i), " to H", x["level"], ' ("', x["text"], '") without an intervening level.'), json(**{"from": before(i), "to": x["level"], "text": x["text"]}))))
+
+
+def heading_issues() -> Column:
+    """Repeated texts, level skips, and too many headings for the words."""
+    n, words = F.size("headings"), F.col("word_count")
     dense = (n >= config.HEADING_LEAST) & (words >= config.HEADING_WORDS) & (n / F.greatest(words, F.lit(1)) >= config.HEADING_RATIO)
     many = some(F.array(issue(dense, "excessive_headings", "low", text("Page has ", n, " headings for ", words, " words of content, a notably high heading-to-content ratio."), json(headingCount=n, wordCount=words, ratio=F.round(n / F.greatest(words, F.lit(1)), 3)))))
-    return F.concat(repeated, skips, many)
+    return F.concat(heading_repeats(), heading_skips(), many)
 
 
 def hreflang_issues() -> Column:

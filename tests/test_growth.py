@@ -1,5 +1,9 @@
 """Results that only larger tables showed to differ, and steps whose memory or time grew faster than their input."""
 
+import json
+import re
+import time
+
 import duckdb
 import pyarrow as pa
 import pytest
@@ -7,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sitespan import cases, queries
 from sitespan.functions import html
-from sitespan.operators import graph
+from sitespan.operators import graph, rules
 from sitespan.sources import adapters
 
 
@@ -73,3 +77,19 @@ def test_short_rows_of_one_file_are_dealt_out(spark, table_of):
     big = adapters.spread(spark.range(100_000, numPartitions=1), "id")
     assert big.rdd.getNumPartitions() == 10 and big.count() == 100_000
     assert adapters.spread(spark.range(0), "id").count() == 0
+
+
+def test_repeated_headings_of_long_pages(spark):
+    pages = [[(1, "B"), (2, "a"), (3, " A "), (1, "b"), (2, None), (2, None), (4, "a"), (1, ""), (1, " "), (5, "c"), (5, "d"), (6, "D")], [], [(1, "x")] * 4, [(k % 6 + 1, f"h {k // 3 if k % 5 else k}") for k in range(3000)]]
+    d = spark.createDataFrame(list(enumerate(pages)), "k int, headings array<struct<level:int,text:string>>").withColumn("word_count", F.lit(0))
+    began = time.time()
+    got = d.select("k", F.inline(rules.heading_issues())).filter("issue_type = 'duplicate_heading_text'").collect()
+    assert time.time() - began < 10  # texts are compared once they are sorted, not each with each
+    want = []
+    for k, page in enumerate(pages):
+        groups = {}
+        for level, t in page:
+            if t is not None and (norm := re.sub(r"\s+", " ", t).strip().lower()):
+                groups.setdefault(norm, []).append((level, t))
+        want += [(k, "medium" if len(g) > 2 else "low", f'Heading text "{g[0][1]}" is repeated {len(g)} times on the page.', {"text": t, "occurrences": len(g), "levels": [x for x, _ in g]}) for t, g in groups.items() if 2 <= len(g) <= 3]
+    assert [(r["k"], r["severity"], r["message"], json.loads(r["value"])) for r in got] == want and len(want) > 500
