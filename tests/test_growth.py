@@ -93,3 +93,10 @@ def test_repeated_headings_of_long_pages(spark):
                 groups.setdefault(norm, []).append((level, t))
         want += [(k, "medium" if len(g) > 2 else "low", f'Heading text "{g[0][1]}" is repeated {len(g)} times on the page.', {"text": t, "occurrences": len(g), "levels": [x for x, _ in g]}) for t, g in groups.items() if 2 <= len(g) <= 3]
     assert [(r["k"], r["severity"], r["message"], json.loads(r["value"])) for r in got] == want and len(want) > 500
+
+
+def test_backfill_reads_markup_once(spark, monkeypatch):
+    read, plain = [], adapters.table
+    monkeypatch.setattr(adapters, "table", lambda spark, d, name: read.append(name) or plain(spark, d, name))
+    queries.score_backfill(spark, "/root/testdata/sf0.001")
+    assert read == ["pages"]
