@@ -105,10 +105,14 @@ def latest_crawl(runs: DataFrame, issues: DataFrame, changes: DataFrame, scores:
     from .views import latest_runs
 
     r = latest_runs(runs)
-    i = issues.groupBy(F.col("run_id").alias("id")).agg(F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "high").alias("high"))
-    p = pages.groupBy(F.col("run_id").alias("id")).agg(F.count_if(F.col("indexing_state") == "noindex_unexpected").alias("unexpected"))
+    flag = lambda when, name: F.when(when, 1).otherwise(0).alias(name)
+    none = lambda *names: [F.lit(0).alias(n) for n in names]
+    i = issues.select(F.col("run_id").alias("id"), flag(F.col("severity") == "critical", "critical"), flag(F.col("severity") == "high", "high"), *none("unexpected"))
+    p = pages.select(F.col("run_id").alias("id"), *none("critical", "high"), flag(F.col("indexing_state") == "noindex_unexpected", "unexpected"))
+    # Both in one aggregate: each more of them, with its join, would hold its own rows in the memory of the same task.
+    n = i.unionByName(p).groupBy("id").agg(*(F.sum(c).alias(c) for c in ("critical", "high", "unexpected")))
     s = history.summary(changes, "run_id").withColumnRenamed("run_id", "id")
-    d = r.join(i, "id", "left").join(p, "id", "left").join(s, "id", "left").join(scores.select(F.col("run_id").alias("id"), "overall_score"), "id", "left")
+    d = r.join(n, "id", "left").join(s, "id", "left").join(scores.select(F.col("run_id").alias("id"), "overall_score"), "id", "left")
     counts = ["critical", "high", "unexpected", "new_issues", "resolved_issues", "ongoing_issues", "new_pages", "removed_pages", "changed_pages"]
     d = d.fillna(0, counts)
     done = F.col("status") != "running"

@@ -100,3 +100,8 @@ def test_backfill_reads_markup_once(spark, monkeypatch):
     monkeypatch.setattr(adapters, "table", lambda spark, d, name: read.append(name) or plain(spark, d, name))
     queries.score_backfill(spark, "/root/testdata/sf0.001")
     assert read == ["pages"]
+
+
+def test_latest_crawl_counts_issues_and_pages_in_one_aggregate(spark):
+    plan = cases.latest_crawl(spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Join LeftOuter") == 3  # one each for counts, changes and scores
