@@ -105,3 +105,35 @@ def test_backfill_reads_markup_once(spark, monkeypatch):
 def test_latest_crawl_counts_issues_and_pages_in_one_aggregate(spark):
     plan = cases.latest_crawl(spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
     assert plan.count("Join LeftOuter") == 3  # one each for counts, changes and scores
+
+
+def test_words_of_markup_are_counted_in_one_reading(spark):
+    wide = [chr(c) for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)]
+    white = [*"\t\n\x0b\f\r ", *wide]
+    texts = [None, "", " ", "a", *(f"{w}a{w}b{w}{w} c" for w in white), *(f"{w}{v}" for w in white for v in wide[:2]), "é ü​\u0085᠎ x", "\U0001f600 \U0001f600\U0001f600", "a\x1cb \x00", "x " * 5000]
+    pages = [*texts, "<HEAD >a b</head>c<b>d</b> e<!-- f -->", "a<script src>x y</script>b <style>p q</STYLE>c", "<<script >x</script>b>c d", "a < b > c", "<head>a b", "a<br>b"]
+    d = spark.createDataFrame(list(enumerate(pages)), "k int, html string")
+    q = d.select("k", adapters.flat_words("html").alias("n"))
+
+    def words(page):
+        body = re.sub(r"(?is)<head[ >].*?</head>|<script[ >].*?</script>|<style[ >].*?</style>", "", page or "")
+        return len([w for w in re.split("[" + "".join(white) + "]+", re.sub(r"<[^>]*>", "", body)) if w])
+
+    assert {r["k"]: r["n"] for r in q.collect()} == {k: words(p) for k, p in enumerate(pages)}
+    assert q._jdf.queryExecution().optimizedPlan().toString().count("</head>") == 1  # the markup goes through it once
+
+
+def test_backfill_deals_pages_of_one_file_out(spark, table_of, monkeypatch):
+    page = lambda k: f'<!doctype html><html lang="en"><head><title>Title {k % 7}</title></head><body><h1>x</h1>{"<p>some words</p> " * (k % 5)}</body></html>'
+    d = table_of("pages", [(k, f"https://h{k % 6}.com/{k}", page(k) if k % 11 else None) for k in range(6000)], "page_id long, url string, html string")
+    made, plain = [], queries.cut
+
+    def cut(df, tag="step"):
+        made.append((tag, plain(df, tag)))
+        return made[-1][1]
+
+    monkeypatch.setattr(queries, "cut", cut)
+    got = sorted(map(tuple, queries.score_backfill(spark, d).collect()))
+    assert got == twin("score_backfill", d, "pages") and len(got) == 6
+    n = [r["count"] for r in dict(made)["facts"].groupBy(F.input_file_name()).count().collect()]
+    assert len(n) == 4 and sum(n) == 6000 and max(n) < 1.2 * sum(n) / 4
