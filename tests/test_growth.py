@@ -137,3 +137,11 @@ def test_backfill_deals_pages_of_one_file_out(spark, table_of, monkeypatch):
     assert got == twin("score_backfill", d, "pages") and len(got) == 6
     n = [r["count"] for r in dict(made)["facts"].groupBy(F.input_file_name()).count().collect()]
     assert len(n) == 4 and sum(n) == 6000 and max(n) < 1.2 * sum(n) / 4
+
+
+def test_links_after_odd_markup_are_counted(spark, table_of):
+    odd = ["", "1 <é 2 ", "<ü>", "<svg><style/></svg>", "<title>a <!-- b</title>", "<textarea><!-- </textarea>", "a </ b>"]
+    pages = [(k, f"https://h.com/{k}", f'<html><body><a href="/a">a</a>{x}<a href="/b">b</a><a href="/c/{k}">c</a></body></html>') for k, x in enumerate(odd)]
+    d = table_of("pages", [*pages, (90, "https://h.com/90", None), (91, "https://h.com/91", "<p>none</p>")], "page_id long, url string, html string")
+    got = sorted(map(tuple, queries.html_links_internal_external(spark, d).collect()))
+    assert got == twin("html_links_internal_external", d, "pages") == [(k, 3) for k in range(len(odd))]

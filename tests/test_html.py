@@ -1,8 +1,10 @@
 """The flat parser against a tree of objects, on every kind of tag, nesting and attribute; rows of C16, C24, C25 and C29."""
 
+import json
 import os
 import random
 import sys
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,6 +50,69 @@ def test_what_the_standard_says_of_odd_markup():
     assert facts("<a " + "b" * 200_000 + "=" * 200_000)["anchors"] == []  # no search that starts over at every byte
 
 
+REST = '<p>b <a href="/y">y</a> <a href="http://o.com/z">z</a></p>'
+
+
+@pytest.mark.parametrize(
+    "odd",
+    ["1 <é 2", "<ü>", "<p>中 <中文 ", "<svg><style/></svg>", '<svg><script src="/s.js" /><path/></svg>', "<math><style x=1 /></math>", "<title>a <!-- b</title>", '<title>a <b c="</title>', "<textarea><!-- </textarea>", "<title>a <script></title>", "<svg><style x=a/>q</style></svg>"],
+)
+def test_the_rest_of_a_page_is_read_after_odd_markup(odd):
+    facts = html.raw_facts(f'<a href="/x">x</a>{odd}{REST}', "https://h.com/")
+    assert facts["internal_links"] == ["https://h.com/x", "https://h.com/y"] and facts["external_links"] == ["http://o.com/z"]
+    assert [a["text"] for a in facts["anchors"]] == ["x", "y", "z"] and facts["blocks"][-1] == "b y z"
+
+
+def test_texts_of_odd_markup():
+    facts = lambda h: html.raw_facts(h, "https://h.com/")
+    assert facts("<p>1 <é 2</p>")["body_text"] == "1 <é 2" and facts("<p>a </")["body_text"] == "a </"
+    assert facts("<title>a <!-- b</title><p>c <!-- d --></p>")["title"] == "a <!-- b"
+    assert facts("<p>a<style/>b")["body_text"] == "a"  # outside of drawings a slash closes nothing
+    began = time.time()
+    for many in ("<title>" + "<a " * 200_000 + "</title>", "<title>" * 50_000, "<textarea>x</textarea>" * 50_000, "<é" * 200_000, "<title>" + "<script>" * 100_000 + "</title>"):
+        facts(many)
+    assert time.time() - began < 10  # no search that starts over at every tag
+
+
+def test_structured_data_of_any_depth_and_length():
+    types = lambda ld: html.raw_facts(f"<script type='application/ld+json'>{ld}</script>", "https://h.com/")["structured_types"]
+    n = 100_000
+    assert types('{"@type": "A", "@graph": [' * n + '{"@type": "B"}' + "]}" * n) == ["A", "B"]
+    assert types('{"x": ' + "[" * n + "]" * n + ', "@type": "C"}') == ["C"] and types("[" * n + "]" * (n - 1)) == []
+    assert types('{"@type": "D", "n": ' + "9" * 5000 + "}") == ["D"]
+
+
+def test_pages_that_ended_the_query_or_lost_a_link(spark):
+    ld = r'{"@type": ["A\ud800", "\udc00\ud83d\ude00", "\\ud800"], "@graph": [{"@type": "PodcastEpisode", "name": "n\uDFFF"}]}'
+    links = [f"https://h.com:{'0' * 5000}443/long", f"https://h.com:{'9' * 5000}/none", "https://%68.com/a%20b", "https://h%2Fx.com/none", "https://%5Bh.com/none", "http://[::1]:80/out", "https://h%ff.com/none", "http://h.com:080/x", "http://h.com:0/y"]
+    page = f"<script type='application/ld+json'>{ld}</script>" + "".join(f'<a href="{x}">x</a>' for x in links)
+    got = html.with_facts(spark.createDataFrame([(page, "https://h.com/")], "html string, final_url string")).first()
+    assert got.structured_types == ["A\ufffd", "\ufffd\U0001f600", "\\ud800", "PodcastEpisode"] and got.episodes[0].name == "n\ufffd"
+    assert got.internal_links == ["https://h.com/long", "https://h.com/a%20b", "http://h.com/x", "http://h.com:0/y"] and got.external_links == ["http://[::1]/out"]
+
+
+def test_deep_reading_is_that_of_json(monkeypatch):
+    class Shallow(json.JSONDecoder):
+        def decode(self, s):
+            raise RecursionError
+
+    monkeypatch.setattr(html, "_DECODER", Shallow())
+    rng, seen = random.Random(0), {True: 0, False: 0}
+    tokens = ["[", "]", "{", "}", ",", ":", '"a"', '"b":', "1", " ", "null", "-2.5e1", '"\\u00e9"', "tru", "[]", "{}", '{"a":', "[1,"]
+    for _ in range(30_000):
+        text = "".join(rng.choice(tokens) for _ in range(rng.randint(0, 9)))
+        try:
+            want = json.loads(text)
+        except ValueError:
+            seen[False] += 1
+            with pytest.raises(ValueError):
+                html.json_of(text)
+        else:
+            seen[True] += 1
+            assert html.json_of(text) == want
+    assert min(seen.values()) > 500
+
+
 def test_blocks_leave_landmarks_out():
     page = "<nav><p>no</p></nav><div role=banner><li>no</li></div><main><p>One <b>TWO</b><script>x</script></p><blockquote><p>three</p></blockquote><ul><li>four<nav>no</nav></ul></main><footer><h2>no</h2></footer>"
     assert html.raw_facts(page, "https://h.com/")["blocks"] == ["one two", "three", "three", "four"]
